@@ -150,11 +150,9 @@ def dedup_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FANO
     )
     joined = rows.join(gone, ["owner", "th"], "left")
     split = joined.withColumn("lines", _lines(F.col("whole")))
-    flags = F.map_from_entries(F.transform("dropped", lambda p: F.struct(p, F.lit(True))))
-    marked = split.withColumn("gone", flags)
-    kept = F.filter("lines", lambda line, i: ~F.coalesce(F.element_at("gone", i), F.lit(False)))
+    kept = F.filter("lines", lambda line, i: ~F.array_contains("dropped", i))
     text = F.when(F.col("dropped").isNull(), F.col("whole")).otherwise(F.array_join(kept, "\n"))
-    return marked.select(
+    return split.select(
         "doc_id", text.alias("text"), F.size("lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
