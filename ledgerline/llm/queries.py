@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import chat, decontam, exact_dedup, langid, line_dedup, mixing, simhash, substring_dedup, toxicity
+from ledgerline.llm import chat, decontam, exact_dedup, langid, line_dedup, mixing, ngram_lm, simhash, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_corpus(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_lm_scoring": op9_lm_scoring,
         "op10_language_id": op10_language_id,
     }
 
