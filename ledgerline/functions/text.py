@@ -40,10 +40,34 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+_NEVER = "(?!)"
+
+
+def _needed(pattern: str) -> str | None:
+    """What an ASCII text must hold for a cleaning pattern to match; None where that is no one character."""
+    if "@" in pattern or pattern.startswith(r"\["):
+        return "@" if "@" in pattern else r"\["
+    if pattern.startswith(("https?:", "/[")):
+        return "/"
+    if pattern.startswith("[A-Za-z]:"):
+        return ":"
+    if pattern.startswith("www"):
+        return "www"
+    return "[0-9]" if r"\d" in pattern or "[0-9]+" in pattern else None
+
+
 def clean(c: Column) -> Column:
-    """Ids, codes, addresses, paths, tags, dates, numbers and acronyms out, white space squeezed."""
+    """Ids, codes, addresses, paths, tags, dates, numbers and acronyms out, white space squeezed.
+
+    Unicode classes are slow, so texts that are ASCII take the plain pattern, and none
+    at all where the text as written lacks what a match needs: deletions add nothing.
+    """
+    written, wide = c, c.rlike(r"[^\x00-\x7F]")
     for pattern, any_case in CLEAN_PATTERNS:
-        c = F.regexp_replace(c, ("(?iU)" if any_case else "(?U)") + pattern, "")
+        plain = F.lit(("(?i)" if any_case else "") + pattern)
+        if need := _needed(pattern):
+            plain = F.when(written.rlike(need), plain).otherwise(_NEVER)
+        c = F.regexp_replace(c, F.when(wide, F.lit(("(?iU)" if any_case else "(?U)") + pattern)).otherwise(plain), F.lit(""))
     return strip(F.regexp_replace(c, r"(?U)\s+", " "))
 
 

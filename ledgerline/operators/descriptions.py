@@ -11,6 +11,7 @@ from ledgerline.functions.text import quoted
 from ledgerline.operators.completeness import percent
 from ledgerline.plans.components import connected_components
 from ledgerline.plans.groups import first_rows, with_group_count
+from ledgerline.plans.materialise import materialise
 
 
 def measured(df: DataFrame, column: str, shortest: int = 20, longest: int = 5000) -> DataFrame:
@@ -92,28 +93,39 @@ def token_pairs(groups: DataFrame, jaccard: float = JACCARD, least: int = LEAST_
     by the threshold share one among the first n - ceil(threshold n) + 1 of each, so only
     those are joined, and the commonest words of a text never make candidates.
     """
-    worded = groups.select("first_row", "count", X.tokens(F.col("key")).alias("tokens")).filter(F.size("tokens") >= least)
+    worded = materialise(
+        groups.select("first_row", "count", X.tokens(F.col("key")).alias("tokens")).filter(F.size("tokens") >= least), "issue-words"
+    )
     cap = worded.agg(F.greatest(F.lit(50), F.floor(F.coalesce(F.sum("count"), F.lit(0)) * 0.05)).cast("long")).scalar()
-    flat = worded.select("first_row", F.size("tokens").alias("n"), "count", F.explode("tokens").alias("token"))
+    flat = worded.select("first_row", "count", F.explode("tokens").alias("token"))
     frequency = flat.groupBy("token").agg(F.sum("count").alias("df"))
     ranked = flat.join(frequency, "token").groupBy("first_row").agg(
-        F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ranked"), F.first("n").alias("n")
+        F.sort_array(F.collect_list(F.struct("df", F.xxhash64("token").alias("id")))).alias("ranked")
     )
-    prefix = F.slice("ranked", F.lit(1), (F.col("n") - F.ceil(F.col("n") * jaccard) + 1).cast("int"))
-    indexed = ranked.select("first_row", "n", F.transform("ranked", lambda t: t["token"]).alias("tokens"), F.explode(prefix).alias("t"))
-    indexed = indexed.filter(F.col("t.df") <= cap).select("first_row", "n", "tokens", F.col("t.token").alias("token"))
+    ranked = materialise(ranked, "issue-sets")
+    n = F.size("ranked")
+    prefix = F.slice("ranked", F.lit(1), (n - F.ceil(n * jaccard) + 1).cast("int"))
+    indexed = ranked.select("first_row", n.alias("n"), F.posexplode(prefix).alias("pos", "t")).filter(F.col("t.df") <= cap)
+    indexed = indexed.select("first_row", "n", "pos", F.col("t.id").alias("id"))
     a, b = indexed.alias("a"), indexed.alias("b")
-    near = (F.col("a.token") == F.col("b.token")) & (F.col("a.first_row") < F.col("b.first_row"))
-    sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * jaccard
-    met = a.join(b, near & sizes).select(
-        F.col("a.first_row").alias("a"), F.col("b.first_row").alias("b"),
-        (F.size(F.array_intersect("a.tokens", "b.tokens")) / F.size(F.array_union("a.tokens", "b.tokens"))).alias("similarity"),
+    # At a pair's first common word, what is left of both sets bounds the overlap.
+    bound = 1 + F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) - 1
+    needed = F.ceil((F.col("a.n") + F.col("b.n")) * (jaccard / (1 + jaccard)) - 1e-9)
+    near = (F.col("a.id") == F.col("b.id")) & (F.col("a.first_row") < F.col("b.first_row")) & (bound >= needed)
+    pairs = a.join(b, near).select(F.col("a.first_row").alias("a"), F.col("b.first_row").alias("b")).distinct()
+    sets = ranked.select("first_row", F.transform("ranked", lambda t: t["id"]).alias("ids"))
+    met = (
+        pairs.join(sets.select(F.col("first_row").alias("a"), F.col("ids").alias("x")), "a")
+        .join(sets.select(F.col("first_row").alias("b"), F.col("ids").alias("y")), "b")
     )
-    return met.filter(F.col("similarity") >= jaccard).distinct()
+    common = F.size(F.array_intersect("x", "y"))
+    share = common / (F.size("x") + F.size("y") - common)
+    return met.select("a", "b", share.alias("similarity")).filter(F.col("similarity") >= jaccard)
 
 
 def similar_groups(groups: DataFrame) -> DataFrame:
     """``component, count, first_row, texts``: reworded issues, as components of the similarity graph."""
+    groups = materialise(groups, "issue-groups")
     linked = connected_components(token_pairs(groups), "a", "b")
     return linked.join(groups, linked["node"] == groups["first_row"]).groupBy("component").agg(
         F.sum("count").alias("count"), F.min("first_row").alias("first_row"), F.count(F.lit(1)).alias("texts")
@@ -121,9 +133,8 @@ def similar_groups(groups: DataFrame) -> DataFrame:
 
 
 def _listed(rows: DataFrame, members: DataFrame, groups: DataFrame, kind: str, total: Column) -> DataFrame:
-    """Text and sample ids of the chosen groups (at most a report's worth)."""
-    chosen = rows.join(F.broadcast(members), "key")
-    firsts = first_rows(chosen, ["g"], [F.col("_row_id")], SAMPLE_IDS)
+    """Text and sample ids of chosen groups; ``members`` maps keys to the groups' first rows ``g``."""
+    firsts = first_rows(rows.join(members, "key"), ["g"], [F.col("_row_id")], SAMPLE_IDS)
     shown = firsts.groupBy("g").agg(
         F.substring(F.min_by("text", "_row_id"), 1, 200).alias("text"),
         F.transform(F.sort_array(F.collect_list(F.struct("_row_id", "id"))), lambda x: x["id"]).alias("sample_ids"),
@@ -135,28 +146,20 @@ def _listed(rows: DataFrame, members: DataFrame, groups: DataFrame, kind: str, t
 
 def recurring_issues(df: DataFrame, column: str, id_column: str | None = None, top: int = TOP_GROUPS, similar: bool = True) -> DataFrame:
     """``kind, count, pct, text, sample_ids, first_row``: the largest repeated and reworded issues."""
-    rows = normalised_rows(df, column, id_column)
+    rows = materialise(normalised_rows(df, column, id_column), "issue-rows")
     groups = exact_groups(rows)
     total = df.agg(F.count(F.lit(1))).scalar()
     order = [F.desc("count"), F.col("first_row")]
     best = groups.filter("count > 1").orderBy(*order).limit(top)
-    out = _listed(rows, best.select("key", F.col("first_row").alias("g")), best.select(F.col("first_row").alias("g"), "count"), "exact", total)
+    named = best.select("key", F.col("first_row").alias("g"))
+    out = _listed(rows, F.broadcast(named), best.select(F.col("first_row").alias("g"), "count"), "exact", total)
     if similar:
         linked = connected_components(token_pairs(groups), "a", "b")
-        named = linked.join(groups, linked["node"] == groups["first_row"])
-        sized = named.groupBy("component").agg(F.sum("count").alias("count"), F.min("first_row").alias("first_row"))
-        big = sized.orderBy(*order).limit(top)
-        members = named.select("component", "key").join(F.broadcast(big.select("component", F.col("first_row").alias("g"))), "component")
-        far = rows.join(members.select("key", "g"), "key")
-        firsts = first_rows(far, ["g"], [F.col("_row_id")], SAMPLE_IDS)
-        shown = firsts.groupBy("g").agg(
-            F.substring(F.min_by("text", "_row_id"), 1, 200).alias("text"),
-            F.transform(F.sort_array(F.collect_list(F.struct("_row_id", "id"))), lambda x: x["id"]).alias("sample_ids"),
-        )
-        found = big.select(F.col("first_row").alias("g"), "count").join(shown, "g").select(
-            F.lit("similar").alias("kind"), "count", percent(F.col("count"), total).alias("pct"), "text", "sample_ids", F.col("g").alias("first_row")
-        )
-        out = out.unionByName(found)
+        joined = linked.join(groups, linked["node"] == groups["first_row"])
+        sized = joined.groupBy("component").agg(F.sum("count").alias("count"), F.min("first_row").alias("g"))
+        big = sized.orderBy(F.desc("count"), "g").limit(top)
+        members = joined.select("component", "key").join(F.broadcast(big.select("component", "g")), "component").select("key", "g")
+        out = out.unionByName(_listed(rows, members, big.select("g", "count"), "similar", total))
     return out.orderBy(F.desc("count"), "kind", "first_row").limit(top)
 
 

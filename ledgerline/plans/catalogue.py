@@ -519,21 +519,20 @@ def clean_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", X.clean(F.col("url")).alias("cleaned"), X.normalise(F.col("url")).alias("normalised"))
 
 
-@query(f"""WITH g AS (SELECT {_sql_normalise('url')} AS k FROM pages), c AS (SELECT k, count(*) AS n FROM g WHERE k <> '' GROUP BY 1 HAVING count(*) > 1)
-SELECT count(*) AS exact_group_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS exact_repeated_rows, {pct('CAST(coalesce(sum(n), 0) AS BIGINT)', '(SELECT count(*) FROM pages)')} AS exact_repeated_pct FROM c""")
+@query(f"""WITH g AS (SELECT {_sql_normalise("coalesce(text, '')")} AS k FROM documents), c AS (SELECT k, count(*) AS n FROM g WHERE k <> '' GROUP BY 1 HAVING count(*) > 1)
+SELECT count(*) AS exact_group_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS exact_repeated_rows, {pct('CAST(coalesce(sum(n), 0) AS BIGINT)', '(SELECT count(*) FROM documents)')} AS exact_repeated_pct FROM c""")
 def exact_repeats(spark, sf):
-    return descriptions.repetition_summary(table(spark, sf, "pages").withColumn("_row_id", F.col("page_id")), "url")
+    return descriptions.repetition_summary(_described(spark, sf), "text")
 
 
-def _turns(spark, sf):
-    c = table(spark, sf, "conversations")
-    return c.withColumn("_row_id", F.col("conv_id") * 1000 + F.col("turn"))
+def _described(spark, sf):
+    return table(spark, sf, "documents").withColumn("_row_id", F.col("doc_id"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
-_TOKENS = f"""WITH r AS (SELECT conv_id * 1000 + turn AS id, {_sql_normalise("coalesce(text, '')")} AS k FROM conversations WHERE trim(coalesce(text, '')) <> ''),
+_TOKENS = f"""WITH r AS (SELECT doc_id AS id, {_sql_normalise("coalesce(text, '')")} AS k FROM documents WHERE trim(coalesce(text, '')) <> ''),
 g AS (SELECT k, count(*) AS n, min(id) AS first_row FROM r WHERE k <> '' GROUP BY 1),
-w AS (SELECT first_row, n, list_filter(list_distinct(string_split(k, ' ')), x -> length(x) >= 4 AND x NOT IN ({_STOPS})) AS t FROM g),
+w AS (SELECT first_row, n, list_filter(list_distinct(string_split(k, ' ')), lambda x: length(x) >= 4 AND x NOT IN ({_STOPS})) AS t FROM g),
 u AS (SELECT * FROM w WHERE len(t) >= 3),
 f AS (SELECT tok, sum(n) AS df FROM (SELECT n, unnest(t) AS tok FROM u) GROUP BY 1),
 cap AS (SELECT greatest(50, floor(sum(n) * 0.05)) AS c FROM u),
@@ -544,19 +543,19 @@ p AS (SELECT a, b, len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(li
 
 @query(f"{_TOKENS} SELECT * FROM p WHERE similarity >= 0.6")
 def token_similarity(spark, sf):
-    return descriptions.token_pairs(descriptions.exact_groups(descriptions.normalised_rows(_turns(spark, sf), "text")))
+    return descriptions.token_pairs(descriptions.exact_groups(descriptions.normalised_rows(_described(spark, sf), "text")))
 
 
 @query()
 def similar_clusters(spark, sf):
     """Connected components; held against union-find in the tests."""
-    return descriptions.similar_groups(descriptions.exact_groups(descriptions.normalised_rows(_turns(spark, sf), "text")))
+    return descriptions.similar_groups(descriptions.exact_groups(descriptions.normalised_rows(_described(spark, sf), "text")))
 
 
 @query()
 def recurring_issues(spark, sf):
     """The report's top groups; held against brute force in the tests."""
-    return descriptions.recurring_issues(_turns(spark, sf), "text", "conv_id")
+    return descriptions.recurring_issues(_described(spark, sf), "text", "doc_id")
 
 
 # Language
