@@ -9,7 +9,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.session import scratch_path
+from ledgerline.plans.materialise import materialise  # noqa: F401
 
 #: Copies of the smaller side of a join whose key may be hot.
 SALTS = 16
@@ -17,13 +17,6 @@ SALTS = 16
 SLICE_BYTES = 8 << 20
 
 
-def materialise(frame: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and runs costly steps once."""
-    path = scratch_path(frame.sparkSession, label)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
-
-
 def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str, salts: int = SALTS) -> DataFrame:
     """Left join on ``key`` where a few keys may hold a large part of ``rows``.
 

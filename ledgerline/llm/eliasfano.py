@@ -45,6 +45,13 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     return b"".join(x.tobytes() for x in (head, packed, ones, before, zeros))
 
 
+_BYTES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
+#: Place of one number r in byte b, at 8 b + r.
+_IN_BYTE = np.array(
+    [([i for i in range(8) if b >> i & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], dtype=_U
+)
+
+
 class EliasFano:
     """A view on encoded bytes at ``offset`` of a buffer; ``end`` is where they stop."""
 
@@ -61,20 +68,31 @@ class EliasFano:
 
     @staticmethod
     def _in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(word), dtype=np.int64)
-        for width in (32, 16, 8, 4, 2, 1):
-            count = np.bitwise_count(word & _U((1 << width) - 1)).astype(np.int64)
-            up = r >= count
-            r = r - count * up
-            word = np.where(up, word >> _U(width), word)
-            at += width * up
-        return at
+        """Place of one number r (from 0) in each word: the byte by prefix counts, the bit by table."""
+        r = r.astype(_U)
+        counts = np.bitwise_count(word.view(np.uint8)).view(_U) * _BYTES
+        byte = np.bitwise_count((r * _BYTES | _TOPS) - counts & _TOPS).astype(_U)
+        shift = byte << _U(3)
+        before = counts << _U(8) >> shift & _U(0xFF)
+        inside = (word >> shift & _U(0xFF)) << _U(3) | (r - before) & _U(7)
+        return (shift + _IN_BYTE[inside]).astype(np.int64)
 
     def _select(self, directory: np.ndarray, words: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
         at = np.searchsorted(directory, k, side="right") - 1
         word = ~words[at] if flip else words[at]
         return at * 64 + self._in_word(word, k - directory[at])
 
+    def _next_zero(self, at: np.ndarray) -> np.ndarray:
+        """Place of the first zero from each place on; almost always in the same word."""
+        rest = ~self.ones[at >> 6] >> (at & 63).astype(_U)
+        found = at + np.bitwise_count((rest & -rest) - _U(1)).astype(np.int64)
+        far = np.flatnonzero(rest == 0)
+        if len(far):
+            word = (at[far] >> 6) + 1
+            zeros = self.zeros[word]  # zeros before the next word, so the next zero is that number
+            found[far] = self._select(self.zeros, self.ones, zeros, True)
+        return found
+
     def low_part(self, k: np.ndarray) -> np.ndarray:
         if not self.low:
             return np.zeros(len(k), dtype=_U)
@@ -95,8 +113,8 @@ class EliasFano:
         if not len(ok):
             return out
         high, want = high[ok], x[ok] & _U((1 << self.low) - 1)
-        lo = np.where(high > 0, self._select(self.zeros, self.ones, np.maximum(high - 1, 0), True) - high + 1, 0)
-        hi = self._select(self.zeros, self.ones, high, True) - high
+        before = np.where(high > 0, self._select(self.zeros, self.ones, np.maximum(high - 1, 0), True), -1)
+        lo, hi = before - high + 1, self._next_zero(before + 1) - high
         if first is not None:
             lo, hi = np.maximum(lo, first[ok]), np.minimum(hi, last[ok])
         stop = hi.copy()

@@ -33,6 +33,7 @@ import os
 import re
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -40,11 +41,10 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pyarrow.fs
 import pyarrow.parquet
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, raw_texts, text_slices, words
+from ledgerline.llm.common import materialise, raw_texts, text_slices
 from ledgerline.llm.eliasfano import EliasFano, encode
 from ledgerline.session import scratch_path
 
@@ -248,7 +248,8 @@ class LevelShard:
 
     def find(self, parents: np.ndarray, words_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Positions, log10 probabilities and log10 back-off weights for ascending contexts."""
-        contexts, back = np.unique(parents - self.start, return_inverse=True)
+        new = np.concatenate([[True], parents[1:] != parents[:-1]])
+        contexts, back = parents[new] - self.start, np.cumsum(new) - 1
         inside = (contexts >= 0) & (contexts < len(self.back_codes))
         c = contexts[inside]
         lo, hi = np.zeros(len(contexts), np.int64), np.zeros(len(contexts), np.int64)
@@ -275,22 +276,64 @@ def _quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # Counting and building
 
 
+#: Bytes hashed at once, and the longest stretch of a word that has multipliers of its own.
+BLOCK, PLACES = 1 << 20, 256
+
+
+@lru_cache(maxsize=1)
+def _hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """White space, a random number per letter whatever its case (0 for white space), odd ones per place."""
+    rng = np.random.default_rng(1_000_003)
+    blank = np.zeros(256, dtype=bool)
+    blank[[0x20, *range(0x09, 0x0E)]] = True
+    letters = rng.integers(1, 1 << 64, 256, dtype=np.uint64)
+    letters[ord("A") : ord("Z") + 1] = letters[ord("a") : ord("z") + 1]
+    letters[blank] = 0
+    return blank, letters, rng.integers(0, 1 << 64, PLACES, dtype=np.uint64) | np.uint64(1)
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and multilinear 64-bit hash of each word; upper and lower case A-Z are the same letter."""
+    blank, letters, places = _hash_tables()
+    gap = blank[data]
+    starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    if not len(starts):
+        return starts, np.empty(0, dtype=np.uint64)
+    sizes = np.diff(np.append(starts, len(data)))
+    within = np.arange(starts[0], len(data), dtype=np.int32) - np.repeat(starts, sizes).astype(np.int32)
+    terms = letters[data[starts[0] :]] * places[within & (PLACES - 1)]
+    if sizes.max() > PLACES:  # a very long word: each round of the places has a factor of its own
+        terms *= (within >> 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16) + np.uint64(1)
+    found = np.add.reduceat(terms, starts - starts[0])
+    found ^= found >> np.uint64(32)
+    found *= np.uint64(0xD6E8FEB86659FD93)
+    return starts, found ^ found >> np.uint64(32)
+
+
+#: Hash of the end token, which no sum of letters is made for.
+END_HASH = np.uint64(0)
+
+
 class Tokens:
     """Texts of a slice as positions of distinct words, each text closed by an end token."""
 
     def __init__(self, texts: list[bytes]):
-        seen: dict[bytes, int] = {}
-        put, flat, counts = seen.setdefault, [], []
-        for raw in texts:
-            found = words(raw)
-            flat.extend([put(w, len(seen)) for w in found])
-            flat.append(put(b"", len(seen)))  # no word is empty
-            counts.append(len(found) + 1)
-        self.at = np.array(flat, dtype=np.int64)
-        self.counts = np.array(counts, dtype=np.int64)
+        hashes, counts, held, n = [], [], [], 0
+        for i, raw in enumerate(texts):
+            held.append(raw)
+            n += len(raw) + 1
+            if n >= BLOCK or i + 1 == len(texts):
+                starts, found = word_hashes(np.frombuffer(b"".join(t + b" " for t in held), dtype=np.uint8))
+                ends = np.cumsum([len(t) + 1 for t in held])
+                upto = np.searchsorted(starts, ends)  # words that start before the end of each text
+                hashes.append(np.insert(found, upto, END_HASH))
+                counts.append(np.diff(upto, prepend=0) + 1)
+                held, n = [], 0
+        every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        distinct, self.at = np.unique(every, return_inverse=True)
+        self.hashes = distinct.view(np.int64)
+        self.counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]]).astype(np.int64)
-        digest = xxhash.xxh3_64_intdigest
-        self.hashes = np.fromiter((digest(w) for w in seen), dtype=np.uint64, count=len(seen)).view(np.int64)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,9 +361,8 @@ def _ngram_counts(trie: Trie, level: int, batches: Iterator[pa.RecordBatch]) ->
             parents[tokens.starts] = -1
             live = np.flatnonzero((parents >= 0) & (suffix >= 0))
             keys, first, n = np.unique(parents[live] * (trie.vocabulary + 1) + ids[live], return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(suffix[live][first]), pa.array(n)], ["key", "suffix", "n"]
-            )
+            columns = {"key": keys, "n": n} | ({"suffix": suffix[live][first]} if level > 2 else {})
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
 def _edges(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,8 +467,11 @@ def train(documents: DataFrame, order: int = ORDER) -> Trie:
         if not trie.levels[-1]:
             break
         shared = spark.sparkContext.broadcast(trie)
-        seen = rows.mapInArrow(lambda it, s=shared, k=level: _ngram_counts(s.value, k, it), "key long, suffix long, n long")
-        kept = seen.groupBy("key").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+        # The suffix, the n-gram without its first word, follows from the key; a bigram's is its last word.
+        schema = "key long, n long" + (", suffix long" if level > 2 else "")
+        seen = rows.mapInArrow(lambda it, s=shared, k=level: _ngram_counts(s.value, k, it), schema)
+        suffix = F.min("suffix") if level > 2 else F.col("key") % (trie.vocabulary + 1)
+        kept = seen.groupBy("key").agg(suffix.alias("suffix"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
         kept = materialise(kept, f"ngram-level{level}")
         _add_level(spark, trie, kept, kept.count())
     return trie
