@@ -88,7 +88,7 @@ def in_months(ts: Column, start: str = "", end: str = "", months: list[str] | No
         if high is not None:
             part &= ts < F.lit(month_start(high + 1)).cast("timestamp_ntz")
         found = found | part
-    return F.coalesce(found, F.lit(False))
+    return found  # never null: each part asks first whether there is a time
 
 
 _SHORT = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
