@@ -124,13 +124,23 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"'{os.path.basename(path)}' is empty")
     sep = detect_delimiter(sample)
     names = workbook.header_names([c.lstrip("﻿") for c in next(csv.reader(sample.splitlines(), delimiter=sep))])
-    java = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
+    # The reader takes no windows-1252: it reads Latin-1, and the 27 characters that differ are mapped.
+    java = "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1"
     df = (
         spark.read.option("header", True).option("inferSchema", True).option("sep", sep).option("encoding", java)
         .option("multiLine", True).option("quote", '"').option("escape", '"').option("enforceSchema", True)
         .option("timestampType", "TIMESTAMP_NTZ").csv(path)
     )
-    return with_row_id(align(df.toDF(*names) if len(names) == len(df.columns) else df))
+    df = df.toDF(*names) if len(names) == len(df.columns) else df
+    return with_row_id(align(_as_windows(df) if encoding == "cp1252" else df))
+
+
+def _as_windows(df: DataFrame) -> DataFrame:
+    codes = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+    latin, windows = "".join(map(chr, codes)), bytes(codes).decode("cp1252")
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
+    column = lambda n: F.col("`" + n.replace("`", "``") + "`")
+    return df.select(*[F.translate(column(n), latin, windows).alias(n) if n in text else column(n) for n in df.columns])
 
 
 def align(df: DataFrame) -> DataFrame:

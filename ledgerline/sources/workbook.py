@@ -153,17 +153,14 @@ def _kind(v) -> str:
 def infer_schema(path: str, sheet: str | None = None) -> T.StructType:
     """Types by value: text that looks like numbers is numeric, a column without values is double."""
     source = rows(path, sheet)
-    names = header_names(next(source, []))
-    kinds: list[set[str]] = [set() for _ in names]
-    empty_cells = [False] * len(names)
+    header = next(source, [])
+    kinds: list[set[str]] = [set() for _ in header]
     for row in source:
-        for i in range(len(row), len(names)):
-            empty_cells[i] = True
-        for i, v in enumerate(row[: len(names)]):
-            if v is None:
-                empty_cells[i] = True
-            else:
-                kinds[i].add(_kind(v))
+        kinds += [set() for _ in row[len(kinds) :]]  # cells beyond the header have a column, too
+        for seen, v in zip(kinds, row, strict=False):
+            if v is not None:
+                seen.add(_kind(v))
+    names = header_names([*header, *[None] * (len(kinds) - len(header))])
     fields = []
     for name, seen in zip(names, kinds, strict=True):
         if not seen:
@@ -201,7 +198,8 @@ class _Reader(DataSourceReader):
 
     def read(self, partition):
         source = rows(self.path, self.sheet)
-        names = header_names(next(source, []))
+        header = next(source, [])
+        names = header_names([*header, *[None] * (len(self.fields) - len(header))])
         place = {name: i for i, name in enumerate(names)}
         for n, row in enumerate(source):
             yield tuple(

@@ -29,9 +29,9 @@ def test_delimiters(spark, tmp_path, sep):
 @pytest.mark.parametrize("encoding", ["utf-8", "utf-8-sig", "cp1252"])
 def test_encodings(spark, tmp_path, encoding):
     path = tmp_path / "t.csv"
-    path.write_bytes("größe,b\nümlaut é,1\n".encode(encoding))
+    path.write_bytes("größe,b\nümlaut é,1\n".replace("é", "é€" if encoding == "cp1252" else "é").encode(encoding))
     df = loader.read_table(spark, str(path))
-    assert df.columns[0] == "größe" and df.first()[0] == "ümlaut é"
+    assert df.columns[0] == "größe" and df.first()[0] == "ümlaut é" + "€" * (encoding == "cp1252")
 
 
 def test_undecodable_bytes_still_load(spark, tmp_path):
