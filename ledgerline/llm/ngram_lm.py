@@ -37,6 +37,7 @@ from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pyarrow.fs
@@ -182,7 +183,11 @@ class Trie:
         live = np.flatnonzero(parents >= 0)
         # Unknown words are looked up as an id beyond all others, for the back-off weight.
         keys = parents[live] * (width + 1) + np.where(children[live] < 0, width, children[live])
-        keys, back = np.unique(keys, return_inverse=True)
+        keys, back = _distinct(keys)
+        order = np.argsort(keys)
+        keys, rank = keys[order], np.empty(len(keys), dtype=np.int64)
+        rank[order] = np.arange(len(keys))
+        back = rank[back]
         found, log, weight = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys)), np.zeros(len(keys))
         for i, part in self._parts(level, keys):
             at, p, w = self._shard(level, i).find(keys[part] // (width + 1), keys[part] % (width + 1))
@@ -314,6 +319,12 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 END_HASH = np.uint64(0)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values in order of appearance and the place of each value among them, by hash table."""
+    places, found = pd.factorize(values)
+    return found, places
+
+
 class Tokens:
     """Texts of a slice as positions of distinct words, each text closed by an end token."""
 
@@ -330,8 +341,8 @@ class Tokens:
                 counts.append(np.diff(upto, prepend=0) + 1)
                 held, n = [], 0
         every = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        distinct, self.at = np.unique(every, return_inverse=True)
-        self.hashes = distinct.view(np.int64)
+        distinct, self.at = _distinct(every.view(np.int64))
+        self.hashes = distinct
         self.counts = np.concatenate(counts).astype(np.int64) if counts else np.empty(0, np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.counts)[:-1]]).astype(np.int64)
 
@@ -360,8 +371,11 @@ def _ngram_counts(trie: Trie, level: int, batches: Iterator[pa.RecordBatch]) ->
             parents = np.concatenate([[-1], context[:-1]])
             parents[tokens.starts] = -1
             live = np.flatnonzero((parents >= 0) & (suffix >= 0))
-            keys, first, n = np.unique(parents[live] * (trie.vocabulary + 1) + ids[live], return_index=True, return_counts=True)
-            columns = {"key": keys, "n": n} | ({"suffix": suffix[live][first]} if level > 2 else {})
+            keys, place = _distinct(parents[live] * (trie.vocabulary + 1) + ids[live])
+            columns = {"key": keys, "n": np.bincount(place, minlength=len(keys))}
+            if level > 2:
+                columns["suffix"] = np.empty(len(keys), dtype=np.int64)
+                columns["suffix"][place] = suffix[live]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
 
