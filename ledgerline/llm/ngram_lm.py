@@ -52,7 +52,7 @@ from ledgerline.session import scratch_path
 #: Longest n-gram, least count kept above level 1, discount, entries of a shard.
 ORDER, LEAST, DISCOUNT, SHARD = 3, 2, 0.75, 1_500_000
 #: Bytes of text that are counted or scored as one slice.
-SLICE = 8 << 20
+SLICE = 4 << 20
 _SIGN = np.uint64(1 << 63)
 
 
