@@ -40,11 +40,8 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-_NEVER = "(?!)"
-
-
 def _needed(pattern: str) -> str | None:
-    """What an ASCII text must hold for a cleaning pattern to match; None where that is no one character."""
+    """What a text must hold for a cleaning pattern to match; None where that is no one thing."""
     if "@" in pattern or pattern.startswith(r"\["):
         return "@" if "@" in pattern else r"\["
     if pattern.startswith(("https?:", "/[")):
@@ -53,28 +50,48 @@ def _needed(pattern: str) -> str | None:
         return ":"
     if pattern.startswith("www"):
         return "www"
-    return "[0-9]" if r"\d" in pattern or "[0-9]+" in pattern else None
+    return r"\p{Nd}" if r"\d" in pattern or "[0-9]+" in pattern else None
 
 
-def clean(c: Column) -> Column:
-    """Ids, codes, addresses, paths, tags, dates, numbers and acronyms out, white space squeezed.
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    Unicode classes are slow, so texts that are ASCII take the plain pattern, and none
-    at all where the text as written lacks what a match needs: deletions add nothing.
+
+def _removed(c: Column) -> Column:
+    """A text without what the cleaning patterns match.
+
+    Unicode classes are slow, so ASCII texts take plain patterns, and a pattern is left
+    out where the text as written lacks what a match needs: deletions add nothing.
     """
-    written, wide = c, c.rlike(r"[^\x00-\x7F]")
-    for pattern, any_case in CLEAN_PATTERNS:
-        plain = F.lit(("(?i)" if any_case else "") + pattern)
-        if need := _needed(pattern):
-            plain = F.when(written.rlike(need), plain).otherwise(_NEVER)
-        c = F.regexp_replace(c, F.when(wide, F.lit(("(?iU)" if any_case else "(?U)") + pattern)).otherwise(plain), F.lit(""))
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    needs = {n: f"n{i}" for i, n in enumerate(sorted({_needed(p) or "" for p, _ in CLEAN_PATTERNS} - {""}))}
+    facts = F.struct(
+        c.alias("t"), c.rlike(r"[^\x00-\x7F]").alias("wide"), *[c.rlike(n).alias(name) for n, name in needs.items()]
+    )
+
+    def step(x: Column, pattern: str, any_case: bool):
+        wide, plain = ("(?iU)" if any_case else "(?U)") + pattern, ("(?i)" if any_case else "") + pattern
+        live = x[needs[_needed(pattern)]] if _needed(pattern) else F.lit(True)
+        return lambda y: F.when(~live, y).when(x["wide"], F.regexp_replace(y, wide, "")).otherwise(F.regexp_replace(y, plain, ""))
+
+    def chain(x: Column) -> Column:
+        out = x["t"]
+        for pattern, any_case in CLEAN_PATTERNS:
+            out = _bound(out, step(x, pattern, any_case))
+        return out
+
+    return _bound(facts, chain)
+
+
+def clean(c: Column) -> Column:
+    """Ids, codes, addresses, paths, tags, dates, numbers and acronyms out, white space squeezed."""
+    return strip(F.regexp_replace(_removed(c), r"(?U)[^\S ]\s*| \s+", " "))
 
 
 def normalise(c: Column) -> Column:
     """The key under which descriptions count as the same: cleaned, lower case, ASCII letters and digits."""
-    plain = F.regexp_replace(F.lower(clean(F.coalesce(c.cast("string"), F.lit("")))), r"(?U)[^a-z0-9\s]", " ")
-    return strip(F.regexp_replace(plain, r"(?U)\s+", " "))
+    low = F.lower(_removed(F.coalesce(c.cast("string"), F.lit(""))))
+    return F.trim(F.regexp_replace(low, "[^a-z0-9]+", " "))
 
 
 def tokens(normalised: Column) -> Column:

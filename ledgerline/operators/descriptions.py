@@ -12,6 +12,7 @@ from ledgerline.operators.completeness import percent
 from ledgerline.plans.components import connected_components
 from ledgerline.plans.groups import first_rows, with_group_count
 from ledgerline.plans.materialise import materialise
+from ledgerline.plans.spread import widened
 
 
 def measured(df: DataFrame, column: str, shortest: int = 20, longest: int = 5000) -> DataFrame:
@@ -73,15 +74,23 @@ def tier_table(summaries: list[tuple[str, DataFrame]]) -> DataFrame:
 
 
 def normalised_rows(df: DataFrame, column: str, id_column: str | None = None) -> DataFrame:
-    """``_row_id, text, key, id`` of the rows whose normalised text is not empty; id is ``row N`` without an id column."""
+    """``_row_id, text, key, id`` of every row; id is ``row N`` without an id column.
+
+    Rows with an empty key are not filtered here: a filter on the key would move below
+    the redistribution and clean the texts a second time, in the tasks of the scan.
+    """
     text = X.strip(F.coalesce(F.col(quoted(column)).cast("string"), F.lit("")))
     sample = F.col(quoted(id_column)).cast("string") if id_column else F.concat(F.lit("row "), F.col("_row_id").cast("string"))
-    return df.select("_row_id", text.alias("text"), X.normalise(text).alias("key"), sample.alias("id")).filter("key <> ''")
+    rows = widened(df.select("_row_id", text.alias("text"), sample.alias("id")))
+    return rows.select("_row_id", "text", X.normalise(F.col("text")).alias("key"), "id")
 
 
 def exact_groups(rows: DataFrame) -> DataFrame:
-    """``key, count, first_row`` of every distinct normalised text."""
-    return rows.groupBy("key").agg(F.count(F.lit(1)).alias("count"), F.min("_row_id").alias("first_row"))
+    """``key, count, first_row`` of every distinct normalised text that is not empty."""
+    groups = rows.groupBy("key").agg(
+        F.count(F.lit(1)).alias("count"), F.min("_row_id").alias("first_row"), F.max(F.length("key")).alias("_length")
+    )
+    return groups.filter("_length > 0").drop("_length")
 
 
 def token_pairs(groups: DataFrame, jaccard: float = JACCARD, least: int = LEAST_TOKENS) -> DataFrame:
