@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.config import CLEAN_PATTERNS, LANGUAGE_WORDS, SCRIPT_CLASSES, STOP_WORDS, AuditConfig
@@ -644,3 +644,109 @@ def sanitised(spark, sf):
 def raw_preview(spark, sf):
     d = table(spark, sf, "documents").drop("text").withColumn("_row_id", F.col("doc_id"))
     return register.view_rows(d)
+
+
+# Tables of the report
+
+
+@query(f"""{FLAGS}, n AS (SELECT count(*) AS rows, count(*) FILTER (WHERE closed_before_created) AS c0, count(*) FILTER (WHERE future_created) AS c1,
+  count(*) FILTER (WHERE future_closed) AS c2, count(*) FILTER (WHERE priority IS NULL) AS np, count(*) FILTER (WHERE resolved_at IS NULL) AS nr FROM flags)
+SELECT 'Total Rows' AS "Metric", CAST(rows AS VARCHAR) AS "Value" FROM n UNION ALL SELECT 'Total Columns', '5' UNION ALL SELECT 'Missing Required Columns', '4'
+UNION ALL SELECT 'High Null Columns', CAST((round(np * 100.0 / rows, 2) > 20)::INT + (round(nr * 100.0 / rows, 2) > 20)::INT AS VARCHAR) FROM n
+UNION ALL SELECT 'Duplicate Count', '0' UNION ALL SELECT 'Date Issues', CAST((c0 > 0)::INT + (c1 > 0)::INT + (c2 > 0)::INT AS VARCHAR) FROM n
+UNION ALL SELECT 'Overall Status', 'Issues Found'""")
+def summary_table(spark, sf):
+    return register.summary_table(ticket_context(spark, sf))
+
+
+@query(_SQL["area_result_crosstab"].split("SELECT \"Area\", count(*)")[0] + """SELECT count(*) FILTER (WHERE "Result" = 'Fail') AS checks_failed,
+  count(*) FILTER (WHERE "Result" = 'Not checked') AS not_checked, CAST(0 AS BIGINT) AS duplicate_rows, CAST(4 AS BIGINT) AS missing_roles, (SELECT count(*) FROM orders) AS rows FROM reg""")
+def kpi_strip(spark, sf):
+    return register.kpis(ticket_context(spark, sf), findings_register(spark, sf))
+
+
+@query(_SQL["area_result_crosstab"].split("SELECT \"Area\", count(*)")[0] + """SELECT * FROM reg WHERE "Result" = 'Review'""")
+def register_by_result(spark, sf):
+    return register.by_result(findings_register(spark, sf), "Review")
+
+
+@query("""SELECT * FROM (VALUES ('Ticket Identification', 'Found', 'number'), ('Assignment Group', 'Missing', ''), ('Configuration Item', 'Missing', ''), ('Priority', 'Found', 'priority'),
+  ('State/Status', 'Found', 'state'), ('Created', 'Found', 'opened_at'), ('Closed', 'Found', 'resolved_at'), ('Short Description', 'Missing', ''), ('Description', 'Missing', '')) t("Required Column", "Status", "Matched Columns")""")
+def column_check_table(spark, sf):
+    return register.column_check_table(ticket_context(spark, sf))
+
+
+@query(f"""{_PROFILE} SELECT "column" AS "Column", nulls AS "Null Count", null_pct AS "Null %", CASE WHEN null_pct > 20 THEN 'Yes' ELSE 'No' END AS "Above Threshold" FROM p""")
+def null_table(spark, sf):
+    return register.null_table(completeness.null_profile(_nulled(spark, sf)))
+
+
+@query(f"""WITH {TICKETS}, c AS (SELECT 'priority' AS "column", priority AS value, count(*) AS count FROM tickets WHERE priority IS NOT NULL GROUP BY 2 UNION ALL SELECT 'state', state, count(*) FROM tickets GROUP BY 2)
+SELECT "column", value, count, {pct('count', '(SELECT count(*) FROM orders)')} AS pct FROM c QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY count DESC, value) <= 8""")
+def text_distributions(spark, sf):
+    out = None
+    for name, counts in aggregates.text_distributions(tickets(spark, sf)).items():
+        part = counts.select(F.lit(name).alias("column"), "value", "count", "pct")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {TICKETS} SELECT state AS value, count(*) AS count FROM tickets WHERE state = 'Stage P' GROUP BY 1""")
+def unclassified_states(spark, sf):
+    checked = vocabulary.check_state_values(tickets(spark, sf), "state")
+    return vocabulary.unclassified(checked).select("value", "count")
+
+
+@query(f"""WITH {TICKETS} SELECT state AS "State Value", count(*) AS "Count", {pct('count(*)', '(SELECT count(*) FROM orders)')} AS "Share %",
+  CASE state WHEN 'Fulfilled' THEN 'Closed' WHEN 'Open' THEN 'Open' ELSE 'Unrecognised' END AS "Reads As", 'Standard' AS "Assessment" FROM tickets GROUP BY state""")
+def state_table(spark, sf):
+    return vocabulary.state_table(vocabulary.check_state_values(tickets(spark, sf), "state"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 90 THEN substr(t, 1, 90) || '…' ELSE t END AS snippet FROM s""")
+def snippets(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.shown(F.col("text"), 90).alias("snippet"))
+
+
+@query(f"""SELECT doc_id, list_sort(list_filter(list_distinct(string_split({_sql_normalise("coalesce(text, '')")}, ' ')), lambda x: length(x) >= 4 AND x NOT IN ({_STOPS}))) AS tokens FROM documents""")
+def significant_tokens(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.array_sort(X.tokens(X.normalise(F.col("text")))).alias("tokens"))
+
+
+@query(f"""{_DETECTED} SELECT doc_id, CASE WHEN trim(s) = '' THEN '' WHEN enough THEN coalesce(script, keyword, 'English') ELSE 'English' END AS language FROM
+  (SELECT d.*, t.s FROM d JOIN t USING (doc_id))""")
+def lang_series(spark, sf):
+    return language.detect_series(table(spark, sf, "documents"), "text", "language").select("doc_id", "language")
+
+
+@query(f"""{_DETECTED} SELECT doc_id, CASE method WHEN 'characters' THEN 'Definitive' WHEN 'keywords' THEN 'Heuristic' END AS said, row_number() OVER (ORDER BY conf DESC, doc_id) AS rank
+  FROM v WHERE lang IS NOT NULL ORDER BY conf DESC, doc_id LIMIT 10""")
+def lang_samples(spark, sf):
+    best = language.language_samples(_run(spark, sf))
+    rank = F.row_number().over(Window.orderBy(F.desc("lang_confidence"), "_row_id")).cast("long")
+    return best.select("doc_id", language.confidence_text(F.col("lang_confidence"), F.col("lang_method")).alias("said"), rank.alias("rank"))
+
+
+@query(f"""{_DETECTED}, c AS (SELECT lang, count(*) AS n FROM v WHERE lang IS NOT NULL GROUP BY 1)
+SELECT 'text' AS "Column", 'Checked' AS "Status", (SELECT count(*) FROM v WHERE analysed) AS "Rows Analyzed", (SELECT count(lang) FROM v) AS "Non-English Rows",
+  {pct('(SELECT count(lang) FROM v)', '(SELECT count(*) FROM v WHERE analysed)')} AS "Non-English %",
+  (SELECT string_agg(lang || ': ' || format('{{:,}}', n), ', ' ORDER BY n DESC, lang) FROM (SELECT * FROM c ORDER BY n DESC, lang LIMIT 5)) AS "Top Languages" """)
+def lang_summary_table(spark, sf):
+    return language.language_summary(spark, [_run(spark, sf)])
+
+
+@query(f"""WITH {TICKETS} SELECT number, priority FROM tickets WHERE opened_at >= TIMESTAMP '1997-01-01' AND opened_at < TIMESTAMP '1997-03-01' ORDER BY _row_id LIMIT 15""")
+def extract_preview(spark, sf):
+    pick = extract.Selection(F.col("opened_at"), "1997-01", "1997-02")
+    return extract.build_extract(tickets(spark, sf), pick, ["priority", "number"], limit=15)
+
+
+@query(f"""{_LENGTHS} SELECT 'Description' AS "Field", 'text' AS "Column", count(*) AS "Total Rows", count(*) FILTER (WHERE n = 0) AS "Empty", {pct('count(*) FILTER (WHERE n = 0)', 'count(*)')} AS "Empty %",
+  count(*) FILTER (WHERE n > 0 AND n < 20) AS "Under 20 chars", {pct('count(*) FILTER (WHERE n > 0 AND n < 20)', 'count(*)')} AS "Too Short %", count(*) FILTER (WHERE n > 5000) AS "Over 5000 chars",
+  {pct('count(*) FILTER (WHERE n > 5000)', 'count(*)')} AS "Too Long %", CAST(min(n) FILTER (WHERE n > 0) AS INT) AS "Min Length", round(avg(n) FILTER (WHERE n > 0), 1) AS "Avg Length",
+  CAST(floor(median(n) FILTER (WHERE n > 0)) AS INT) AS "Median Length", CAST(max(n) FILTER (WHERE n > 0) AS INT) AS "Max Length" FROM q""")
+def description_table(spark, sf):
+    bound = roles.Roles({"Description": ["text"]}, {})
+    return register.description_table(logic.AuditContext(_described(spark, sf), bound, AuditConfig(), AS_OF))
