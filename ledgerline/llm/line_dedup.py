@@ -20,12 +20,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.plans.materialise import materialise
 from ledgerline.session import scratch_path
 
 #: Shortest key, in code points, that is deduplicated.
 MIN_KEY = 10
 #: Batches a whole table is dealt into, and runs a level may hold.
 BATCHES, FANOUT = 4, 3
+#: A key is hot if it has more than this part of a batch's lines; fewer than so many are.
+HOT = 1000
 _BLANK = " \t\n\x0b\f\r"
 _LAST = (1 << 63) - 1
 
@@ -99,15 +102,26 @@ class LineRuns:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self.runs = [[]]
 
-    def foreign(self, lines: DataFrame) -> DataFrame:
-        """The lines whose key belongs to another, smaller document."""
+    def owners(self, keys: DataFrame) -> DataFrame:
+        """``h, g, first`` of the keys that the runs hold."""
         found = None
         for table in self.tables():
             run = self.spark.table(table).withColumnRenamed("owner", "first")
-            hit = lines.join(run, ["h", "g"]).filter("first <> owner").select("owner", "th", "pos")
+            hit = keys.join(run, ["h", "g"])
             found = hit if found is None else found.unionByName(hit)
         return found
 
+    def foreign(self, lines: DataFrame, hot: DataFrame) -> DataFrame:
+        """The lines whose key belongs to another, smaller document.
+
+        ``hot`` holds keys of which a thousandth of the lines or more are each; there
+        are a thousand at most, so they and their owners are broadcast, and no merge
+        join meets a key's lines in one task.
+        """
+        common = lines.join(F.broadcast(self.owners(hot)), ["h", "g"])
+        rest = self.owners(lines.join(F.broadcast(hot), ["h", "g"], "left_anti"))
+        return common.unionByName(rest).filter("first <> owner").select("owner", "th", "pos")
+
 
 def _batches(documents: DataFrame, n: int) -> list[Column]:
     """Conditions that part the rows by ascending doc_id, nulls last."""
@@ -131,9 +145,12 @@ def dropped_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FA
     spark = documents.sparkSession
     store, path = LineRuns(spark, fanout=fanout), scratch_path(spark, "line-drops")
     for part in _batches(documents, batches):
-        lines = keyed_lines(documents.filter(part))
-        store.add(lines.groupBy("h", "g").agg(F.min("owner").alias("owner")))
-        gone = store.foreign(lines).groupBy("owner", "th").agg(F.collect_set("pos").alias("dropped"))
+        lines = materialise(keyed_lines(documents.filter(part)), "line-keys")
+        firsts = materialise(lines.groupBy("h", "g").agg(F.min("owner").alias("owner"), F.count(F.lit(1)).alias("n")), "line-firsts")
+        store.add(firsts.drop("n"))
+        every = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        hot = firsts.filter(F.col("n") * HOT > every).select("h", "g")
+        gone = store.foreign(lines, hot).groupBy("owner", "th").agg(F.collect_set("pos").alias("dropped"))
         gone.write.mode("append").parquet(path)
     store.close()
     return spark.read.schema("owner long, th long, dropped array<int>").parquet(path)
