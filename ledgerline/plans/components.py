@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerline.session import shared_dir
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -24,6 +26,7 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     An empty edge table gives an empty result. Lineage is cut with reliable
     checkpoints, never local ones.
     """
+    shared_dir(edges.sparkSession)
     kind = edges.schema[left].dataType
     a, b = F.greatest(left, right), F.least(left, right)
     current = (

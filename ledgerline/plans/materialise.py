@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ledgerline.session import scratch_path
+from ledgerline.session import remove_path, scratch_path
 
 
 def materialise(frame: DataFrame, label: str) -> DataFrame:
@@ -12,3 +12,9 @@ def materialise(frame: DataFrame, label: str) -> DataFrame:
     path = scratch_path(frame.sparkSession, label)
     frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+def discard(frame: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for a frame that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+        remove_path(frame.sparkSession, folder)
