@@ -96,5 +96,6 @@ def exact_duplicates(documents: DataFrame, bits: int = 64) -> DataFrame:
 
 def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    gone = exact_duplicates(documents).filter("not kept").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti")
+    gone = exact_duplicates(documents).filter("not kept").select(F.col("doc_id").alias("_id"), "text_sha256")
+    same = F.sha2(F.coalesce(documents["text"], F.lit("")), 256) == gone["text_sha256"]
+    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]) & same, "left_anti")
