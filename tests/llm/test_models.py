@@ -370,3 +370,24 @@ def test_pipeline_applies_each_stage(spark, sf):
     assert {r["doc_id"] for r in out.collect()} == set(left)
     assert out.columns == ["doc_id", "source", "size", "source_size", "target", "taken"]
     assert [name for name, _ in pipeline.STAGES][0] == "toxicity" and len(pipeline.STAGES) == 5
+
+
+def test_stages_take_odd_rows(spark, sf):
+    import corpus_pipeline as pipeline
+
+    rows = [(1, None), (2, ""), (2, ""), (3, "plain words here"), (3, "other words there"), (None, "plain words here"), (4, "a " * 60_000), (5, "x" * 50_000, None, None)]
+    odd = frame(spark, rows).withColumn("target", F.lit(1)).withColumn("taken", F.lit(2)).withColumn("component_id", F.lit(3)).withColumn("keep_id", F.lit(4))
+    for docs in (odd, odd.limit(0)):
+        n = docs.count()
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name != pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns, name
+            assert out.count() <= n, name
+    kept = pipeline.STAGES[1][1](spark, odd, sf).select("doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["text"][:5]) for r in kept) == [(2, ""), (2, ""), (3, "other"), (3, "plain"), (4, "a a a"), (5, "xxxxx")]
+
+
+def test_repeated_runs_agree(spark, sf):
+    first = {(r["doc_id"], r["taken"]) for r in queries.op4_mixing(spark, sf).collect()}
+    assert first == {(r["doc_id"], r["taken"]) for r in queries.op4_mixing(spark, sf).collect()}
