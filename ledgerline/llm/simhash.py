@@ -234,7 +234,7 @@ def near_duplicates(documents: DataFrame, limit: int = BUCKET) -> DataFrame:
     per = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = connected_components(links(per.select("fp"), limit), "a", "b")
     linked = nodes.join(per, nodes["node"] == per["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
-    named = nodes.join(linked, "component").select(F.col("node").alias("fp"), "component_id")
+    named = salted_left_join(nodes, linked, "component", "node").select(F.col("node").alias("fp"), "component_id")
     copies = per.filter("n > 1").join(named, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
     joined = salted_left_join(prints, named.union(copies), "fp", "doc_id")
     return joined.select(
