@@ -47,7 +47,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.common import materialise, raw_texts, text_slices
 from ledgerline.llm.eliasfano import EliasFano, encode
-from ledgerline.session import scratch_path
+from ledgerline.plans.materialise import discard
+from ledgerline.session import remove_path, scratch_path
 
 #: Longest n-gram, least count kept above level 1, discount, entries of a shard.
 ORDER, LEAST, DISCOUNT, SHARD = 3, 2, 0.75, 1_500_000
@@ -465,6 +466,7 @@ def _add_level(spark: SparkSession, trie: Trie, entries: DataFrame, size: int) -
     shared = spark.sparkContext.broadcast((trie, edges))
     todo.mapInArrow(lambda it: _written(shared.value[0], level, shared.value[1], it), "target string").collect()
     trie.levels.append([s for _, s in plan])
+    remove_path(spark, run)
     return sum(r["total"] for r in found)
 
 
@@ -477,6 +479,7 @@ def train(documents: DataFrame, order: int = ORDER) -> Trie:
     counted = materialise(counted, "ngram-words")
     trie.vocabulary = counted.count()
     trie.total = _add_level(spark, trie, counted, trie.vocabulary)
+    discard(counted)
     for level in range(2, order + 1):
         if not trie.levels[-1]:
             break
@@ -488,6 +491,7 @@ def train(documents: DataFrame, order: int = ORDER) -> Trie:
         kept = seen.groupBy("key").agg(suffix.alias("suffix"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
         kept = materialise(kept, f"ngram-level{level}")
         _add_level(spark, trie, kept, kept.count())
+        discard(kept)
     return trie
 
 
