@@ -88,6 +88,13 @@ def clean(c: Column) -> Column:
     return strip(F.regexp_replace(_removed(c), r"(?U)[^\S ]\s*| \s+", " "))
 
 
+def clean_flat(c: Column) -> Column:
+    """As ``clean``, without lambdas: the form that can be the input of a Python function."""
+    for pattern, any_case in CLEAN_PATTERNS:
+        c = F.regexp_replace(c, ("(?iU)" if any_case else "(?U)") + pattern, "")
+    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
 def normalise(c: Column) -> Column:
     """The key under which descriptions count as the same: cleaned, lower case, ASCII letters and digits."""
     low = F.lower(_removed(F.coalesce(c.cast("string"), F.lit(""))))

@@ -78,7 +78,8 @@ def test_cleaning(spark):
         "Größe 5 für INC5é": "Größe für INC5é",
         "code AB12X 99ZZ9 text": "code text",
     }
-    assert column(values(spark, list(texts)).withColumn("v", X.clean(F.col("v")))) == list(texts.values())
+    for form in (X.clean, X.clean_flat):
+        assert column(values(spark, list(texts)).withColumn("v", form(F.col("v")))) == list(texts.values())
 
 
 def test_normalising_joins_numbered_texts(spark):
