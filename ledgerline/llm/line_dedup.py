@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.plans.materialise import materialise
+from ledgerline.plans.materialise import discard, materialise
 from ledgerline.session import scratch_path
 
 #: Shortest key, in code points, that is deduplicated.
@@ -152,6 +152,8 @@ def dropped_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FA
         hot = firsts.filter(F.col("n") * HOT > every).select("h", "g")
         gone = store.foreign(lines, hot).groupBy("owner", "th").agg(F.collect_set("pos").alias("dropped"))
         gone.write.mode("append").parquet(path)
+        discard(lines)
+        discard(firsts)
     store.close()
     return spark.read.schema("owner long, th long, dropped array<int>").parquet(path)
 
