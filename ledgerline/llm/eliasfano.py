@@ -24,7 +24,7 @@ def _ored(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 def encode(values: np.ndarray, universe: int) -> bytes:
     """Bytes of a sorted uint64 sequence with values up to ``universe``."""
-    values = values.astype(_U)
+    values = values.astype(_U, copy=False)
     n = len(values)
     low = max(0, (int(universe) // max(1, n)).bit_length() - 1)
     low = min(low, 57)
@@ -32,6 +32,7 @@ def encode(values: np.ndarray, universe: int) -> bytes:
     high = (values >> _U(low)).astype(np.int64) + k
     size = (n + (int(universe) >> low) + 1) // 64 + 1
     ones = _ored(high >> 6, _U(1) << (high & 63).astype(_U), size)
+    del high
     packed = np.zeros(1, dtype=_U)
     if low and n:
         part = values & _U((1 << low) - 1)

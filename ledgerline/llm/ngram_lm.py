@@ -51,7 +51,7 @@ from ledgerline.plans.materialise import discard
 from ledgerline.session import remove_path, scratch_path
 
 #: Longest n-gram, least count kept above level 1, discount, entries of a shard.
-ORDER, LEAST, DISCOUNT, SHARD = 3, 2, 0.75, 1_500_000
+ORDER, LEAST, DISCOUNT, SHARD = 3, 2, 0.75, 500_000
 #: Bytes of text that are counted or scored as one slice.
 SLICE = 4 << 20
 _SIGN = np.uint64(1 << 63)
@@ -415,22 +415,25 @@ def _written(trie: Trie, level: int, edges: dict, batches: Iterator[pa.RecordBat
                 table = _run(uri, ["key", "n"])
                 data = VocabularyShard.build(*(table.column(c).to_numpy() for c in ("key", "n")))
             else:
-                table = _run(uri, ["key", "suffix", "n"])
-                key, suffix, n = (table.column(c).to_numpy() for c in ("key", "suffix", "n"))
-                parents, child = key // (trie.vocabulary + 1), key % (trie.vocabulary + 1)
-                own, at, entries = np.unique(parents, return_index=True, return_counts=True)
-                sums = np.add.reduceat(n, at)
+                key, suffix = (_run(uri, [c]).column(c).to_numpy() for c in ("key", "suffix"))
+                order = np.argsort(suffix, kind="stable")
+                lower = np.empty(len(key))
+                lower[order] = trie.log_probabilities(level - 1, suffix[order])
+                del suffix, order  # a shard's arrays are large; none is kept longer than needed
+                n = _run(uri, ["n"]).column("n").to_numpy()
+                parents, child = np.divmod(key, trie.vocabulary + 1)
+                del key
+                at = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
+                own, entries = parents[at], np.diff(np.append(at, len(n)))
+                sums, of = np.add.reduceat(n, at), np.repeat(np.arange(len(at), dtype=np.int32), entries)
                 for p in (own[0], own[-1]):
                     if int(p) in edges:
                         i = np.searchsorted(own, p)
                         sums[i], entries[i] = edges[int(p)]
                 whole = trie.counts(level - 1, own)
                 weight = np.clip((whole - sums + DISCOUNT * entries) / whole, 1e-9, 1)
-                order = np.argsort(suffix, kind="stable")
-                lower = np.empty(len(key))
-                lower[order] = trie.log_probabilities(level - 1, suffix[order])
-                of = np.repeat(np.arange(len(own)), np.diff(np.append(at, len(key))))
                 p = (n - DISCOUNT) / whole[of] + weight[of] * 10**lower
+                del lower, of
                 data = LevelShard.build(parents, child, n, np.log10(np.minimum(p, 1)), np.log10(weight))
             _store(target, data)
             yield pa.RecordBatch.from_arrays([pa.array([target])], ["target"])
