@@ -10,11 +10,11 @@ the shared folder that workers map into memory:
   successor search for base + word within the context's range. Beside them stand
   log10 probabilities quantised to 8 bits, and per context a quantised back-off weight.
 
-Level 1 holds every training word. Higher levels hold n-grams seen at least
-``LEAST`` times, at every size; an n-gram is counted only if the shorter ones it
-contains are there, so each level's pass over the corpus uses the trie so far.
-Probabilities are absolutely discounted and interpolated; what is cut away is part
-of the back-off weight, so each context's probabilities sum to one up to quantisation.
+Level 1 holds every training word and higher levels every n-gram of the training
+rows, those seen once included, at every size. Each level's pass over the corpus
+names an n-gram by the shorter ones it contains, with the trie so far.
+Probabilities are absolutely discounted and interpolated; what a discount takes is
+the back-off weight, so each context's probabilities sum to one up to quantisation.
 
 Counting is grouped aggregation of per-slice counts. Shards are range partitions of
 a level's sorted entries, so a frequent context is spread over several and only its
@@ -50,8 +50,8 @@ from ledgerline.llm.eliasfano import EliasFano, encode
 from ledgerline.plans.materialise import discard
 from ledgerline.session import remove_path, scratch_path
 
-#: Longest n-gram, least count kept above level 1, discount, entries of a shard.
-ORDER, LEAST, DISCOUNT, SHARD = 3, 2, 0.75, 500_000
+#: Longest n-gram, least count of an n-gram (nothing is cut; the tests' brute force reads it), discount, entries of a shard.
+ORDER, LEAST, DISCOUNT, SHARD = 3, 1, 0.75, 500_000
 #: Bytes of text that are counted or scored as one slice.
 SLICE = 4 << 20
 _SIGN = np.uint64(1 << 63)
@@ -361,8 +361,8 @@ def _ngram_counts(trie: Trie, level: int, batches: Iterator[pa.RecordBatch]) ->
     for batch in batches:
         for part in text_slices(batch, limit=SLICE):
             tokens = Tokens(raw_texts(part))
-            distinct, counts = trie.word_ids(tokens.hashes)
-            ids = np.where(counts >= LEAST, distinct, -1)[tokens.at]
+            distinct, _ = trie.word_ids(tokens.hashes)
+            ids = distinct[tokens.at]
             context = ids
             suffix = ids
             for lower in range(2, level):
@@ -491,7 +491,7 @@ def train(documents: DataFrame, order: int = ORDER) -> Trie:
         schema = "key long, n long" + (", suffix long" if level > 2 else "")
         seen = rows.mapInArrow(lambda it, s=shared, k=level: _ngram_counts(s.value, k, it), schema)
         suffix = F.min("suffix") if level > 2 else F.col("key") % (trie.vocabulary + 1)
-        kept = seen.groupBy("key").agg(suffix.alias("suffix"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST)
+        kept = seen.groupBy("key").agg(suffix.alias("suffix"), F.sum("n").alias("n"))
         kept = materialise(kept, f"ngram-level{level}")
         _add_level(spark, trie, kept, kept.count())
         discard(kept)

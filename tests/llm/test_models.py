@@ -105,6 +105,17 @@ def test_language_model_matches_brute_force(spark, monkeypatch):
     assert held and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in held)
 
 
+def test_language_model_keeps_ngrams_seen_once(spark):
+    learned = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1]
+    asked = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(learned[0], "one two three four"), (learned[1], "two one four three"), (asked, "one two three")]
+    trie = ngram_lm.train(frame(spark, rows))
+    assert [sum(len(trie._shard(n, i).counts) for i in range(len(trie.levels[n - 1]))) for n in (1, 2, 3)] == [5, 8, 6]
+    got = {r["doc_id"]: r["score"] for r in ngram_lm.score(frame(spark, rows), trie).collect()}
+    for (i, _), (n, *_, want) in zip(rows, brute_lm(rows, least=1), strict=True):
+        assert abs(got[i] - want) / n < 0.02
+
+
 def test_language_model_probabilities_sum_to_one(spark):
     rows = [(i, "a b a c a b c b a d") for i in range(1, 6)]
     trie = ngram_lm.train(frame(spark, rows))
