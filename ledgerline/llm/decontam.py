@@ -3,8 +3,9 @@
 Test items form an inverted index: postings in blocks of ``BLOCK``, each block
 with its largest impact. Every document is read as overlapping passages, every
 passage is a query, and all items with at least ``RETRIEVE`` of their own
-best score are retrieved. A hit counts when five-word shingles of both the item's
-question part and its answer part are found in the passage.
+best score are retrieved. A hit counts when enough five-word shingles of the item as a
+whole, or of both its question part and its answer part, are found in the passage; the
+shares found of both parts are reported.
 
 Impacts are divided by the item's score for its own text, so one threshold serves
 all items. Most passages are dismissed by the pivot test in bulk: an item's
@@ -37,7 +38,7 @@ from ledgerline.llm.common import raw_texts, text_slices, words
 K1, B, BLOCK, SHINGLE = 1.2, 0.75, 16, 5
 #: Share of an item's own score that retrieves it, and what its idle terms may add up to.
 RETRIEVE, IDLE = 0.6, 0.45
-#: Share of shingles found that confirms a part, and the answer's share of an item's words.
+#: Share of shingles found that confirms an item or a part, and the answer's share of an item's words.
 CONFIRM, ANSWER = 0.8, 1 / 3
 #: Bytes of item text in one index.
 INDEX_BYTES = 32 << 20
@@ -56,7 +57,7 @@ class ItemIndex:
         texts = [(i, found) for i, found in texts if found]
         self.ids = [i for i, _ in texts]
         self.longest = max((len(found) for _, found in texts), default=1)
-        self.parts = []
+        self.parts, self.whole = [], []
         average = sum(len(f) for _, f in texts) / max(1, len(texts))
         df = Counter(t for _, f in texts for t in set(f))
         idf = {t: math.log(1 + (len(texts) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
@@ -79,6 +80,7 @@ class ItemIndex:
             self.idle.append(idle)
             cut = len(found) - max(1, round(len(found) * ANSWER)) if len(found) > 1 else len(found)
             self.parts.append((_shingles(found[:cut]), _shingles(found[cut:])))
+            self.whole.append(_shingles(found))
         self.blocks = {
             t: [(p[i : i + BLOCK][-1][0], max(w for _, w in p[i : i + BLOCK])) for i in range(0, len(p), BLOCK)]
             for t, p in postings.items()
@@ -158,15 +160,15 @@ class ItemIndex:
             sets: dict[int, set[bytes]] = {}
             for item, share in self.search(set(passage)):
                 covered = []
-                for part in self.parts[item]:
+                for part in (self.whole[item], *self.parts[item]):
                     if not part:
                         continue
                     n = part[0].count(b" ") + 1
                     if n not in sets:
                         sets[n] = {b" ".join(passage[i : i + n]) for i in range(len(passage) - n + 1)}
                     covered.append(sum(s in sets[n] for s in part) / len(part))
-                if min(covered) >= CONFIRM:
-                    question, answer = covered[0], covered[-1]
+                if covered[0] >= CONFIRM or min(covered[1:]) >= CONFIRM:
+                    question, answer = covered[1], covered[-1]
                     row = (item, start, share * self.own[item], share, question, answer)
                     if item not in best or (question + answer, share) > (sum(best[item][4:]), best[item][3]):
                         best[item] = row

@@ -217,6 +217,14 @@ def test_leaks_of_odd_rows(spark):
     assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()) == [2, 3, 4, 6]
 
 
+def test_leaks_with_a_glued_last_word(spark):
+    item = "which river flows through the old stone town of ambleford and who built its first bridge"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = frame(spark, [(1, f"so {item}?! they asked"), (2, item.replace("ambleford and", "somewhere but")), (3, " ".join(item.split()[:10]))])
+    got = decontam.leaks(docs, bench).collect()
+    assert [(r["doc_id"], r["question_overlap"]) for r in got] == [(1, 1.0)] and got[0]["answer_overlap"] < 0.8
+
+
 # Chat
 
 
