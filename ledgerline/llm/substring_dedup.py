@@ -4,8 +4,11 @@ A gear hash runs over the UTF-8 bytes; with 32 bits and one shift a byte it
 depends on the last ``WINDOW`` bytes only (higher ones are cut off), so equal
 passages hash equally wherever they stand. A chunk ends where the hash is the
 least within ``REACH`` bytes on either side: boundaries follow content, insertions
-disturb the chunks they touch and no others, and chunks are never shorter than
-``REACH`` bytes apart from the last. Chunks are deduplicated by a 128-bit digest:
+disturb the chunks they touch and no others. In a stretch that repeats itself within
+``REACH`` bytes (one word over and over, a row of dots) the least hash comes back once a
+period and ends a chunk each time: such chunks are one period long and the same wherever
+the stretch begins, so it counts as repeated if another document repeats that period as
+well, however often. All other chunks are longer than ``REACH``, apart from the last. Chunks are deduplicated by a 128-bit digest:
 a digest that several documents hold belongs to the smallest ``doc_id``. Runs of
 such chunks of at least ``RUN`` bytes are the repeated passages.
 
@@ -61,7 +64,7 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
 def boundaries(data: np.ndarray) -> np.ndarray:
     """Positions after which a chunk ends: the hash is least within ``REACH`` on both sides.
 
-    Equal hashes: the left one counts as less. The end is a boundary always.
+    Equal hashes all end chunks. The end is a boundary always.
     """
     n = len(data)
     if not n:
@@ -81,7 +84,7 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     before = np.full(n, top)
     if n > REACH:
         before[REACH:] = least[: n - REACH]
-    at = np.flatnonzero((h < before) & (h <= after))
+    at = np.flatnonzero((h <= before) & (h <= after))
     # Near the start fewer than REACH bytes lie before; those positions never end a chunk.
     at = at[(at >= REACH) & (at < n - REACH)]
     return np.append(at + 1, n)

@@ -206,6 +206,24 @@ def test_boundaries_resist_insertions(head, other):
     assert cuts[0] == cuts[1]
 
 
+@pytest.mark.parametrize("passage", [b"the " * 51, b"lorem " * 51, b"." * 204, b"0123456789" * 21, b"once upon a " * 17])
+@pytest.mark.parametrize("skip", [0, 3])
+def test_repeats_of_one_word_are_found_in_any_context(passage, skip):
+    rng = np.random.default_rng(11)
+    runs = []
+    for k in range(2):
+        lead, tail = (rng.integers(97, 123, int(rng.integers(200, 300)), dtype=np.uint8).tobytes() for _ in range(2))
+        data = np.frombuffer(lead + passage[skip * k :] + tail, dtype=np.uint8)
+        ends = substring_dedup.boundaries(data)
+        sizes = np.diff(ends, prepend=0).tolist()
+        runs.append((sizes, list(zip(*substring_dedup.digests(data, ends), strict=True))))
+    known, best, run = set(runs[0][1]), 0, 0
+    for size, digest in zip(*runs[1], strict=True):
+        run = run + size if digest in known else 0
+        best = max(best, run)
+    assert best >= substring_dedup.RUN
+
+
 def test_digest_depends_on_content_only():
     data = np.frombuffer(b"abcabc" * 2000, dtype=np.uint8)
     h, g = substring_dedup.digests(data, np.array([3, 6, 9, 10, 12000]))
