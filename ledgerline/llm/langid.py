@@ -93,7 +93,7 @@ def _judged(model: TrigramModel, batches: Iterator[pa.RecordBatch], markup: bool
         for part in text_slices(batch, limit=4 << 20):
             if markup:
                 raw = [x or "" for x in part.column("text").to_pylist()]
-                declared = [m[1].lower() if (m := _DECLARED.search(x[:4096])) else None for x in raw]
+                declared = [m[1].lower() if (m := _DECLARED.search(x)) else None for x in raw]
                 texts = [visible(x) for x in raw]
             else:
                 texts, declared = raw_texts(part), [None] * part.num_rows

@@ -307,6 +307,12 @@ def test_language_id_of_odd_rows(spark):
     assert langid.visible("<style>x</style>a<!-- b -->&lt;c<b>d</b>").split() == [b"a", b"<c", b"d"]
 
 
+def test_language_declared_late_in_a_page(spark):
+    docs = frame(spark, [(1, "the cat and the dog", "en", "a"), (2, "der hund und die katze", "de", "b")])
+    pages = spark.createDataFrame([(1, None, f"<!-- {'licence ' * 3000} -->\n<html class=x lang=de>")], "page_id long, url string, html string")
+    assert [r["declared"] for r in langid.identify(docs, pages).filter("kind = 'page'").collect()] == ["de"]
+
+
 # Mixing
 
 
