@@ -6,10 +6,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.plans.materialise import materialise  # noqa: F401
+from ledgerline.plans.materialise import materialise
 
 #: Copies of the smaller side of a join whose key may be hot.
 SALTS = 16
@@ -28,6 +28,31 @@ def salted_left_join(rows: DataFrame, lookup: DataFrame, key: str, spread: str,
     return dealt.join(many, [key, "_salt"], "left").drop("_salt")
 
 
+def text_key() -> Column:
+    """A 64-bit key of a row's text; beside ``doc_id`` it tells rows apart that share an id. Null is empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def kept_rows(documents: DataFrame, decided: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``documents`` that ``decided`` keeps, with all their columns.
+
+    ``decided`` has a row ``doc_id, key, kept`` per document; ``key`` computes that key
+    from a document. Null ids equal each other. Rows alike in id and key share one
+    decision, and of those to be kept one stays.
+    """
+    per = decided.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
+        F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")
+    )
+    marks = materialise(per.filter("not _kept or _n > 1"), "row-marks")
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("_own"), key.alias("_text"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+    if marks.filter("_kept").isEmpty():
+        return rows.join(marks, same, "left_anti").select("row.*")
+    marked = rows.join(marks, same, "left").filter("_kept is null or _kept")
+    alone = marked.filter("_kept is null").select("row.*")
+    return alone.unionByName(marked.filter("_kept").dropDuplicates(["_id", "_key"]).select("row.*"))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no slice has much more than ``limit`` bytes of text (one row at least)."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -7,9 +7,10 @@ Long texts are moved once, as distinct chunks; documents then meet as short
 lists of 64-bit numbers.
 
 Edge cases: a null text counts as empty and empty texts equal each other; a null
-``doc_id`` ranks below every number; rows that repeat both ``doc_id`` and text
-share one fate; an empty table gives an empty result; further columns, whatever
-their names, are ignored.
+``doc_id`` ranks below every number; rows that repeat both ``doc_id`` and text share one
+decision, and where rows are dropped one of them stays; texts of any length are cut
+into chunks; an empty table gives an empty result; further columns, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import kept_rows
+
 #: Chunk bounds in code points; a chunk ends at the first ``.`` or newline past the minimum.
 MIN_CHUNK, MAX_CHUNK = 256, 2048
 #: A group of equal documents is spread over so many join keys.
@@ -95,7 +98,6 @@ def exact_duplicates(documents: DataFrame, bits: int = 64) -> DataFrame:
 
 
 def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    gone = exact_duplicates(documents).filter("not kept").select(F.col("doc_id").alias("_id"), "text_sha256")
-    same = F.sha2(F.coalesce(documents["text"], F.lit("")), 256) == gone["text_sha256"]
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["_id"]) & same, "left_anti")
+    """One row of each group of equal texts, with all its columns: that with the largest ``doc_id``."""
+    decided = exact_duplicates(documents).select("doc_id", F.col("text_sha256").alias("key"), "kept")
+    return kept_rows(documents, decided, F.sha2(F.coalesce("text", F.lit("")), 256))

@@ -9,12 +9,15 @@ from a seeded starting block, so selection is closed-form arithmetic on running
 sums and no shard's documents are gathered.
 
 The source table (one row per source) passes through single-task windows: it is
-the ranking the weights are defined by. Shards hold about ``SHARD`` words each,
-however large their source is.
+the ranking the weights are defined by. Shards hold about ``SHARD`` words and ``ROWS``
+rows at most, however large their source is. The seeded hash covers id and text, so
+rows that share an id or have none are spread like all others.
 
 Edge cases: null text has size 0; a null source is a source, ranked last; size 0
 rows take 0; ties in the seeded order fall to doc_id, then size; repeated rows
-are separate rows; a table without words takes nothing; empty in, empty out.
+are separate rows; a very long text is one row like any other, and its shard as large as
+it is; a source of empty texts takes nothing, whatever its weight; a table without words
+takes nothing; empty in, empty out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerline.llm.common import materialise
+
 #: Fixed values of the mix: weights by source rank, total against all sizes, most passes.
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2
-#: Words in a block, words aimed at in a shard, and the seed of order and start.
-BLOCK, SHARD, SEED = 16, 1_000_000, 20_240_229
+#: Words in a block, words and rows aimed at in a shard, and the seed of order and start.
+BLOCK, SHARD, ROWS, SEED = 16, 1_000_000, 200_000, 20_240_229
 
 
 def word_count(text: Column) -> Column:
@@ -34,7 +39,7 @@ def word_count(text: Column) -> Column:
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
-    """``source, source_size, target`` from rows of ``source, size``.
+    """``source, source_size, source_rows, target`` from rows of ``source, size``.
 
     With sources in ascending order of cap/weight, those before the break reach
     their cap; the level of the others follows from what is left.
@@ -42,7 +47,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
     every = Window.partitionBy()
     order = F.col("source").asc_nulls_last()
     weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows"))
     ranked = per.withColumn("rank", F.row_number().over(every.orderBy(order)) - 1).withColumn(
         "weight", F.element_at(weights, (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
     )
@@ -58,7 +63,7 @@ def source_targets(sized: DataFrame) -> DataFrame:
         "open_level", F.max(F.when(F.col("at") == F.col("stop"), F.col("level"))).over(every)
     )
     target = F.when(F.col("at") < F.col("stop"), F.col("cap")).otherwise(F.col("open_level") * F.col("weight"))
-    return final.select("source", "source_size", target.alias("target"))
+    return final.select("source", "source_size", "source_rows", target.alias("target"))
 
 
 def sainte_lague(parties: DataFrame, group: list[str], votes: str, limit: str, seats: str) -> DataFrame:
@@ -95,10 +100,15 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, limit: str, s
     )
 
 
-def mix(documents: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED) -> DataFrame:
+def mix(documents: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = SEED, rows: int = ROWS) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken``, one row per document."""
-    sized = documents.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn(
-        "draw", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # Texts are read once; everything below works on what is written here.
+    sized = materialise(
+        documents.select(
+            "doc_id", "source", word_count(F.col("text")).alias("size"),
+            F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("draw"),
+        ),
+        "mix-sizes",
     )
     targets = source_targets(sized)
     blocks = F.floor(F.col("target") / block + 0.5).cast("long")
@@ -108,9 +118,12 @@ def mix(documents: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
         targets.withColumn("seats", total).withColumn("bound", F.greatest(bound, blocks))
         .withColumn("all", F.lit(1)).withColumn("party", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     )
-    sources = sainte_lague(sources, ["all"], "target", "bound", "seats").select(
-        "source", "source_size", "target", F.col("quota").alias("source_blocks"),
-        F.greatest(F.ceil(F.col("source_size") / shard), F.lit(1)).cast("long").alias("shards"),
+    sources = materialise(
+        sainte_lague(sources, ["all"], "target", "bound", "seats").select(
+            "source", "source_size", "target", F.col("quota").alias("source_blocks"),
+            F.greatest(F.ceil(F.col("source_size") / shard), F.ceil(F.col("source_rows") / rows), F.lit(1)).cast("long").alias("shards"),
+        ),
+        "mix-sources",
     )
     # Both sides hold a source as (value, is it null); the source table is joined where each document is.
     dealt = (
@@ -128,7 +141,7 @@ def mix(documents: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
         .withColumn("party", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "shard"))
         .withColumn("owner", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     )
-    quotas = sainte_lague(per, ["owner"], "votes", "most", "source_blocks").select(
+    quotas = sainte_lague(materialise(per, "mix-shards"), ["owner"], "votes", "most", "source_blocks").select(
         F.col("source").alias("q_source"), F.col("shard").alias("q_shard"), "shard_size",
         F.least(F.col("quota") * block, F.col("shard_size") * PASSES).alias("words"),
     )

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import golay
-from ledgerline.llm.common import materialise, raw_texts, salted_left_join, text_slices, words
+from ledgerline.llm.common import kept_rows, materialise, raw_texts, salted_left_join, text_key, text_slices, words
 from ledgerline.plans.components import connected_components
 
 #: Words in a shingle, hash seed, most differing bits of a link.
@@ -76,13 +76,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for part in text_slices(batch):
             found = np.array([fingerprint(shingle_hashes(raw)) for raw in raw_texts(part)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(found.view(np.int64))], ["doc_id", "th", "fp"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint as a signed 64-bit number."""
+    """``doc_id, th, fp``: the text's key, and the fingerprint as a signed 64-bit number."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    rows = documents.select("doc_id", text_key().alias("th"), "text")
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, th long, fp long")
 
 
 def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,23 +229,29 @@ def links(distinct: DataFrame, limit: int = BUCKET) -> DataFrame:
     return near.union(far.distinct())
 
 
-def near_duplicates(documents: DataFrame, limit: int = BUCKET) -> DataFrame:
-    """One row per document: ``doc_id, fingerprint, component_id``."""
+def _grouped(documents: DataFrame, limit: int) -> DataFrame:
+    """``doc_id, th, fp, best`` per row; ``best`` is the least (no id, id, text key) of its component, null if it is alone."""
     prints = materialise(fingerprints(documents), "simhash-prints")
-    per = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    per = prints.groupBy("fp").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n"))
     nodes = connected_components(links(per.select("fp"), limit), "a", "b")
-    linked = nodes.join(per, nodes["node"] == per["fp"]).groupBy("component").agg(F.min("first").alias("component_id"))
-    named = salted_left_join(nodes, linked, "component", "node").select(F.col("node").alias("fp"), "component_id")
-    copies = per.filter("n > 1").join(named, "fp", "left_anti").select("fp", F.col("first").alias("component_id"))
-    joined = salted_left_join(prints, named.union(copies), "fp", "doc_id")
-    return joined.select(
+    linked = nodes.join(per, nodes["node"] == per["fp"]).groupBy("component").agg(F.min("first").alias("best"))
+    named = salted_left_join(nodes, linked, "component", "node").select(F.col("node").alias("fp"), "best")
+    copies = per.filter("n > 1").join(named, "fp", "left_anti").select("fp", F.col("first").alias("best"))
+    return salted_left_join(prints, named.union(copies), "fp", "doc_id")
+
+
+def near_duplicates(documents: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """One row per document: ``doc_id, fingerprint, component_id``."""
+    return _grouped(documents, limit).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.coalesce("best.doc_id", "doc_id").alias("component_id"),
     )
 
 
-def drop_near_duplicates(documents: DataFrame) -> DataFrame:
-    """The smallest ``doc_id`` of each component, with all columns."""
-    gone = near_duplicates(documents).filter("component_id <> doc_id").select("doc_id")
-    return documents.join(gone, "doc_id", "left_anti")
+def drop_near_duplicates(documents: DataFrame, limit: int = BUCKET) -> DataFrame:
+    """One row of each component, with all its columns: the smallest ``doc_id``, ties by text key, null ids last."""
+    first = F.col("best").isNull() | (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("th") == F.col("best.th")))
+    decided = _grouped(documents, limit).select("doc_id", F.col("th").alias("key"), first.alias("kept"))
+    return kept_rows(documents, decided, text_key())

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontam, eliasfano, langid, mixing, ngram_lm, queries, toxicity
+from ledgerline.llm import chat, decontam, eliasfano, exact_dedup, langid, mixing, ngram_lm, queries, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, held_out string, p string, host string"
 
@@ -185,7 +185,7 @@ def test_wand_finds_all_above_threshold():
         query = {w.encode() for w in rng.choice(vocab, int(rng.integers(1, 60)))}
         want = {}
         for t in query:
-            for item, share in index.postings.get(t, []):
+            for item, share in index.postings(t):
                 want[item] = want.get(item, 0) + share
         got = dict(index.search(query, 0.5))
         assert got.keys() == {i for i, s in want.items() if s >= 0.5 - 1e-9}
@@ -410,7 +410,58 @@ def test_stages_take_odd_rows(spark, sf):
                 assert out.columns == docs.columns, name
             assert out.count() <= n, name
     kept = pipeline.STAGES[1][1](spark, odd, sf).select("doc_id", "text").collect()
-    assert sorted((r["doc_id"], r["text"][:5]) for r in kept) == [(2, ""), (2, ""), (3, "other"), (3, "plain"), (4, "a a a"), (5, "xxxxx")]
+    assert sorted((r["doc_id"], r["text"][:5]) for r in kept) == [(2, ""), (3, "other"), (3, "plain"), (4, "a a a"), (5, "xxxxx")]
+
+
+def bag(frame):
+    return Counter((r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect())
+
+
+def test_stages_decide_by_row_not_by_id(spark):
+    """Null, shared and repeated ids: every stage that drops rows against the rows it should keep."""
+    rng = np.random.default_rng(12)
+    long = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, 300))
+    a, b, near = long(1), long(2), long(1) + " tail"
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, b), (7, near), (8, None), (8, ""), (9, b), (9, b)]
+    docs = frame(spark, rows)
+    # Of equal texts the largest id, once.
+    assert bag(exact_dedup.drop_exact_duplicates(docs)) == Counter([(5, a), (9, b), (7, near), (8, "")]) or \
+        bag(exact_dedup.drop_exact_duplicates(docs)) == Counter([(5, a), (9, b), (7, near), (8, None)])
+    # Of linked texts the smallest id, once.
+    got = bag(simhash.drop_near_duplicates(docs))
+    assert got == Counter([(3, a), (5, b), (8, None)]) or got == Counter([(3, a), (5, b), (8, "")])
+    assert bag(simhash.drop_near_duplicates(frame(spark, [(None, a), (None, a), (None, near)]))).total() == 1
+    # A leak goes whatever its id, and takes no other row with it.
+    item = "which river flows through the old stone town of ambleford and who built its first bridge"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    odd = [(None, item), (7, f"so {item}"), (7, "clean text"), (None, "clean text"), (7, "clean text"), (8, None)]
+    for size in (decontam.INDEX_BYTES, 10):
+        assert bag(decontam.drop_contaminated(frame(spark, odd), bench, size)) == Counter([(7, "clean text"), (None, "clean text"), (7, "clean text"), (8, None)])
+    # Toxic texts go whatever their id.
+    calm = [" ".join(rng.choice([f"word{i}" for i in range(300)], 30)) for _ in range(400)]
+    known = [(i, t + (" idiot scum" if i % 2 else "")) for i, t in enumerate(calm)]
+    marks = spark.createDataFrame([(i, 0, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    odd = [(None, "word1 idiot scum word2"), (9001, "idiot scum word5"), (9001, "word5 word6"), (None, "word7"), (9001, "word5 word6")]
+    kept = bag(toxicity.drop_toxic(frame(spark, known + odd), marks))
+    assert {k: n for k, n in kept.items() if k[0] in (None, 9001)} == {(9001, "word5 word6"): 2, (None, "word7"): 1}
+    # Shared and null ids mix like any others.
+    mixed = mixing.mix(docs, block=1).collect()
+    assert len(mixed) == len(rows) and sum(r["taken"] for r in mixed) == round(1.5 * sum(len(words(t)) for _, t in rows))
+
+
+def test_training_rows_are_bounded(spark):
+    rows = [(1, "bad words")] * 50 + [(i, f"text number {i} " * 10) for i in range(2, 200)]
+    marks = spark.createDataFrame([(i, 0, int(i < 3)) for i in range(1, 200)], "doc_id long, quality int, toxic int")
+    got = toxicity.training_rows(frame(spark, rows), marks, 5, 20, 1 << 20).collect()
+    assert sum(r["text"] == "bad words" for r in got) == 1 and sum(r["toxic"] == 0 for r in got) == 20
+    small = toxicity.training_rows(frame(spark, rows), marks, 5, 20, 2000).collect()
+    assert sum(len(r["text"]) for r in small if r["toxic"] == 0) <= 1000 and len(small) < len(got)
+
+
+def test_item_statistics_cover_all_blocks(spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda size: sorted((r["doc_id"], r["item_id"], round(r["bm25"], 6), round(r["own_share"], 6)) for r in decontam.leaks(docs, bench, size).collect())
+    assert key(decontam.INDEX_BYTES) == key(2000)
 
 
 def test_repeated_runs_agree(spark, sf):
