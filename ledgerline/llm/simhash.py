@@ -8,19 +8,26 @@ So two sorts of key suffice:
 * the segment itself, for each segment;
 * for each pair of segments, a pair of Golay codeword indices. Decoding a word
   and all words one bit from it gives its nearby indices, six at most; of two
-  words one bit apart, each one's own index is among the other's nearby ones.
+  words one bit apart, each one's own index is among the other's nearby ones. So one
+  fingerprint's own index in one segment, with the other's own index in the other, is a
+  key of both, and each has some ten keys a pair.
 
 Fingerprints that share a key meet, are verified on all 64 bits, and give links.
 Only links that connect something new within a bucket are put out, so a dense
-bucket of m fingerprints gives at most m-1 rows. Buckets above ``BUCKET`` leave the
-comparison and are linked through midpoints: two words at most four bits apart
-have a word within two bits of both, so every fingerprint goes to the 2081 words
-within two bits and is linked to the smallest one found there. That is linear and
-exact, whatever the bucket's size. Components come from links by alternating stars.
+bucket of m fingerprints gives at most m-1 rows. Buckets above ``BUCKET`` are split by
+longer keys: the same key with a Golay index of one of the segments it leaves open,
+4,096 times as fine. Only fingerprints that crowd one longer key as well, thousands within a few
+bits, are linked through midpoints: two words at most four bits apart have a word within
+two bits of both, so every such fingerprint goes to the 2081 words within two bits and is
+linked to the smallest one found there. That is linear. Every step is exact, whatever a
+bucket's size. Components come from links by alternating stars.
 
 Edge cases: null and blank texts have fingerprint zero and are linked like any
-other; fewer than four words make one shingle; a null ``doc_id`` gets the component
-of its fingerprint; repeated rows are separate rows; empty in, empty out.
+other; fewer than four words make one shingle; a very long text is hashed whole, slice
+by slice with its neighbours; a null ``doc_id`` gets the component of its fingerprint;
+rows that share an id are told apart by their text; repeated rows are separate rows, of
+which ``drop_near_duplicates`` keeps one at most; empty in, empty out; other columns are
+ignored, and ``drop_near_duplicates`` passes them on.
 """
 
 from __future__ import annotations
@@ -86,37 +93,72 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, f"doc_id {kind}, th long, fp long")
 
 
+def _segments(fps: np.ndarray) -> list[np.ndarray]:
+    return [((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.uint32) for low, width in SEGMENTS]
+
+
 def bucket_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``key, row, own`` of every key of the fingerprints; own marks the ones all partners look for."""
+    """``key, row, role`` of every key of the fingerprints.
+
+    Of a pair of segments, one's own index meets all near ones of the other, and the
+    other way round: roles 1 and 2; 3 is both. Partners' roles together give 3.
+    """
     fps = fps.astype(np.uint64)
-    parts = [((fps >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.uint32) for low, width in SEGMENTS]
+    parts = _segments(fps)
     rows = np.arange(len(fps))
-    keys, at, own = [], [], []
+    keys, at, role = [], [], []
     for kind, part in enumerate(parts):
         keys.append(part.astype(np.int64) | (kind + 3) << 24)
         at.append(rows)
-        own.append(np.ones(len(fps), dtype=bool))
+        role.append(np.full(len(fps), 3, dtype=np.int8))
     near = [golay.nearby(part, width) for part, (_, width) in zip(parts, SEGMENTS, strict=True)]
     for kind, (i, j) in enumerate(combinations(range(3), 2)):
         (a, am), (b, bm) = near[i], near[j]
-        both = (a.astype(np.int64) << 12)[:, :, None] | b[:, None, :] | (kind << 24)
-        mask = am[:, :, None] & bm[:, None, :]
-        first = np.zeros(mask.shape, dtype=bool)
-        first[:, 0, 0] = True
-        keys.append(both[mask])
-        at.append(np.broadcast_to(rows[:, None, None], mask.shape)[mask])
-        own.append(first[mask])
-    return np.concatenate(keys), np.concatenate(at), np.concatenate(own)
+        own_a, own_b = a[:, :1].astype(np.int64), b[:, :1].astype(np.int64)
+        first = own_a << 12 | b | kind << 24  # its own index comes first among the near ones
+        other = a[:, 1:].astype(np.int64) << 12 | own_b | kind << 24
+        roles = np.ones(first.shape, dtype=np.int8)
+        roles[:, 0] = 3
+        for found, mask, which in ((first, bm, roles), (other, am[:, 1:], np.full(other.shape, 2, dtype=np.int8))):
+            keys.append(found[mask])
+            at.append(np.broadcast_to(rows[:, None], mask.shape)[mask])
+            role.append(which[mask])
+    return np.concatenate(keys), np.concatenate(at), np.concatenate(role)
+
+
+def longer_keys(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``key, row``: keys of crowded buckets, lengthened by a Golay index of another segment.
+
+    Fingerprints that share a pair's key differ in at most two bits of the third segment;
+    those that share a segment differ in at most two bits of one of the others. Words two bits
+    apart have a word between them, whose index is near both.
+    """
+    parts, kind, rows = _segments(fps.astype(np.uint64)), keys >> 24, np.arange(len(keys))
+    out, at = [], []
+    pairs = list(combinations(range(3), 2))
+    for which, (part, (_, width)) in enumerate(zip(parts, SEGMENTS, strict=True)):
+        free = np.isin(kind, [k for k in range(3) if which not in pairs[k]] + [k + 3 for k in range(3) if k != which])
+        index, mask = golay.nearby(part[free], width)
+        long = (keys[free].astype(np.int64) << 14)[:, None] | which << 12 | index
+        out.append(long[mask])
+        at.append(np.broadcast_to(rows[free][:, None], mask.shape)[mask])
+    return np.concatenate(out), np.concatenate(at)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 20_000):
             fps = batch.column("fp").slice(start, 20_000).to_numpy(zero_copy_only=False)
-            key, row, own = bucket_keys(fps.view(np.uint64))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype(np.int32)), pa.array(fps[row]), pa.array(own)], ["key", "fp", "own"]
-            )
+            key, row, role = bucket_keys(fps.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(role)], ["key", "fp", "role"])
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, 20_000):
+            keys, fps, roles = (batch.column(c).slice(start, 20_000).to_numpy(zero_copy_only=False) for c in ("key", "a", "role"))
+            key, row = longer_keys(keys, fps.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fps[row]), pa.array(roles[row])], ["key", "fp", "role"])
 
 
 def _tree(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -136,23 +178,23 @@ def _tree(fps: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return left, right
 
 
-def _bucket_links(key: np.ndarray, fps: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_links(key: np.ndarray, fps: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within buckets of sorted keys."""
     edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
     sizes = np.diff(edges)
     size = np.repeat(sizes, sizes)
     left, right = [], []
     pick = np.flatnonzero((size > 1) & (size <= SMALL))
-    k, f, o = key[pick], fps[pick], own[pick]
+    k, f, o = key[pick], fps[pick], role[pick]
     for step in range(1, SMALL):
         same = k[step:] == k[:-step]
         if not same.any():
             break
-        hit = np.flatnonzero(same & (o[step:] | o[:-step]))
+        hit = np.flatnonzero(same & ((o[step:] | o[:-step]) == 3))
         hit = hit[np.bitwise_count(f[hit] ^ f[hit + step]) <= DISTANCE]
         left.append(f[hit])
         right.append(f[hit + step])
-    for b in np.flatnonzero((sizes > SMALL) & np.logical_or.reduceat(own, edges[:-1])):
+    for b in np.flatnonzero((sizes > SMALL) & (np.bitwise_or.reduceat(role, edges[:-1]) == 3)):
         a, z = _tree(fps[edges[b] : edges[b + 1]])
         left += a
         right += z
@@ -162,25 +204,28 @@ def _bucket_links(key: np.ndarray, fps: np.ndarray, own: np.ndarray) -> tuple[np
 
 
 def _linked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Links of rows sorted by key; ``b`` is null for a fingerprint of a bucket above the limit."""
+    """Links ``a, b`` of rows sorted by key; of a bucket above the limit its rows ``key, a, role`` with ``b`` null."""
 
-    def out(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-        if b is not None and len(a):
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            a, b = pairs
-        second = pa.nulls(len(a), pa.int64()) if b is None else pa.array(np.ascontiguousarray(b).view(np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a).view(np.int64)), second], ["a", "b"])
+    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        if len(a):
+            a, b = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        ends = [pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (a, b)]
+        return pa.RecordBatch.from_arrays([*ends, pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int8())], names)
 
+    def left(key: np.ndarray, fps: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(fps), pa.nulls(len(fps), pa.int64()), pa.array(key), pa.array(role)], names)
+
+    names = ["a", "b", "key", "role"]
     held: tuple[np.ndarray, ...] | None = None
     over = None  # the key of a bucket that has left the comparison
     for batch in batches:
-        now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "own"))
+        now = tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "role"))
         if held is not None:
             now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
         if over is not None:
             gone = now[0] == over
             if gone.any():
-                yield out(np.unique(now[1][gone]).view(np.uint64), None)
+                yield left(*(x[gone] for x in now))
                 now = tuple(x[~gone] for x in now)
         if not len(now[0]):
             held = None
@@ -188,13 +233,13 @@ def _linked(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Record
         last = np.searchsorted(now[0], now[0][-1])
         done, held = tuple(x[:last] for x in now), tuple(x[last:] for x in now)
         counts = np.unique(done[0], return_counts=True)
-        for k in counts[0][counts[1] > limit]:
-            big = done[0] == k
-            yield out(np.unique(done[1][big]).view(np.uint64), None)
+        big = np.isin(done[0], counts[0][counts[1] > limit])
+        if big.any():
+            yield left(*(x[big] for x in done))
             done = tuple(x[~big] for x in done)
         if len(held[0]) > limit:
             over = held[0][0]
-            yield out(np.unique(held[1]).view(np.uint64), None)
+            yield left(*held)
             held = None
         if len(done[0]):
             yield out(*_bucket_links(done[0], done[1].view(np.uint64), done[2]))
@@ -214,16 +259,28 @@ def _midpoints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+_KEYED, _LINKED = "key long, fp long, role byte", "a long, b long, key long, role byte"
+
+
+def _met(keyed: DataFrame, limit: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """Links of keyed fingerprints, and the rows of buckets above the limit."""
+    met = keyed.repartition("key").sortWithinPartitions("key")
+    found = materialise(met.mapInArrow(lambda it: _linked(it, limit), _LINKED), label)
+    return found.filter("b is not null").select("a", "b").distinct(), found.filter("b is null")
+
+
 def links(distinct: DataFrame, limit: int = BUCKET) -> DataFrame:
     """``a, b``: links between distinct fingerprints ``fp`` that connect every pair at most four bits apart."""
-    keyed = distinct.select("fp").mapInArrow(_keyed, "key int, fp long, own boolean")
-    met = keyed.repartition("key").sortWithinPartitions("key")
-    found = materialise(met.mapInArrow(lambda it: _linked(it, limit), "a long, b long"), "simhash-links")
-    near = found.filter("b is not null").distinct()
-    crowded = found.filter("b is null").select(F.col("a").alias("fp")).distinct()
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = distinct.select("fp").repartition(tasks)  # a row becomes some thirty: as many tasks as the next shuffle
+    near, crowded = _met(dealt.mapInArrow(_keyed, _KEYED), limit, "simhash-links")
     if crowded.isEmpty():
         return near
-    middle = materialise(crowded.mapInArrow(_midpoints, "z long, fp long"), "simhash-midpoints")
+    second, dense = _met(crowded.mapInArrow(_split, _KEYED), limit, "simhash-second")
+    near, dense = near.union(second), dense.select(F.col("a").alias("fp")).distinct()
+    if dense.isEmpty():
+        return near
+    middle = materialise(dense.mapInArrow(_midpoints, "z long, fp long"), "simhash-midpoints")
     low = middle.groupBy("z").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
     far = middle.join(low, "z").filter("fp <> low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
     return near.union(far.distinct())
