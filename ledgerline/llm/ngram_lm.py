@@ -11,18 +11,25 @@ the shared folder that workers map into memory:
   log10 probabilities quantised to 8 bits, and per context a quantised back-off weight.
 
 Level 1 holds every training word and higher levels every n-gram of the training
-rows, those seen once included, at every size. Each level's pass over the corpus
-names an n-gram by the shorter ones it contains, with the trie so far.
-Probabilities are absolutely discounted and interpolated; what a discount takes is
-the back-off weight, so each context's probabilities sum to one up to quantisation.
-
-Counting is grouped aggregation of per-slice counts. Shards are range partitions of
-a level's sorted entries, so a frequent context is spread over several and only its
-totals, from the two edges of each shard, pass through the driver. Tasks write
-shards under temporary names and rename them; repeated attempts write the same bytes.
+rows, those seen once included, at every size. Probabilities are absolutely
+discounted and interpolated; what a discount takes is the back-off weight, so each
+context's probabilities sum to one up to quantisation.
+
+Texts are read twice for counting: once for words, once for n-grams of the full
+length, which hold the shorter ones as their beginnings (texts are padded at the end).
+Each slice counts its own n-grams, sorts them and ships them as compressed runs, one per
+part. Parts are ranges of n-grams of about equal mass: the place of an n-gram is
+worked out from the counts of its words, as if words were independent, by a rule that
+keeps their order, so no sample and no table of cuts is needed, and n-grams of a
+frequent word are spread over many parts. A task merges the runs of one part, adding
+up equal n-grams whenever its buffer is full, so a common n-gram costs a row a slice.
+An entry or context that lies across parts is completed from the two edges of each
+part, the only thing that passes through the driver. Tasks write files under temporary
+names and rename them; repeated attempts write the same bytes.
 
 Edge cases: null and blank texts hold the end token only; a null ``doc_id`` is not held
-out; repeated rows count each time; without training rows every token has c = 0;
+out; rows that share an id are scored each for itself; repeated rows count each time; a
+very long text is one slice of its own; without training rows every token has c = 0;
 words are told apart by 64-bit hash; empty in, empty out; other columns are ignored.
 """
 
@@ -31,17 +38,17 @@ from __future__ import annotations
 import mmap
 import os
 import re
-import tempfile
+from collections import OrderedDict, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 import pyarrow.fs
-import pyarrow.parquet
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +57,12 @@ from ledgerline.llm.eliasfano import EliasFano, encode
 from ledgerline.plans.materialise import discard
 from ledgerline.session import remove_path, scratch_path
 
-#: Longest n-gram, least count of an n-gram (nothing is cut; the tests' brute force reads it), discount, entries of a shard.
-ORDER, LEAST, DISCOUNT, SHARD = 3, 1, 0.75, 500_000
+#: Longest n-gram, discount, entries aimed at in a shard, most tasks of a stage.
+ORDER, DISCOUNT, SHARD, TASKS = 3, 0.75, 1_000_000, 20_000
 #: Bytes of text that are counted or scored as one slice.
 SLICE = 4 << 20
+#: Shards a worker keeps mapped, and bytes of shards it holds from a store that cannot be mapped.
+OPEN, HELD = 2048, 256 << 20
 _SIGN = np.uint64(1 << 63)
 
 
@@ -66,7 +75,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _located(uri: str):
-    uri = re.sub(r"^file:/+", "file:///", uri)
+    uri = re.sub(r"^s3[an]://", "s3://", re.sub(r"^file:/+", "file:///", uri))
     return pa.fs.FileSystem.from_uri(uri)
 
 
@@ -79,98 +88,140 @@ def _store(uri: str, data: bytes) -> None:
     fs.move(partial, path)
 
 
-def _mapped(uri: str) -> mmap.mmap:
-    """Map a file; one that is not on a local file system is copied to an unnamed local file first."""
+def _fetched(uri: str) -> tuple[mmap.mmap | bytes, int]:
+    """A file, mapped, and the memory it takes; where the store cannot be mapped its bytes are read."""
     fs, path = _located(uri)
     if isinstance(fs, pa.fs.LocalFileSystem):
         with open(path, "rb") as f:
-            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-    with tempfile.TemporaryFile() as f, fs.open_input_stream(path) as source:
-        while piece := source.read(1 << 22):
-            f.write(piece)
-        f.flush()
-        return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ), 0
+    with fs.open_input_stream(path) as source:
+        data = source.read()
+    return data, len(data)
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    """Columns of sorted rows of numbers from 0 on: the first as steps, each as narrow as it may be, compressed."""
+    out = [np.array([len(columns), len(columns[0])], dtype=np.int64).tobytes()]
+    for k, column in enumerate(columns):
+        column = np.diff(column, prepend=0) if k == 0 else column
+        kind = np.min_scalar_type(int(column.max())) if len(column) else np.dtype(np.uint8)
+        # Bytes of equal weight lie together, which compresses better.
+        out += [np.array([kind.itemsize], dtype=np.int64).tobytes(), column.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    (count, n), at, out = np.frombuffer(data, np.int64, 2).tolist(), 16, []
+    for k in range(count):
+        size = int(np.frombuffer(data, np.int64, 1, at)[0])
+        column = np.frombuffer(data, np.uint8, n * size, at + 8).reshape(size, n).T.copy().view(f"u{size}").ravel().astype(np.int64)
+        out.append(np.cumsum(column) if k == 0 else column)
+        at += 8 + n * size
+    return out
 
 
 # The trie
 
 
-class Shard(NamedTuple):
-    """Where a shard is, its first key and its first position in the level."""
+class Level(NamedTuple):
+    """A level's shards in order: file number, first key, entries and tokens before each, and the level's size."""
+
+    number: np.ndarray
+    first: np.ndarray
+    child: np.ndarray
+    offset: np.ndarray
+    before: np.ndarray
+    size: int
+
 
-    uri: str
-    first: int
-    offset: int
+def _level(rows: list[tuple[int, int, int, int, int]]) -> Level:
+    """From ``number, first, child, entries, tokens`` of each shard."""
+    table = np.array(sorted(rows), dtype=np.int64).reshape(-1, 5)
+    entries, tokens = (np.concatenate([[0], np.cumsum(table[:, k])]) for k in (3, 4))
+    return Level(table[:, 0], table[:, 1], table[:, 2], entries[:-1], tokens[:-1], int(entries[-1]))
 
 
 class Trie:
-    """Shards by level and corpus totals; pickles small, maps files on first use."""
+    """Shards by level and corpus totals; pickles small, maps files when they are used."""
 
     def __init__(self, name: str):
         self.name, self.levels, self.total, self.vocabulary = name, [], 0, 0
-        self._open: dict = {}
+        self._open: OrderedDict = OrderedDict()
+        self._held = 0
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "_open"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_open", "_held")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, _open={})
+        self.__dict__.update(state, _open=OrderedDict(), _held=0)
+
+    def file(self, level: int, number: int) -> str:
+        return f"{self.name}/level{level}/{number:08d}.bin"
 
     def _shard(self, level: int, i: int):
-        if (level, i) not in self._open:
+        key = (level, i)
+        if key in self._open:
+            self._open.move_to_end(key)
+        else:
             kind = VocabularyShard if level == 1 else LevelShard
-            self._open[level, i] = kind(_mapped(self.levels[level - 1][i].uri))
-        return self._open[level, i]
-
-    def _parts(self, level: int, keys: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """Slices of ascending keys by the shard they belong to."""
-        shards = self.levels[level - 1]
-        cuts = np.searchsorted(keys, np.array([s.first for s in shards[1:]], dtype=keys.dtype))
-        edges = [0, *cuts.tolist(), len(keys)]
-        for i in range(len(shards)):
-            if edges[i] < edges[i + 1]:
-                yield i, slice(edges[i], edges[i + 1])
-
-    def word_ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (-1: unknown) and exact counts of signed hashes, in any order."""
-        ids, counts = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
-        order = np.argsort(hashes)
+            data, held = _fetched(self.file(level, int(self.levels[level - 1].number[i])))
+            self._open[key] = kind(data), held
+            self._held += held
+            while len(self._open) > 1 and (len(self._open) > OPEN or self._held > HELD):
+                self._held -= self._open.popitem(last=False)[1][1]
+        return self._open[key][0]
+
+    def shards(self, level: int) -> Iterator[VocabularyShard | LevelShard]:
+        return (self._shard(level, i) for i in range(len(self.levels[level - 1].number)))
+
+    @staticmethod
+    def _runs(of: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Slices of an ascending array that hold one value, none of them negative."""
+        edges = [*np.flatnonzero(np.diff(of, prepend=-1 if not len(of) else of[0] - 1)).tolist(), len(of)]
+        for a, b in pairwise(edges):
+            if of[a] >= 0:
+                yield int(of[a]), slice(a, b)
+
+    def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids (-1: unknown), exact counts and tokens of smaller ids, of signed hashes in any order."""
+        ids, counts, before = np.full(len(hashes), -1, dtype=np.int64), np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=np.int64)
+        level, order = self.levels[0], np.argsort(hashes)
         ranked = hashes[order]
-        for i, part in self._parts(1, ranked):
+        for i, part in self._runs(np.searchsorted(level.first, ranked, side="right") - 1):
             shard = self._shard(1, i)
             at = shard.hashes.find(ranked[part].view(np.uint64) ^ _SIGN)
             hit = at >= 0
-            ids[order[part][hit]] = at[hit] + self.levels[0][i].offset
-            counts[order[part][hit]] = shard.counts[at[hit]]
-        return ids, counts
-
-    def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
-        """Counts of entries by ascending position in the level."""
-        out = np.zeros(len(ids), dtype=np.int64)
-        for i, part in self._by_position(level, ids):
-            out[part] = self._shard(level, i).counts[ids[part] - self.levels[level - 1][i].offset]
-        return out
-
-    def _by_position(self, level: int, ids: np.ndarray) -> Iterator[tuple[int, slice]]:
-        shards = self.levels[level - 1]
-        edges = [0, *np.searchsorted(ids, [s.offset for s in shards[1:]]).tolist(), len(ids)]
-        for i in range(len(shards)):
-            if edges[i] < edges[i + 1]:
-                yield i, slice(edges[i], edges[i + 1])
-
-    def log_probabilities(self, level: int, ids: np.ndarray) -> np.ndarray:
-        """log10 probabilities of entries by ascending position in the level."""
-        if level == 1:
-            return self.base(self.counts(1, ids))
-        out = np.zeros(len(ids))
-        for i, part in self._by_position(level, ids):
-            shard = self._shard(level, i)
-            out[part] = shard.levels[shard.codes[ids[part] - self.levels[level - 1][i].offset]]
+            to, at = order[part][hit], at[hit]
+            ids[to] = at + level.offset[i]
+            before[to] = shard.upto[at] + level.before[i]
+            counts[to] = shard.upto[at + 1] - shard.upto[at]
+        return ids, counts, before
+
+    def counts(self, ids: np.ndarray) -> np.ndarray:
+        """Counts of words by id, in any order."""
+        out, level, order = np.zeros(len(ids), dtype=np.int64), self.levels[0], np.argsort(ids)
+        ranked = ids[order]
+        for i, part in self._runs(np.searchsorted(level.offset, ranked, side="right") - 1):
+            at = ranked[part] - level.offset[i]
+            upto = self._shard(1, i).upto
+            out[order[part]] = upto[at + 1] - upto[at]
         return out
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.vocabulary + 1)))
 
+    def _shard_of(self, level: int, parents: np.ndarray, children: np.ndarray) -> np.ndarray:
+        """Number of the shard of each n-gram, ascending; -1 before the first."""
+        first, child = self.levels[level - 1].first, self.levels[level - 1].child
+        of = np.searchsorted(first, parents, side="right") - 1
+        tied = (of >= 0) & (first[of] == parents)  # a context may begin in one shard and go on in others
+        for i, part in self._runs(np.where(tied, of, -1)[tied]):
+            rows = np.flatnonzero(tied)[part]
+            low = np.searchsorted(first, first[i])
+            of[rows] = low + np.searchsorted(child[low : i + 1], children[rows], side="right") - 1
+        return of
+
     def extend(self, level: int, parents: np.ndarray, children: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Position (-1: absent) and log10 probability of each n-gram, and its context's log10 back-off.
 
@@ -178,22 +229,17 @@ class Trie:
         """
         n = len(parents)
         ids, logs, weights = np.full(n, -1, dtype=np.int64), np.zeros(n), np.zeros(n)
-        if len(self.levels) < level or not self.levels[level - 1]:
-            return ids, logs, weights
-        width = max(1, self.vocabulary)
         live = np.flatnonzero(parents >= 0)
+        if len(self.levels) < level or not self.levels[level - 1].size or not len(live):
+            return ids, logs, weights
         # Unknown words are looked up as an id beyond all others, for the back-off weight.
-        keys = parents[live] * (width + 1) + np.where(children[live] < 0, width, children[live])
-        keys, back = _distinct(keys)
-        order = np.argsort(keys)
-        keys, rank = keys[order], np.empty(len(keys), dtype=np.int64)
-        rank[order] = np.arange(len(keys))
-        back = rank[back]
-        found, log, weight = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys)), np.zeros(len(keys))
-        for i, part in self._parts(level, keys):
-            at, p, w = self._shard(level, i).find(keys[part] // (width + 1), keys[part] % (width + 1))
-            found[part] = np.where(at >= 0, at + self.levels[level - 1][i].offset, -1)
-            log[part], weight[part] = p, w
+        p, c = parents[live], np.where(children[live] < 0, self.vocabulary, children[live])
+        at, back = _grouped([p, c], [self.levels[level - 2].size, self.vocabulary + 1])
+        p, c = p[at], c[at]
+        found, log, weight = np.full(len(at), -1, dtype=np.int64), np.zeros(len(at)), np.zeros(len(at))
+        for i, part in self._runs(self._shard_of(level, p, c)):
+            place, log[part], weight[part] = self._shard(level, i).find(p[part], c[part])
+            found[part] = np.where(place >= 0, place + self.levels[level - 1].offset[i], -1)
         ids[live], logs[live], weights[live] = found[back], log[back], weight[back]
         return ids, logs, weights
 
@@ -209,18 +255,46 @@ class Trie:
         return logs
 
 
+def _keys(columns: list[np.ndarray], bounds: list[int]) -> np.ndarray:
+    """One number per row that orders rows as their columns do; ranks stand in where the numbers get too large."""
+    key, size = columns[0], bounds[0]
+    for column, bound in zip(columns[1:], bounds[1:], strict=True):
+        if size * bound >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1]
+            size = len(key)
+        if size * bound >= 1 << 63:
+            column = np.unique(column, return_inverse=True)[1]
+            bound = len(column)
+        key, size = key * bound + column, size * bound
+    return key
+
+
+def _grouped(columns: list[np.ndarray], bounds: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct combination, in order, and the place of each row's combination among them."""
+    key = _keys(columns, bounds)
+    order = np.argsort(key)
+    ranked = key[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    back = np.empty(len(key), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 class VocabularyShard:
     def __init__(self, buffer):
         self.hashes = EliasFano(buffer)
-        self.counts = np.frombuffer(buffer, np.int64, self.hashes.n, self.hashes.end)
+        self.upto = np.frombuffer(buffer, np.int64, self.hashes.n + 1, self.hashes.end)
+
+    def __len__(self) -> int:
+        return self.hashes.n
 
     @staticmethod
     def build(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        return encode(keys.view(np.uint64) ^ _SIGN, (1 << 64) - 1) + counts.astype(np.int64).tobytes()
+        return encode(keys.view(np.uint64) ^ _SIGN, (1 << 64) - 1) + np.cumsum(counts, dtype=np.int64).tobytes().rjust(8 * len(keys) + 8, b"\0")
 
 
 class LevelShard:
-    """Pointers, relative last words, probability and back-off codes, counts of one shard."""
+    """Pointers, relative last words, probability and back-off codes of one shard."""
 
     def __init__(self, buffer):
         self.start, n, contexts = (int(x) for x in np.frombuffer(buffer, np.int64, 3))
@@ -229,12 +303,14 @@ class LevelShard:
         self.pointers = EliasFano(buffer, 24 + 4096)
         self.words = EliasFano(buffer, self.pointers.end)
         at = self.words.end
-        self.counts = np.frombuffer(buffer, np.int64, n, at)
-        self.codes = np.frombuffer(buffer, np.uint8, n, at + 8 * n)
-        self.back_codes = np.frombuffer(buffer, np.uint8, contexts, at + 9 * n)
+        self.codes = np.frombuffer(buffer, np.uint8, n, at)
+        self.back_codes = np.frombuffer(buffer, np.uint8, contexts, at + n)
+
+    def __len__(self) -> int:
+        return len(self.codes)
 
     @staticmethod
-    def build(parents: np.ndarray, words_: np.ndarray, counts: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> bytes:
+    def build(parents: np.ndarray, words_: np.ndarray, logs: np.ndarray, backs: np.ndarray) -> bytes:
         """From entries in order; ``backs`` has log10 weights of the distinct parents."""
         start, n = int(parents[0]), len(parents)
         contexts = int(parents[-1]) - start + 1
@@ -249,7 +325,7 @@ class LevelShard:
         return b"".join([
             np.array([start, n, contexts], dtype=np.int64).tobytes(), levels.tobytes(), steps.tobytes(),
             encode(pointers.astype(np.uint64), n), encode(relative.astype(np.uint64), int(relative[-1])),
-            counts.astype(np.int64).tobytes(), codes.tobytes(), spread.tobytes(),
+            codes.tobytes(), spread.tobytes(),
         ])
 
     def find(self, parents: np.ndarray, words_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,8 +398,8 @@ END_HASH = np.uint64(0)
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values in order of appearance and the place of each value among them, by hash table."""
-    places, found = pd.factorize(values)
-    return found, places
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
 
 
 class Tokens:
@@ -356,121 +432,218 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(tokens.hashes), pa.array(n)], ["key", "n"])
 
 
-def _ngram_counts(trie: Trie, level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of the n-grams whose both shorter parts are in the trie."""
-    for batch in batches:
-        for part in text_slices(batch, limit=SLICE):
-            tokens = Tokens(raw_texts(part))
-            distinct, _ = trie.word_ids(tokens.hashes)
-            ids = distinct[tokens.at]
-            context = ids
-            suffix = ids
-            for lower in range(2, level):
-                parents = np.concatenate([[-1], context[:-1]])
-                parents[tokens.starts] = -1
-                context = suffix = trie.extend(lower, parents, ids)[0]
-            parents = np.concatenate([[-1], context[:-1]])
-            parents[tokens.starts] = -1
-            live = np.flatnonzero((parents >= 0) & (suffix >= 0))
-            keys, place = _distinct(parents[live] * (trie.vocabulary + 1) + ids[live])
-            columns = {"key": keys, "n": np.bincount(place, minlength=len(keys))}
-            if level > 2:
-                columns["suffix"] = np.empty(len(keys), dtype=np.int64)
-                columns["suffix"][place] = suffix[live]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
-
-
-def _edges(width: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each shard's file: size, first key, total, and counts of its first and last context."""
+def _ngrams(trie: Trie, order: int, parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each slice's n-grams and their counts as sorted runs, one per part: columns of word ids from 1, 0 is padding."""
     for batch in batches:
-        for uri in batch.column("uri").to_pylist():
-            table = _run(uri, ["key", "n"])
-            key, n = (table.column(c).to_numpy() for c in ("key", "n"))
-            parent = key // width
-            rows = {}
-            for p in (parent[0], parent[-1]):
-                own = slice(*np.searchsorted(parent, [p, p + 1]))
-                rows[int(p)] = (int(n[own].sum()), own.stop - own.start)
-            stats = [{"parent": p, "total": t, "entries": e} for p, (t, e) in rows.items()]
-            yield pa.RecordBatch.from_pylist([{"uri": uri, "size": len(key), "first": int(key[0]), "total": int(n.sum()), "edges": stats}], _EDGES)
-
+        for slice_ in text_slices(batch, limit=SLICE):
+            tokens = Tokens(raw_texts(slice_))
+            ids, counts, before = trie.words(tokens.hashes)
+            ranked = np.argsort(ids)
+            rank = np.empty(len(ids), dtype=np.int64)
+            rank[ranked] = np.arange(1, len(ids) + 1)
+            local = rank[tokens.at]
+            last = np.repeat(tokens.starts + tokens.counts - 1, tokens.counts)
+            at = np.flatnonzero(np.arange(len(local)) < last)  # an end token begins nothing
+            last, columns = last[at], [local[at]]
+            for k in range(1, order):
+                columns.append(np.where(at + k <= last, local[np.minimum(at + k, last)], 0))
+            if not len(at):
+                continue
+            place, back = _grouped(columns, [len(ids) + 1] * order)
+            n = np.bincount(back)
+            columns = [c[place] for c in columns]
+            low, mass = np.concatenate([[0.0], before[ranked]]), np.concatenate([[0.0], counts[ranked]])
+            x = low[columns[-1]]
+            for c in columns[-2::-1]:
+                x = np.minimum(low[c] + mass[c] * (x / trie.total), low[c] + mass[c])
+            part = np.minimum((x * (parts / trie.total)).astype(np.int64), parts - 1)
+            known = np.concatenate([[0], ids[ranked] + 1])
+            columns = [known[c] for c in columns]
+            numbers, blobs = [], []
+            for number, own in Trie._runs(part):
+                numbers.append(number)
+                blobs.append(_packed([*(c[own] for c in columns), n[own]]))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(blobs, pa.binary())], ["part", "run"])
+
+
+def _added(rows: list[np.ndarray], bound: int) -> list[np.ndarray]:
+    """Sorted distinct n-grams with their counts added up."""
+    at, back = _grouped(rows[:-1], [bound] * (len(rows) - 1))
+    total = np.bincount(back, weights=rows[-1]).astype(np.int64)
+    return [*(c[at] for c in rows[:-1]), total]
+
+
+def _starts(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """For each n-gram length, where among sorted rows a new one begins."""
+    change, out = np.zeros(len(columns[0]), dtype=bool), []
+    change[0] = True
+    for column in columns:
+        change = change.copy()
+        change[1:] |= column[1:] != column[:-1]
+        out.append(np.flatnonzero(change & (column > 0)))
+    return out
+
+
+def _totals(columns: list[np.ndarray], n: np.ndarray, starts: list[np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each n-gram of length m, and number of different words that follow it here."""
+    if not len(starts[m - 1]):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    held = np.add.reduceat(np.where(columns[m - 1] > 0, n, 0), starts[m - 1])
+    if m == len(columns):
+        return held, np.zeros(len(held), dtype=np.int64)
+    child = np.zeros(len(n), dtype=np.int64)
+    child[starts[m]] = 1
+    return held, np.add.reduceat(child, starts[m - 1])
+
+
+def _merged(trie: Trie, order: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge the runs of each part, store them as one, and report the part's edges.
+
+    Per length: number of n-grams; count, followers and words of the first and of the last.
+    """
+    part, held, size = None, [], 0
+
+    def added() -> list[np.ndarray]:
+        return _added([np.concatenate(c) for c in zip(*held, strict=True)], trie.vocabulary + 2)
+
+    def finished() -> pa.RecordBatch:
+        *columns, n = added()
+        _store(f"{trie.name}/run/{part:08d}.bin", _packed([*columns, n]))
+        starts, edges = _starts(columns), []
+        for m in range(1, order + 1):
+            counts, followers = _totals(columns, n, starts, m)
+            edges.append(len(counts))
+            for at in (0, -1):
+                words_ = [int(c[starts[m - 1][at]]) for c in columns[:m]] if len(counts) else [0] * m
+                edges += [int(counts[at]), int(followers[at]), *words_] if len(counts) else [0, 0, *words_]
+        return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([edges], pa.list_(pa.int64()))], ["part", "edges"])
 
-_EDGES = pa.schema([
-    ("uri", pa.string()), ("size", pa.int64()), ("first", pa.int64()), ("total", pa.int64()),
-    ("edges", pa.list_(pa.struct([("parent", pa.int64()), ("total", pa.int64()), ("entries", pa.int64())]))),
-])
+    for batch in batches:
+        for number, run in zip(batch.column("part").to_pylist(), batch.column("run"), strict=True):
+            if part is not None and number != part:
+                yield finished()
+                held, size = [], 0
+            part = number
+            held.append(_unpacked(run.as_py()))
+            size += len(held[-1][0])
+            if size > 2 * SHARD and len(held) > 1:
+                held = [added()]
+                size = min(len(held[0][0]), SHARD)  # the next SHARD rows at least before adding up again
+    if part is not None:
+        yield finished()
+
+
+class Edge(NamedTuple):
+    """A part's n-grams of one length: position of its first, whether that began in an earlier part, totals of first and last."""
+
+    base: int
+    goes_on: int
+    first: tuple[int, int]
+    last: tuple[int, int]
+
+
+def _resolved(rows: list, order: int) -> list[list[Edge]]:
+    """Per length, per part in order: positions, and totals over all parts of what lies across them."""
+    parsed = []
+    for row in rows:
+        edges, at, own = row["edges"], 0, []
+        for m in range(1, order + 1):
+            size, step = edges[at], 2 + m
+            ends = [edges[at + 1 + k * step : at + 1 + (k + 1) * step] for k in (0, 1)]
+            own.append((size, *((tuple(e[2:]), e[0], e[1]) for e in ends)))
+            at += 1 + 2 * step
+        parsed.append(own)
+    totals = [defaultdict(lambda: [0, 0]) for _ in range(order)]
+    places: list[list[tuple[int, int]]] = [[] for _ in range(order)]
+    for m in range(order):
+        position, open_ = 0, None
+        for own in parsed:
+            size, first, last = own[m]
+            goes_on = int(size > 0 and first[0] == open_)
+            places[m].append((position - goes_on, goes_on))
+            position += size - goes_on
+            for words_, count, followers in ((first, last) if size > 1 else (first,) * min(size, 1)):
+                totals[m][words_][0] += count
+                totals[m][words_][1] += followers
+            if goes_on and m:  # counted as a follower in each part
+                totals[m - 1][first[0][:-1]][1] -= 1
+            open_ = last[0] if size else open_
+    return [
+        [Edge(*places[m][k], tuple(totals[m][own[m][1][0]]), tuple(totals[m][own[m][2][0]])) for k, own in enumerate(parsed)]
+        for m in range(order)
+    ]
+
+
+def _built(trie: Trie, level: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write a level's shard of each part; ``number, first, child, entries, tokens``."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            fetched, _ = _fetched(f"{trie.name}/run/{row['part']:08d}.bin")
+            *columns, n = _unpacked(bytes(fetched))
+            context, own = (Edge(x[0], x[1], tuple(x[2:4]), tuple(x[4:6])) for x in (row["context"], row["own"]))
+            starts = _starts(columns)
+            at = starts[level - 1]
+            if len(at) <= own.goes_on:
+                continue
+            counts, _ = _totals(columns, n, starts, level)
+            whole, followers = _totals(columns, n, starts, level - 1)
+            counts[-1], whole[-1], followers[-1] = own.last[0], *context.last
+            counts[0], whole[0], followers[0] = own.first[0], *context.first
+            group = np.searchsorted(starts[level - 2], at, side="right") - 1
+            parents = columns[0][at] - 1 if level == 2 else context.base + group
+            words_ = columns[level - 1][at] - 1
+            if level == 2:
+                lower = trie.base(trie.counts(words_))
+            else:
+                place = columns[1][at] - 1
+                for lower_level, column in enumerate(columns[2:level], 2):
+                    place, lower, _ = trie.extend(lower_level, place, column[at] - 1)
+            weight = np.clip(DISCOUNT * followers / whole, 1e-9, 1)
+            p = np.minimum((counts - DISCOUNT) / whole[group] + weight[group] * 10**lower, 1)
+            keep = slice(own.goes_on, None)
+            parents, words_, group = parents[keep], words_[keep], group[keep]
+            _store(trie.file(level, row["part"]), LevelShard.build(parents, words_, np.log10(p[keep]), np.log10(weight[np.unique(group)])))
+            # What a context lacks is looked up where the context begins.
+            begun = context.goes_on and not group[0]
+            yield pa.RecordBatch.from_pylist([{"number": row["part"], "first": int(parents[0]), "child": int(words_[0]) if begun else 0, "entries": len(words_), "tokens": 0}], _SHARD)
+
+
+_SHARD = pa.schema([(k, pa.int64()) for k in ("number", "first", "child", "entries", "tokens")])
+_SHARD_SQL = "number long, first long, child long, entries long, tokens long"
+
+
+def _vocabulary(trie: Trie, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Write a shard of words from a partition's sorted rows."""
+    held = [[batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "key", "n")] for batch in batches if batch.num_rows]
+    if held:
+        part, key, n = (np.concatenate(c) for c in zip(*held, strict=True))
+        for number, own in Trie._runs(part):
+            _store(trie.file(1, number), VocabularyShard.build(key[own], n[own]))
+            yield pa.RecordBatch.from_pylist(
+                [{"number": number, "first": int(key[own][0]), "child": 0, "entries": len(key[own]), "tokens": int(n[own].sum())}], _SHARD
+            )
 
 
-def _run(uri: str, columns: list[str]) -> pa.Table:
-    fs, path = _located(uri)
-    with fs.open_input_file(path) as f:
-        return pa.parquet.read_table(f, columns=columns)
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows by their column ``part``, neighbours together, in as many tasks as parts up to a bound."""
+    tasks = min(parts, TASKS)
+    return rows.repartitionById(tasks, F.floor(F.col("part") * tasks / parts).cast("int")).sortWithinPartitions("part")
 
 
-def _written(trie: Trie, level: int, edges: dict, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Turn each shard's sorted entries into its file."""
-    for batch in batches:
-        for uri, target in zip(batch.column("uri").to_pylist(), batch.column("target").to_pylist(), strict=True):
-            if level == 1:
-                table = _run(uri, ["key", "n"])
-                data = VocabularyShard.build(*(table.column(c).to_numpy() for c in ("key", "n")))
-            else:
-                key, suffix = (_run(uri, [c]).column(c).to_numpy() for c in ("key", "suffix"))
-                order = np.argsort(suffix, kind="stable")
-                lower = np.empty(len(key))
-                lower[order] = trie.log_probabilities(level - 1, suffix[order])
-                del suffix, order  # a shard's arrays are large; none is kept longer than needed
-                n = _run(uri, ["n"]).column("n").to_numpy()
-                parents, child = np.divmod(key, trie.vocabulary + 1)
-                del key
-                at = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]]))
-                own, entries = parents[at], np.diff(np.append(at, len(n)))
-                sums, of = np.add.reduceat(n, at), np.repeat(np.arange(len(at), dtype=np.int32), entries)
-                for p in (own[0], own[-1]):
-                    if int(p) in edges:
-                        i = np.searchsorted(own, p)
-                        sums[i], entries[i] = edges[int(p)]
-                whole = trie.counts(level - 1, own)
-                weight = np.clip((whole - sums + DISCOUNT * entries) / whole, 1e-9, 1)
-                p = (n - DISCOUNT) / whole[of] + weight[of] * 10**lower
-                del lower, of
-                data = LevelShard.build(parents, child, n, np.log10(np.minimum(p, 1)), np.log10(weight))
-            _store(target, data)
-            yield pa.RecordBatch.from_arrays([pa.array([target])], ["target"])
-
-
-def _add_level(spark: SparkSession, trie: Trie, entries: DataFrame, size: int) -> int:
-    """Sort a level's entries into shards, write their files, enter them in the trie; the sum of counts."""
-    level = len(trie.levels) + 1
-    shards = max(1, -(-size // SHARD))
-    run = f"{trie.name}/run{level}"
-    entries.repartitionByRange(shards, "key").sortWithinPartitions("key").write.parquet(run)
-    files = [f for f in spark.read.schema(entries.schema).parquet(run).inputFiles()] if size else []
-    if not files:
-        trie.levels.append([])
-        return 0
-    listed = spark.createDataFrame([(f,) for f in files], "uri string").repartition(len(files))
-    width = 1 << 62 if level == 1 else trie.vocabulary + 1
-    found = listed.mapInArrow(
-        lambda it: _edges(width, it),
-        "uri string, size long, first long, total long, edges array<struct<parent: long, total: long, entries: long>>",
-    ).collect()
-    found.sort(key=lambda r: r["first"])
-    edges: dict = {}
-    for row in found:
-        for e in row["edges"]:
-            total, n = edges.get(e["parent"], (0, 0))
-            edges[e["parent"]] = (total + e["total"], n + e["entries"])
-    plan, offset = [], 0
-    for i, row in enumerate(found):
-        plan.append((row["uri"], Shard(f"{trie.name}/level{level}/{i:06d}.bin", row["first"], offset)))
-        offset += row["size"]
-    todo = spark.createDataFrame([(u, s.uri) for u, s in plan], "uri string, target string").repartition(len(plan))
-    shared = spark.sparkContext.broadcast((trie, edges))
-    todo.mapInArrow(lambda it: _written(shared.value[0], level, shared.value[1], it), "target string").collect()
-    trie.levels.append([s for _, s in plan])
-    remove_path(spark, run)
-    return sum(r["total"] for r in found)
+def _add_words(trie: Trie, rows: DataFrame) -> None:
+    """Level 1: words in the order of their hashes, which are uniform, so equal ranges are shards of equal size."""
+    counted = rows.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = materialise(counted, "ngram-words")
+    trie.vocabulary = counted.count()
+    parts = max(1, -(-trie.vocabulary // SHARD))
+    share = F.col("key").cast("double") / F.lit(2.0**64) + 0.5
+    placed = counted.withColumn("part", F.least(F.floor(share * parts), F.lit(parts - 1)).cast("long"))
+    tasks = min(parts, TASKS)
+    dealt = placed.repartitionById(tasks, F.floor(F.col("part") * tasks / parts).cast("int")).sortWithinPartitions("part", "key")
+    shards = dealt.mapInArrow(lambda it: _vocabulary(trie, it), _SHARD_SQL).collect()
+    trie.levels.append(_level([tuple(r) for r in shards]))
+    trie.total = sum(r["tokens"] for r in shards)
+    discard(counted)
 
 
 def train(documents: DataFrame, order: int = ORDER) -> Trie:
@@ -478,26 +651,37 @@ def train(documents: DataFrame, order: int = ORDER) -> Trie:
     spark = documents.sparkSession
     trie = Trie(scratch_path(spark, "ngram-trie"))
     rows = documents.filter(~held_out(F.col("doc_id"))).select("text")
-    counted = rows.mapInArrow(_word_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = materialise(counted, "ngram-words")
-    trie.vocabulary = counted.count()
-    trie.total = _add_level(spark, trie, counted, trie.vocabulary)
-    discard(counted)
+    _add_words(trie, rows)
+    if order < 2 or not trie.total:
+        return trie
+    parts = max(1, -(-trie.total // SHARD))
+    words_only = spark.sparkContext.broadcast(trie)
+    runs = rows.mapInArrow(lambda it: _ngrams(words_only.value, order, parts, it), "part long, run binary")
+    merged = _dealt(runs, parts).mapInArrow(lambda it: _merged(words_only.value, order, it), "part long, edges array<long>").collect()
+    merged.sort(key=lambda r: r["part"])
+    edges = _resolved(merged, order)
     for level in range(2, order + 1):
-        if not trie.levels[-1]:
+        plan = [
+            (k, r["part"], *([e.base, e.goes_on, *e.first, *e.last] for e in (edges[level - 2][k], edges[level - 1][k])))
+            for k, r in enumerate(merged)
+        ]
+        trie.levels.append(_level(_shards_of(spark, trie, level, plan)))
+        if not trie.levels[-1].size:
             break
-        shared = spark.sparkContext.broadcast(trie)
-        # The suffix, the n-gram without its first word, follows from the key; a bigram's is its last word.
-        schema = "key long, n long" + (", suffix long" if level > 2 else "")
-        seen = rows.mapInArrow(lambda it, s=shared, k=level: _ngram_counts(s.value, k, it), schema)
-        suffix = F.min("suffix") if level > 2 else F.col("key") % (trie.vocabulary + 1)
-        kept = seen.groupBy("key").agg(suffix.alias("suffix"), F.sum("n").alias("n"))
-        kept = materialise(kept, f"ngram-level{level}")
-        _add_level(spark, trie, kept, kept.count())
-        discard(kept)
+    remove_path(spark, f"{trie.name}/run")
     return trie
 
 
+def _shards_of(spark: SparkSession, trie: Trie, level: int, plan: list[tuple]) -> list[tuple]:
+    if not plan:
+        return []
+    todo = spark.createDataFrame(plan, "id long, part long, context array<long>, own array<long>")
+    tasks = min(len(plan), TASKS)
+    shared = spark.sparkContext.broadcast(trie)
+    built = todo.repartitionById(tasks, (F.col("id") % tasks).cast("int")).mapInArrow(lambda it: _built(shared.value, level, it), _SHARD_SQL)
+    return [tuple(r) for r in built.collect()]
+
+
 # Scoring
 
 SCORES = "doc_id {}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -507,7 +691,7 @@ def _scored(trie: Trie, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in batches:
         for part in text_slices(batch, limit=SLICE):
             tokens = Tokens(raw_texts(part))
-            distinct, counts = trie.word_ids(tokens.hashes) if trie.levels[0] else (np.full(len(tokens.hashes), -1), np.zeros(len(tokens.hashes), np.int64))
+            distinct, counts, _ = trie.words(tokens.hashes)
             ids, counts = distinct[tokens.at], counts[tokens.at]
             sums = [np.add.reduceat(x, tokens.starts) for x in (trie.base(counts), trie.scores(ids, counts, tokens.starts), (counts > 0).astype(np.int64))]
             yield pa.RecordBatch.from_arrays(

@@ -57,13 +57,13 @@ def test_very_long_words_differ():
     assert found[0] == found[2] != found[1]
 
 
-def brute_lm(rows, order=3, discount=ngram_lm.DISCOUNT, least=ngram_lm.LEAST):
+def brute_lm(rows, order=3, discount=ngram_lm.DISCOUNT):
     tokens = [[*words(t), b""] for _, t in rows]
     train = [t for (i, _), t in zip(rows, tokens, strict=True) if i is None or zlib.crc32(str(i).encode()) % 5 != 1]
     counts = [Counter(x for t in train for x in zip(*(t[k:] for k in range(n)), strict=False)) for n in range(1, order + 1)]
     total, size = sum(counts[0].values()), len(counts[0])
     for n in range(1, order):
-        counts[n] = {g: c for g, c in counts[n].items() if c >= least and g[:-1] in counts[n - 1] and g[1:] in counts[n - 1]}
+        counts[n] = dict(counts[n])
     below = [defaultdict(lambda: [0, 0]) for _ in range(order)]
     for n in range(1, order):
         for g, c in counts[n].items():
@@ -105,14 +105,40 @@ def test_language_model_matches_brute_force(spark, monkeypatch):
     assert held and all(zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1 for r in held)
 
 
+@pytest.mark.parametrize(("order", "shard"), [(1, 9), (2, 5), (3, 3), (3, 100), (4, 11)])
+def test_language_model_whatever_the_parts(spark, monkeypatch, order, shard):
+    """Entries and contexts that lie across parts, common and rare ones, against brute force token by token."""
+    monkeypatch.setattr(ngram_lm, "SHARD", shard)
+    rng = np.random.default_rng(order)
+    rows = [(i, " ".join(rng.choice(["a", "a", "a", "b", "b", "c", f"r{i % 4}"], int(rng.integers(1, 12))))) for i in range(40)] + [(i, "a b a b a") for i in range(40, 60)]
+    got = {r["doc_id"]: r for r in ngram_lm.score_corpus(frame(spark, rows), order).collect()}
+    for (i, _), (n, known, total, base, score) in zip(rows, brute_lm(rows, order), strict=True):
+        assert (got[i]["n_tokens"], got[i]["n_known"], got[i]["train_tokens"]) == (n, known, total)
+        assert got[i]["base_score"] == pytest.approx(base, rel=1e-9) and abs(got[i]["score"] - score) / n < 0.015
+
+
+def test_keys_order_rows_even_where_numbers_are_large():
+    rng = np.random.default_rng(13)
+    columns = [rng.integers(0, 9, 300) * big for big in (1, 10**9, 10**12)]
+    at, back = ngram_lm._grouped(columns, [9, 9 * 10**9, 9 * 10**12])
+    rows = list(zip(*columns, strict=True))
+    assert [rows[i] for i in at] == sorted(set(rows)) and [sorted(set(rows))[k] for k in back] == rows
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(14)
+    columns = [np.sort(rng.integers(0, 2**40, 500)), rng.integers(0, 70_000, 500), rng.integers(0, 3, 500)]
+    assert all((a == b).all() for a, b in zip(ngram_lm._unpacked(ngram_lm._packed(columns)), columns, strict=True))
+
+
 def test_language_model_keeps_ngrams_seen_once(spark):
     learned = [i for i in range(20) if zlib.crc32(str(i).encode()) % 5 != 1]
     asked = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     rows = [(learned[0], "one two three four"), (learned[1], "two one four three"), (asked, "one two three")]
     trie = ngram_lm.train(frame(spark, rows))
-    assert [sum(len(trie._shard(n, i).counts) for i in range(len(trie.levels[n - 1]))) for n in (1, 2, 3)] == [5, 8, 6]
+    assert [sum(map(len, trie.shards(n))) for n in (1, 2, 3)] == [level.size for level in trie.levels] == [5, 8, 6]
     got = {r["doc_id"]: r["score"] for r in ngram_lm.score(frame(spark, rows), trie).collect()}
-    for (i, _), (n, *_, want) in zip(rows, brute_lm(rows, least=1), strict=True):
+    for (i, _), (n, *_, want) in zip(rows, brute_lm(rows), strict=True):
         assert abs(got[i] - want) / n < 0.02
 
 
@@ -124,7 +150,7 @@ def test_language_model_probabilities_sum_to_one(spark):
         total = 0.0
         for w in vocabulary:
             tokens = ngram_lm.Tokens([context + w])
-            ids, counts = trie.word_ids(tokens.hashes)
+            ids, counts, _ = trie.words(tokens.hashes)
             place = len(words(context.decode())) + (0 if w == b"" else 0)
             logs = trie.scores(ids[tokens.at], counts[tokens.at], tokens.starts)
             total += 10 ** logs[place]
