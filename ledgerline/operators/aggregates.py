@@ -14,10 +14,11 @@ from ledgerline.operators.completeness import data_columns, percent
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """``value, count, pct`` of the non-null values; the share is of all rows, nulls too.
 
-    Nulls are one more group of the same aggregation, so all rows are its total.
+    Nulls are one more group of the same aggregation, so all rows are its total, which
+    is added up from the groups' partial sums and not in a window over all of them.
     """
     counted = df.groupBy(F.col(quoted(column)).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
+    total = counted.agg(F.sum("count")).scalar()
     return (
         counted.withColumn("pct", percent(F.col("count"), total)).filter(F.col("value").isNotNull())
         .orderBy(F.desc("count"), "value")
@@ -80,12 +81,20 @@ def text_distributions(df: DataFrame, top: int = 8) -> dict[str, DataFrame]:
 
 
 def dimension_mix(counts: DataFrame, value: str = "value", count: str = "count", top: int = MIX_TOP, noun: str = "values") -> DataFrame:
-    """``rank, value, count``: the top values, the rest as ``Other (k values)``."""
+    """``rank, value, count``: the top values, the rest as ``Other (k values)``.
+
+    Only the top values are ranked; the rest is what all values add up to, less those.
+    """
     listed = counts.select(F.col(value).alias("value"), F.col(count).alias("count"))
-    ranked = listed.withColumn("rank", F.least(F.row_number().over(Window.orderBy(F.desc("count"), "value")), F.lit(top + 1)))
-    folded = ranked.groupBy("rank").agg(F.min("value").alias("value"), F.sum("count").alias("count"), F.count(F.lit(1)).alias("n"))
+    sums = [F.coalesce(F.sum("count"), F.lit(0)).cast("long").alias("count"), F.count(F.lit(1)).alias("n")]
+    best = listed.orderBy(F.desc("count"), "value").limit(top)
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "value"))  # over the top values alone
+    parts = listed.agg(*sums).unionByName(best.agg((-F.coalesce(F.sum("count"), F.lit(0))).cast("long").alias("count"), (-F.count(F.lit(1))).alias("n")))
+    rest = parts.agg(F.sum("count").alias("count"), F.sum("n").alias("n")).filter("n > 0")
     other = F.concat(F.lit("Other ("), F.col("n").cast("string"), F.lit(f" {noun})"))
-    return folded.select("rank", F.when(F.col("rank") > top, other).otherwise(F.col("value")).alias("value"), "count")
+    return best.select(place.alias("rank"), "value", F.col("count").cast("long").alias("count")).unionByName(
+        rest.select(F.lit(top + 1).alias("rank"), other.alias("value"), "count")
+    )
 
 
 def month_counts(ts: Column, df: DataFrame) -> DataFrame:
@@ -96,7 +105,7 @@ def month_counts(ts: Column, df: DataFrame) -> DataFrame:
 def monthly_inflow(df: DataFrame, ts: Column) -> DataFrame:
     """``month, count, pct``: rows per month and their share of the dated rows."""
     counted = month_counts(ts, df)
-    return counted.withColumn("pct", percent(F.col("count"), F.sum("count").over(Window.partitionBy()))).orderBy("month")
+    return counted.withColumn("pct", percent(F.col("count"), counted.agg(F.sum("count")).scalar())).orderBy("month")
 
 
 def inflow_kpis(df: DataFrame, ts: Column) -> DataFrame:

@@ -26,19 +26,25 @@ def per_column(df: DataFrame, aggregates: dict[str, callable], fields: list[T.St
     Each aggregate is a function of a schema field; all run in a single pass.
     """
     fields = fields if fields is not None else data_columns(df)
-    made = [
-        F.struct(
-            F.lit(i).alias("position"), F.lit(f.name).alias("column"),
-            *[make(f).alias(name) for name, make in aggregates.items()],
-        )
-        for i, f in enumerate(fields)
-    ]
-    if not made:
+    if not fields:
         return df.sparkSession.createDataFrame([], "position int, column string, rows long")
-    wide = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*made).alias("cells"))
+    wide = df.agg(F.count(F.lit(1)).alias("rows"), cells(fields, aggregates))
     return wide.select("rows", F.inline("cells")).select("position", "column", "rows", *aggregates)
 
 
+def cells(fields: list[T.StructField], aggregates: dict[str, callable]) -> Column:
+    """An array ``cells`` with a struct of the named aggregates for each column."""
+    return F.array(*[
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"), *[make(f).alias(name) for name, make in aggregates.items()])
+        for i, f in enumerate(fields)
+    ]).alias("cells")
+
+
+def null_cells(df: DataFrame) -> Column:
+    """Nulls and their share of each column, as ``cells``, to be computed beside other aggregates."""
+    return cells(data_columns(df), {"nulls": _nulls, "null_pct": lambda f: percent(_nulls(f), F.count(F.lit(1)))})
+
+
 def _nulls(f: T.StructField) -> Column:
     return F.count_if(is_missing(f.name, f.dataType))
 

@@ -90,6 +90,11 @@ def row_flags(ctx: AuditContext) -> tuple[dict[str, Column], list[str]]:
 
 def logic_counts(ctx: AuditContext) -> DataFrame:
     """One row: every rule's count (null: could not run), states by class, rows flagged at all, sum of rules."""
+    return ctx.df.agg(*count_columns(ctx))
+
+
+def count_columns(ctx: AuditContext) -> list[Column]:
+    """The aggregates of ``logic_counts``, to be computed beside others in one pass."""
     flags, skipped = row_flags(ctx)
     status = ctx.value(STATE)
     out = [F.count(F.lit(1)).alias("rows")]
@@ -105,7 +110,7 @@ def logic_counts(ctx: AuditContext) -> DataFrame:
     for c in flags.values():
         anything, every = anything | c, every + c.cast("long")
     out += [F.count_if(anything).alias("rows_flagged"), F.coalesce(F.sum(every), F.lit(0)).cast("long").alias("issues_total")]
-    return ctx.df.agg(*out)
+    return out
 
 
 #: Check and severity of each counted rule, in report order.

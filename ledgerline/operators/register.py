@@ -44,13 +44,15 @@ def findings(ctx: AuditContext, runs: list[language.LanguageRun] = ()) -> DataFr
     if not ctx.roles.missing:
         out.add("Structure", "Required columns", "Critical", 0, f"All {len(ROLE_KEYWORDS)} required columns matched")
 
-    nulls = completeness.null_profile(df, cfg.null_threshold).filter("above_threshold").orderBy(F.desc("null_pct"), "position").collect()
+    # Nulls and all rule counts come from one pass over the table.
+    counts = df.agg(*logic.count_columns(ctx), completeness.null_cells(df)).first()
+    nulls = sorted((r for r in counts["cells"] if r["null_pct"] > cfg.null_threshold), key=lambda r: (-r["null_pct"], r["position"]))
     for r in nulls:
         out.add("Completeness", f"Nulls in {r['column']}", "High", r["nulls"], f"{r['null_pct']}% null, over the {cfg.null_threshold:g}% threshold")
     if not nulls:
         out.add("Completeness", "Null thresholds", "High", 0, f"No column exceeds {cfg.null_threshold:g}% null")
 
-    _logic(ctx, out)
+    _logic(ctx, out, counts)
     for info in calendar.check_date_formats(ctx):
         name = f"Date format of {info['column']}"
         if info["conflicting"]:
@@ -88,9 +90,8 @@ def findings(ctx: AuditContext, runs: list[language.LanguageRun] = ()) -> DataFr
     return out.frame(df.sparkSession)
 
 
-def _logic(ctx: AuditContext, out: Register) -> None:
+def _logic(ctx: AuditContext, out: Register, counts) -> None:
     """Rows of the logic rules; a group of rules whose roles are missing is one row that says so."""
-    counts = logic.logic_counts(ctx).first()
     created, closed, status, priority = (ctx.column(r) for r in (CREATED, CLOSED, STATE, PRIORITY))
     if created and closed:
         out.add("Logic", "Date sequence", "Critical", counts["closed_before_created"], f"{closed} earlier than {created}")

@@ -79,16 +79,27 @@ def _mostly(values: list[str], fits) -> bool:
 
 
 def value_samples(df: DataFrame, columns: list[str], size: int = VALUE_SAMPLE) -> dict[str, list[str]]:
-    """The first non-null values of each column, one bounded job for all of them."""
+    """The first non-null values of each column in file order.
+
+    The first ``size`` rows have them for most columns; only columns with nulls among
+    those are read on, each to its first ``size`` values.
+    """
     if not columns:
         return {}
+    rows = df.orderBy("_row_id") if "_row_id" in df.columns else df
+    text = [F.col(quoted(name)).cast("string").alias(str(i)) for i, name in enumerate(columns)]
+    head = rows.limit(size).select(*text).collect()
+    out = {name: [r[i] for r in head if r[i] is not None] for i, name in enumerate(columns)}
+    if len(head) < size:
+        return out
     found = None
     for i, name in enumerate(columns):
-        c = F.col(quoted(name))
-        part = df.filter(c.isNotNull()).select(F.lit(i).alias("i"), c.cast("string").alias("v")).limit(size)
-        found = part if found is None else found.unionByName(part)
-    out: dict[str, list[str]] = {name: [] for name in columns}
-    for row in found.collect():
+        if len(out[name]) < size:
+            c = F.col(quoted(name))
+            kept = rows.filter(c.isNotNull()).limit(size).select(F.lit(i).alias("i"), c.cast("string").alias("v"))
+            found = kept if found is None else found.unionByName(kept)
+            out[name] = []
+    for row in found.collect() if found is not None else []:
         out[columns[row["i"]]].append(row["v"])
     return out
 

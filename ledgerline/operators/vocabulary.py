@@ -13,6 +13,7 @@ from ledgerline.config import NEAR_LIMIT, NEAR_RATIO, RARE_COUNT, RARE_SHARE
 from ledgerline.functions import state
 from ledgerline.functions.text import fold, is_blank, quoted
 from ledgerline.operators.completeness import percent
+from ledgerline.plans.materialise import materialise
 
 
 @F.pandas_udf(T.DoubleType())
@@ -25,7 +26,7 @@ def state_values(df: DataFrame, column: str) -> DataFrame:
     """``value, count, pct, classification`` of the values as written; null and blank ones are left out."""
     c = F.col(quoted(column)).cast("string")
     counted = df.groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("count"))
-    rows = df.agg(F.count(F.lit(1))).scalar()
+    rows = counted.agg(F.sum("count")).scalar()
     listed = counted.filter(~is_blank(F.col("value")))
     return listed.select("value", "count", percent(F.col("count"), rows).alias("pct"), state.classify(F.col("value")).alias("classification"))
 
@@ -34,7 +35,7 @@ def near_duplicates(values: DataFrame, ratio: float = NEAR_RATIO, limit: int = N
     """``value, looks_like``: the commonest strictly commoner value that equals it folded or is similar enough.
 
     The number of values is counted first; a vocabulary of more than ``limit`` is no
-    vocabulary and has no near-duplicates.
+    vocabulary: it is not compared, and ``check_state_values`` says so.
     """
     if not 2 <= values.limit(limit + 1).count() <= limit:
         return values.sparkSession.createDataFrame([], "value string, looks_like string")
@@ -53,11 +54,16 @@ def reason(count: Column, pct: Column, looks_like: Column) -> Column:
     )
 
 
-def check_state_values(df: DataFrame, column: str) -> DataFrame:
-    """``value, count, pct, classification, looks_like, reason``, commonest first."""
-    values = state_values(df, column)
-    joined = values.join(near_duplicates(values), "value", "left")
-    return joined.withColumn("reason", reason(F.col("count"), F.col("pct"), F.col("looks_like"))).orderBy(F.desc("count"), "value")
+def check_state_values(df: DataFrame, column: str, limit: int = NEAR_LIMIT) -> DataFrame:
+    """``value, count, pct, classification, looks_like, reason, compared``, commonest first.
+
+    ``compared`` says whether values were held against each other at all, which more
+    than ``limit`` of them are not.
+    """
+    values = materialise(state_values(df, column), "state-values")  # one scan of the table, however often they are compared
+    joined = values.join(near_duplicates(values, limit=limit), "value", "left")
+    compared = values.agg(F.count(F.lit(1)) <= limit).scalar()
+    return joined.withColumns({"reason": reason(F.col("count"), F.col("pct"), F.col("looks_like")), "compared": compared}).orderBy(F.desc("count"), "value")
 
 
 def suspect_rows(checked: DataFrame) -> DataFrame:

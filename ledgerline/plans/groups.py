@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 SALTS = 8
 
 
-def with_group_count(df: DataFrame, key: Column, name: str, salts: int = SALTS) -> DataFrame:
-    """Add ``name``: how many rows share ``key``; nulls equal each other.
+def with_group_count(df: DataFrame, key: Column, name: str, salts: int = SALTS, long: bool = False) -> DataFrame:
+    """Add ``name``: how many rows share ``key``; nulls equal each other. Of ``long`` keys a digest of 256 bits is shuffled.
 
     Counts are partial aggregates. Only repeated values are joined back, salted, so
     a value that a third of all rows hold is met by many tasks; a window would
     bring all its rows into one.
     """
     spread = F.col("_row_id") if "_row_id" in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    text = F.coalesce(key.cast("string"), F.lit(""))
     keyed = df.withColumns({
-        "_null": key.isNull(), "_key": F.coalesce(key.cast("string"), F.lit("")),
+        "_null": key.isNull(), "_key": F.unhex(F.sha2(text, 256)) if long else text,
         "_salt": F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"),
     })
     repeated = (

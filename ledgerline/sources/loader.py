@@ -21,9 +21,36 @@ DELIMITERS = ",;\t|"
 WINDOW = 64 * 1024
 
 
-def _head(path: str, n: int = 8) -> bytes:
-    with open(path, "rb") as f:
-        return f.read(n)
+def _file(path: str):
+    """Hadoop's view of a path with a scheme: its file system and its name there."""
+    spark = SparkSession.getActiveSession()
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _head(path: str, n: int = 8, at: int = 0) -> bytes:
+    """``n`` bytes from a place on; a path with a scheme is read through Spark's file systems."""
+    if ":/" not in path:
+        with open(path, "rb") as f:
+            f.seek(at)
+            return f.read(n)
+    fs, target = _file(path)
+    try:
+        stream = fs.open(target)
+    except Exception as e:
+        raise OSError(f"{path} cannot be opened") from e
+    try:
+        stream.seek(at)
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def _size(path: str) -> int:
+    if ":/" not in path:
+        return os.path.getsize(path)
+    fs, target = _file(path)
+    return fs.getFileStatus(target).getLen()
 
 
 def is_excel(path: str) -> bool:
@@ -63,10 +90,8 @@ def diagnose(path: str) -> str:
     """Why a workbook cannot be read, in words for its owner."""
     name = os.path.basename(path)
     try:
-        size, head = os.path.getsize(path), _head(path, 512)
-        with open(path, "rb") as f:
-            f.seek(max(0, size - 22 - 65535))
-            tail = f.read()
+        size, head = _size(path), _head(path, 512)
+        tail = _head(path, 22 + 65535, max(0, size - 22 - 65535))
     except OSError as e:
         return f"'{name}' cannot be read from disk: {e}"
     if not size:
@@ -115,11 +140,10 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
 
 
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    if not os.path.getsize(path):
+    if not _size(path):
         raise ValueError(f"'{os.path.basename(path)}' is empty")
     encoding = detect_encoding(path)
-    with open(path, encoding=encoding, errors="replace", newline="") as f:
-        sample = f.read(WINDOW)
+    sample = _head(path, WINDOW).decode(encoding, errors="replace")
     if not sample.strip():
         raise ValueError(f"'{os.path.basename(path)}' is empty")
     sep = detect_delimiter(sample)
@@ -128,13 +152,23 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     java = "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1"
     df = (
         spark.read.option("header", True).option("inferSchema", True).option("sep", sep).option("encoding", java)
-        .option("multiLine", True).option("quote", '"').option("escape", '"').option("enforceSchema", True)
+        .option("multiLine", _has_broken_rows(spark, path)).option("quote", '"').option("escape", '"').option("enforceSchema", True)
         .option("timestampType", "TIMESTAMP_NTZ").csv(path)
     )
     df = df.toDF(*names) if len(names) == len(df.columns) else df
     return with_row_id(align(_as_windows(df) if encoding == "cp1252" else df))
 
 
+def _has_broken_rows(spark: SparkSession, path: str) -> bool:
+    """Whether some row goes on beyond its line: then a line holds an odd number of quotes, or a bare carriage return.
+
+    All lines are looked at, in parallel; a file without such rows can be split.
+    """
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return not lines.filter((quotes % 2 == 1) | F.col("value").rlike(r"\r(?!$)")).isEmpty()
+
+
 def _as_windows(df: DataFrame) -> DataFrame:
     codes = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
     latin, windows = "".join(map(chr, codes)), bytes(codes).decode("cp1252")
