@@ -37,11 +37,17 @@ def query(sql: str | None = None):
     return put
 
 
+def _registered() -> None:
+    from ledgerline.plans import catalogue_files, catalogue_tables  # noqa: F401  (they register their queries here)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_SQL)
 
 
@@ -188,8 +194,8 @@ def failing_by_area(spark, sf):
 
 # Completeness
 
-_NULLED = "SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, nullif(o_orderpriority, '4-NOT SPECIFIED') AS o_orderpriority, o_totalprice FROM orders"
-_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"]
+_NULLED = "SELECT o_orderkey, o_custkey, nullif(o_orderstatus, 'P') AS o_orderstatus, nullif(o_orderpriority, '4-NOT SPECIFIED') AS o_orderpriority, o_totalprice, o_orderdate FROM orders"
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "o_orderdate"]
 _NULL_ROWS = " UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls FROM src" for i, c in enumerate(_ORDER_COLUMNS)
 )
@@ -200,7 +206,7 @@ def _nulled(spark, sf):
     o = table(spark, sf, "orders")
     return o.select(
         "o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("o_orderstatus"),
-        F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("o_orderpriority"), "o_totalprice",
+        F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED")).alias("o_orderpriority"), "o_totalprice", "o_orderdate",
     )
 
 
@@ -251,9 +257,10 @@ def data_profile(spark, sf):
 SELECT 0 AS position, 'doc_id' AS "column", rows, 'bigint' AS type, (SELECT CAST(doc_id AS VARCHAR) FROM src ORDER BY doc_id LIMIT 1) AS sample, false AS padded FROM n
 UNION ALL SELECT 1, 'lang', rows, 'string', (SELECT lang FROM src WHERE lang IS NOT NULL ORDER BY doc_id LIMIT 1), false FROM n
 UNION ALL SELECT 2, 'source', rows, 'string', (SELECT source FROM src ORDER BY doc_id LIMIT 1), false FROM n
-UNION ALL SELECT 3, 'text', rows, 'string', (SELECT text[1:50] FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 1), (SELECT bool_or(pad) FROM src) FROM n""")
+UNION ALL SELECT 3, 'text', rows, 'string', (SELECT text[1:50] FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 1), (SELECT bool_or(pad) FROM src) FROM n
+UNION ALL SELECT 4, 'n_chars', rows, 'bigint', (SELECT CAST(n_chars AS VARCHAR) FROM documents WHERE n_chars IS NOT NULL ORDER BY doc_id LIMIT 1), false FROM n""")
 def column_profile(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.nullif("lang", F.lit("fr")).alias("lang"), "source", "text")
+    d = table(spark, sf, "documents").select("doc_id", F.nullif("lang", F.lit("fr")).alias("lang"), "source", "text", "n_chars")
     return completeness.column_profile(d.withColumn("_row_id", F.col("doc_id")))
 
 
@@ -265,7 +272,7 @@ def value_counts(spark, sf):
     return aggregates.value_counts(_nulled(spark, sf), "o_orderpriority")
 
 
-_PART = ["p_brand", "p_type", "p_size"]
+_PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 
 @query(" UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS count FROM part GROUP BY 3" for i, c in enumerate(_PART)))
@@ -336,12 +343,6 @@ def _misspelt(spark, sf):
     return table(spark, sf, "events").select("event_id", v.alias("event_type"))
 
 
-@query()
-def near_duplicates(spark, sf):
-    """Needs a sequence matcher; held against brute force in the tests."""
-    return vocabulary.check_state_values(_misspelt(spark, sf), "event_type")
-
-
 @query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'terminal' ELSE 'unknown' END AS kind, lower(trim('  ' || o_orderpriority || ' ')) AS folded, o_orderstatus = 'P' AS blank FROM orders""")
 def state_classification(spark, sf):
     o = table(spark, sf, "orders")
@@ -546,18 +547,6 @@ def token_similarity(spark, sf):
     return descriptions.token_pairs(descriptions.exact_groups(descriptions.normalised_rows(_described(spark, sf), "text")))
 
 
-@query()
-def similar_clusters(spark, sf):
-    """Connected components; held against union-find in the tests."""
-    return descriptions.similar_groups(descriptions.exact_groups(descriptions.normalised_rows(_described(spark, sf), "text")))
-
-
-@query()
-def recurring_issues(spark, sf):
-    """The report's top groups; held against brute force in the tests."""
-    return descriptions.recurring_issues(_described(spark, sf), "text", "doc_id")
-
-
 # Language
 
 _STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
@@ -651,15 +640,15 @@ def column_health(spark, sf):
     return completeness.column_health(ctx.df, ctx.roles)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn = 0 THEN 'Yes' ELSE 'No' END AS opening, CASE WHEN length(text) > 300 THEN substr(text, 1, 299) || '…' ELSE text END AS text FROM conversations""")
+@query("""SELECT conv_id, turn, role, CASE WHEN turn = 0 THEN 'Yes' ELSE 'No' END AS opening, CASE WHEN length(text) > 300 THEN substr(text, 1, 299) || '…' ELSE text END AS text FROM conversations""")
 def sanitised(spark, sf):
-    c = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("turn") == 0).alias("opening"), F.concat(F.col("text"), F.lit("\x07")).alias("text"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", (F.col("turn") == 0).alias("opening"), F.concat(F.col("text"), F.lit("\x07")).alias("text"))
     return X.sanitise(c, cell_limit=300)
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 1000")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents ORDER BY doc_id LIMIT 1000")
 def raw_preview(spark, sf):
-    d = table(spark, sf, "documents").drop("text").withColumn("_row_id", F.col("doc_id"))
+    d = table(spark, sf, "documents").withColumn("_row_id", F.col("doc_id"))
     return register.view_rows(d)
 
 

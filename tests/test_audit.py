@@ -441,7 +441,7 @@ def test_language_tiers(spark):
     assert column(run.rows.withColumn("v", language.row_language(run))) == ["French", "Spanish", "Russian", "English", "German", "Too short to check", "Too short to check"]
     counts = language.language_counts(run).first()
     assert (counts["total_original"], counts["total_analyzed"], counts["non_english_count"], counts["percentage"]) == (6, 5, 4, 80.0)
-    assert language.format_result(run)[0].startswith("'v': 4 rows (80.0%)")
+    assert language.format_result(run)[0].startswith("v: 4 of 5 judged rows are not in English (80.0%)")
     assert language.language_mix([run]).count() == 4
 
 
