@@ -7,19 +7,25 @@ least within ``REACH`` bytes on either side: boundaries follow content, insertio
 disturb the chunks they touch and no others. In a stretch that repeats itself within
 ``REACH`` bytes (one word over and over, a row of dots) the least hash comes back once a
 period and ends a chunk each time: such chunks are one period long and the same wherever
-the stretch begins, so it counts as repeated if another document repeats that period as
-well, however often. All other chunks are longer than ``REACH``, apart from the last. Chunks are deduplicated by a 128-bit digest:
-a digest that several documents hold belongs to the smallest ``doc_id``. Runs of
-such chunks of at least ``RUN`` bytes are the repeated passages.
+the stretch begins. All other chunks are longer than ``REACH``, apart from the last.
 
-Everything is computed on whole arrays of bytes. Only digests with positions are
-shuffled, never texts; the digest join is on a uniform key, and one that is
-in very many documents is split by adaptive execution (it is a plain equi-join).
+Chunks are deduplicated by digest: one that several documents hold belongs to the
+smallest ``doc_id``. Runs of such chunks, of ``RUN`` bytes or more, are where documents
+may share a passage. A run is one if ``WORDS`` words of it lie in different chunks in a
+row that one other document holds. A shorter run shows the inside of a
+passage only, since chunks at its ends reach out of it: so the words around it, and
+around the same chunks in other documents, are compared as sequences of ``WORDS``
+words, and what several documents hold is a passage. Shorter repeats are left alone.
+
+Digests with positions are shuffled, not texts; only documents with a short run, or its
+chunks, are read again. Digest joins are on uniform keys, dealt over ``SALTS``.
 
 Edge cases: null and empty texts have no chunks; texts shorter than a run have no
 passages; a passage repeated only inside one document is not reported; rows with
-one ``doc_id`` are the same document, rows with a null one are left out; empty in,
-empty out; other columns are ignored.
+one ``doc_id`` are the same document, but spans are those of each row's own text; rows with
+a null one are left out and never cut; repeated rows give one set of spans; of
+several first holders the smallest is named; very long texts are cut into chunks whole;
+empty in, empty out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,10 +39,12 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, raw_texts, text_slices
+from ledgerline.llm.common import materialise, raw_texts, text_key, text_slices
 
-#: Bytes the gear hash sees, bytes to either side of a boundary, least bytes of a passage.
+#: Bytes the gear hash sees, bytes to either side of a boundary, least bytes of a run.
 WINDOW, REACH, RUN = 16, 24, 96
+#: Words of a passage at least.
+WORDS = 51
 SEED = 97
 #: Join keys that a digest held by very many documents is spread over.
 SALTS = 4
@@ -46,8 +54,8 @@ SALTS = 4
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
     gear = rng.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
-    letters = rng.integers(0, 1 << 64, (2, 256), dtype=np.uint64)
-    places = rng.integers(0, 1 << 64, (2, 4096), dtype=np.uint64) | np.uint64(1)
+    letters = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
+    places = rng.integers(0, 1 << 64, 4096, dtype=np.uint64) | np.uint64(1)
     return gear, letters, places
 
 
@@ -90,28 +98,54 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     return np.append(at + 1, n)
 
 
-def digests(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent multilinear 64-bit hashes of each chunk, with its length."""
+def _mixed(total: np.ndarray) -> np.ndarray:
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0x94D049BB133111EB)
+    return total ^ total >> np.uint64(29)
+
+
+def _sums(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, skipped: np.ndarray | None = None) -> np.ndarray:
+    """Multilinear hash of the stretches that begin at ``starts`` and reach to the next one; skipped bytes add nothing."""
     _, letters, places = _tables()
+    within = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+    fold = (within // len(places)).astype(np.uint64)  # very long stretches go around with another odd factor
+    terms = letters[data[starts[0] :]] * places[within % len(places)] * (np.uint64(2) * fold + np.uint64(1))
+    if skipped is not None:
+        terms[skipped[starts[0] :]] = 0
+    return np.add.reduceat(terms, starts - starts[0]) + sizes.astype(np.uint64) * places[-1]
+
+
+def digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each chunk, with its length."""
     starts = np.concatenate([[0], ends[:-1]])
-    within = np.arange(len(data)) - np.repeat(starts, ends - starts)
-    fold = within // places.shape[1]  # very long chunks go around with another odd factor
-    within %= places.shape[1]
-    out = []
-    for k in range(2):
-        terms = letters[k][data] * places[k][within] * (np.uint64(2) * fold.astype(np.uint64) + np.uint64(1))
-        total = np.add.reduceat(terms, starts) + (ends - starts).astype(np.uint64) * places[k][-1]
-        total ^= total >> np.uint64(31)
-        total *= np.uint64(0x94D049BB133111EB)
-        out.append((total ^ total >> np.uint64(29)).view(np.int64))
-    return out[0], out[1]
+    return _mixed(_sums(data, starts, ends - starts)).view(np.int64)
+
+
+def _blank(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | (data >= 0x09) & (data <= 0x0D)
+
+
+def sequences(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end, and 64-bit hash of every ``length`` words in a row."""
+    gap = _blank(data)
+    starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
+    ends = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
+    if len(starts) < length:
+        return starts[:0], ends[:0], np.empty(0, dtype=np.int64)
+    words = _mixed(_sums(data, starts, ends - starts, gap))
+    factor = 0x9E3779B97F4A7C15  # odd, so its powers have inverses
+    back = np.cumprod(np.full(len(words), pow(factor, -1, 1 << 64), dtype=np.uint64))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * back)])
+    ahead = np.cumprod(np.full(len(words) - length + 1, factor, dtype=np.uint64))
+    found = _mixed((total[length:] - total[:-length]) * ahead)
+    return starts[: len(found)], ends[length - 1 :], found.view(np.int64)
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n", "begin", "size", "h", "g"]
+    names = ["doc_id", "th", "begin", "size", "words", "h"]
     for batch in batches:
         for part in text_slices(batch, limit=4 << 20):
-            columns: list[list] = [[] for _ in names[1:]]
+            columns: list[list] = [[] for _ in names[2:]]
             rows = []
             for row, raw in enumerate(raw_texts(part)):
                 if len(raw) < RUN:
@@ -119,90 +153,187 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 data = np.frombuffer(raw, dtype=np.uint8)
                 ends = boundaries(data)
                 starts = np.concatenate([[0], ends[:-1]])
+                gap = _blank(data)
+                words = np.add.reduceat((~gap & np.concatenate([[True], gap[:-1]])).astype(np.int32), starts)
                 rows.append(np.full(len(ends), row))
-                for c, x in zip(columns, (np.arange(len(ends)), starts, ends - starts, *digests(data, ends)), strict=True):
+                for c, x in zip(columns, (starts, ends - starts, words, digests(data, ends)), strict=True):
                     c.append(x)
             if rows:
-                ids = part.column("doc_id").take(pa.array(np.concatenate(rows)))
+                at = pa.array(np.concatenate(rows))
                 ints = [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[:3]]
-                yield pa.RecordBatch.from_arrays([ids, *ints, *(pa.array(np.concatenate(c)) for c in columns[3:])], names)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(at), part.column("th").take(at), *ints, pa.array(np.concatenate(columns[3]))], names
+                )
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text")
+    return rows.filter("doc_id is not null")
 
 
 def chunks(documents: DataFrame) -> DataFrame:
-    """``doc_id, n, begin, size, h, g``: chunk number, byte span and digest of every chunk."""
-    rows = documents.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_chunked, "doc_id long, n int, begin int, size int, h long, g long")
+    """``doc_id, th, begin, size, words, h``: byte span, words that begin in it and digest of every chunk."""
+    return _keyed(documents).mapInArrow(_chunked, "doc_id long, th long, begin int, size int, words int, h long")
+
+
+def _held_by_several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` several documents hold, with the smallest and the largest of them as ``first`` and ``last``."""
+    shared = rows.groupBy(key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    return _met(rows, shared, key)
+
+
+def _met(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    many = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(many, [key, "salt"]).drop("salt")
 
 
-def repeated_passages(documents: DataFrame, run: int = RUN) -> DataFrame:
+def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
+    """A document's own spans as a sorted list ``spans``: as many as it has chunks or words, no more."""
+    return rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct(*columns))).alias("spans"))
+
+
+def repeated_passages(documents: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
     """One row per repeated passage of a document.
 
-    ``doc_id, begin_byte, end_byte, first_doc_id, n_chunks, dropped``: the passage's
-    bytes, the smallest document that holds its chunks (least, if its chunks have
-    several), and whether dedup takes it out, which it does in all but the first.
+    ``doc_id, begin_byte, end_byte, first_doc_id, dropped, text_key``: the passage's bytes, the
+    smallest document that holds a part of it, whether dedup takes it out, which it does
+    in all but the first, and the key of the row's text.
     """
     every = materialise(chunks(documents), "gear-chunks")
-    # Chunks in several documents, by digest; nothing but counters and ids is kept.
-    shared = (
-        every.groupBy("h", "g").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-        .filter("first < last").select("h", "g", "first")
+    hits = materialise(_held_by_several(every, "h"), "gear-hits")
+    runs = _by_document(hits, "begin", "size", "words", "first", "last", "h").mapInArrow(lambda it: _runs(it, run, words), _RUNS)
+    runs = materialise(runs, "gear-runs")
+    unsure = runs.select(F.explode("short").alias("h")).distinct()
+    around = _by_document(_met(hits, unsure, "h").withColumn("end", F.col("begin") + F.col("size")), "begin", "end")
+    around = materialise(around, "gear-around")
+    near = _keyed(documents).join(around, ["doc_id", "th"]).mapInArrow(
+        lambda it: _sequences(it, words), "doc_id long, th long, begin int, end int, s long"
     )
-    many = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = every.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    hits = dealt.join(many, ["h", "g", "salt"]).select(
-        "doc_id", "begin", F.struct("n", "begin", "size", "first").alias("c")
+    near = materialise(near, "gear-sequences")
+    spans = _held_by_several(near, "s").select("doc_id", "th", "begin", "end", "first").union(
+        runs.filter("size(short) = 0").select("doc_id", "th", "begin", "end", "first")
     )
-    # A document's own repeated chunks: as many as the document has, no more.
-    lists = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set("c")).alias("cs"))
-    return lists.mapInArrow(lambda it: _runs(it, run), RUN_SCHEMA)
+    return _by_document(spans, "begin", "end", "first").mapInArrow(_passages, PASSAGES)
+
+
+_RUNS = "doc_id long, th long, begin int, end int, first long, short array<bigint>"
+PASSAGES = "doc_id long, begin_byte int, end_byte int, first_doc_id long, dropped boolean, text_key long"
 
 
-RUN_SCHEMA = "doc_id long, begin_byte int, end_byte int, first_doc_id long, n_chunks int, dropped boolean"
+def _flat(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, ...]:
+    """Number of the row, and the fields, of the structs in the lists ``spans``."""
+    lists = batch.column("spans")
+    flat = lists.flatten()
+    counts = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(batch.num_rows), counts), *(flat.field(k).to_numpy(zero_copy_only=False) for k in names)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], run: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Runs of adjoining chunks that are long enough; ``short`` has the digests of a run of too few words to be sure of."""
     for batch in batches:
-        lists = batch.column("cs")
-        flat = lists.flatten()
-        n, begin, size, first = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("n", "begin", "size", "first"))
-        counts = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
-        doc = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), counts)
-        own = first == doc
-        new = np.ones(len(doc), dtype=bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (n[1:] != n[:-1] + 1) | (own[1:] != own[:-1])
-        # Begins must meet, too: rows that share a doc_id are no run together.
-        new[1:] |= begin[1:] != begin[:-1] + size[:-1]
-        at = np.flatnonzero(new)
-        if not len(at):
+        row, begin, size, words, first, last, h = _flat(batch, "begin", "size", "words", "first", "last", "h")
+        if not len(row):
             continue
-        length = np.add.reduceat(size, at)
-        least = np.minimum.reduceat(first, at)
-        number = np.diff(np.append(at, len(doc)))
-        keep = length >= run
+        own = first == batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (own[1:] != own[:-1]) | (begin[1:] != begin[:-1] + size[:-1])
+        at = np.flatnonzero(new)
+        length, stops = np.add.reduceat(size, at), np.append(at[1:], len(row))
+        # Words of a stretch held by one other document, each chunk counted once (periods of a stretch are alike).
+        partner = np.where(own, last, first)
+        part = np.cumsum(new | np.concatenate([[True], partner[1:] != partner[:-1]])) - 1
+        order = np.lexsort((h, part))
+        fresh = np.ones(len(row), dtype=bool)
+        fresh[order[1:]] = (part[order[1:]] != part[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
+        together = np.bincount(part, weights=words * fresh)[part]
+        held = np.maximum.reduceat(together, at)
+        keep = np.flatnonzero(length >= run)
+        # The last word that begins in a run may end beyond it.
+        short = [h[at[k] : stops[k]] if held[k] - 1 < least else h[:0] for k in keep]
+        of = pa.array(row[at][keep])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc[at][keep]), pa.array(begin[at][keep]), pa.array((begin[at] + length)[keep].astype(np.int32)), pa.array(least[keep]),
-             pa.array(number[keep].astype(np.int32)), pa.array(~own[at][keep])],
-            ["doc_id", "begin_byte", "end_byte", "first_doc_id", "n_chunks", "dropped"],
+            [batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(begin[at][keep]), pa.array((begin[at] + length)[keep].astype(np.int32)),
+             pa.array(np.minimum.reduceat(first, at)[keep]), pa.array(short, pa.list_(pa.int64()))],
+            ["doc_id", "th", "begin", "end", "first", "short"],
         )
 
 
+def _sequences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The sequences of words that touch one of a document's spans."""
+    names = ["doc_id", "th", "begin", "end", "s"]
+    for batch in batches:
+        for part in text_slices(batch, limit=4 << 20):
+            rows, columns = [], [[], [], []]
+            for row, (raw, spans) in enumerate(zip(raw_texts(part), part.column("spans"), strict=True)):
+                begin, end, s = sequences(np.frombuffer(raw, dtype=np.uint8), length) if raw else (np.empty(0, np.int64),) * 3
+                if not len(s):
+                    continue
+                low, high = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in ("begin", "end"))
+                # Spans ascend and do not overlap: a sequence touches one if a span begins before its end and ends after its begin.
+                near = np.searchsorted(low, end, side="left") > np.searchsorted(high, begin, side="right")
+                rows.append(np.full(near.sum(), row))
+                for c, x in zip(columns, (begin, end, s), strict=True):
+                    c.append(x[near])
+            if rows:
+                at = pa.array(np.concatenate(rows))
+                begin, end, s = (np.concatenate(c) for c in columns)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(at), part.column("th").take(at), pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(s)], names
+                )
+
+
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping spans of a document as one passage; what the document itself held first stays apart."""
+    for batch in batches:
+        row, begin, end, first = _flat(batch, "begin", "end", "first")
+        own = first == batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
+        out: list[tuple] = []
+        for mine in (False, True):
+            pick = np.flatnonzero(own == mine)
+            if not len(pick):
+                continue
+            r, b, e = row[pick], begin[pick].astype(np.int64), end[pick].astype(np.int64)
+            size = int(e.max()) + 2
+            reach = np.maximum.accumulate(r * size + e)  # the end of all spans so far, beyond those of earlier rows
+            new = np.concatenate([[True], r[1:] * size + b[1:] > reach[:-1]])
+            at = np.flatnonzero(new)
+            out.append((r[at], b[at], np.maximum.reduceat(e, at), np.minimum.reduceat(first[pick], at), np.full(len(at), not mine)))
+        if out:
+            r, b, e, f, dropped = (np.concatenate(c) for c in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(r)), pa.array(b.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(f), pa.array(dropped),
+                 batch.column("th").take(pa.array(r))],
+                ["doc_id", "begin_byte", "end_byte", "first_doc_id", "dropped", "text_key"],
+            )
+
+
+def _within_characters(raw: bytes, begin: int, end: int) -> tuple[int, int]:
+    """The span without the parts of characters at its ends."""
+    while begin < end and raw[begin] & 0xC0 == 0x80:
+        begin += 1
+    while end > begin and end < len(raw) and raw[end] & 0xC0 == 0x80:
+        end -= 1
+    return begin, end
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for raw, spans in zip(raw_texts(batch), batch.column("spans").to_pylist(), strict=True):
+        for text, raw, spans in zip(batch.column("text"), raw_texts(batch), batch.column("spans").to_pylist(), strict=True):
             parts, at = [], 0
             for span in spans or []:
-                parts.append(raw[at : span["begin_byte"]])
-                at = max(at, span["end_byte"])
-            texts.append(b"".join([*parts, raw[at:]]).decode("utf-8", errors="ignore"))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts)], ["doc_id", "text"])
+                begin, end = _within_characters(raw, span["begin_byte"], span["end_byte"])
+                parts.append(raw[at : max(at, begin)])
+                at = max(at, end)
+            texts.append(b"".join([*parts, raw[at:]]).decode() if spans else text.as_py())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
 def drop_passages(documents: DataFrame) -> DataFrame:
-    """``doc_id, text``: the texts without passages that a smaller document holds."""
+    """``doc_id, text``: each row's text without passages that a smaller document holds."""
     spans = (
-        repeated_passages(documents).filter("dropped").groupBy("doc_id")
+        repeated_passages(documents).filter("dropped").groupBy("doc_id", F.col("text_key").alias("th"))
         .agg(F.sort_array(F.collect_list(F.struct("begin_byte", "end_byte"))).alias("spans"))
     )
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(spans, "doc_id", "left")
-    return rows.mapInArrow(_cut, "doc_id long, text string")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("th"), "text")
+    return rows.join(spans, ["doc_id", "th"], "left").mapInArrow(_cut, "doc_id long, text string")

@@ -215,8 +215,7 @@ def test_repeats_of_one_word_are_found_in_any_context(passage, skip):
         lead, tail = (rng.integers(97, 123, int(rng.integers(200, 300)), dtype=np.uint8).tobytes() for _ in range(2))
         data = np.frombuffer(lead + passage[skip * k :] + tail, dtype=np.uint8)
         ends = substring_dedup.boundaries(data)
-        sizes = np.diff(ends, prepend=0).tolist()
-        runs.append((sizes, list(zip(*substring_dedup.digests(data, ends), strict=True))))
+        runs.append((np.diff(ends, prepend=0).tolist(), substring_dedup.digests(data, ends).tolist()))
     known, best, run = set(runs[0][1]), 0, 0
     for size, digest in zip(*runs[1], strict=True):
         run = run + size if digest in known else 0
@@ -226,38 +225,65 @@ def test_repeats_of_one_word_are_found_in_any_context(passage, skip):
 
 def test_digest_depends_on_content_only():
     data = np.frombuffer(b"abcabc" * 2000, dtype=np.uint8)
-    h, g = substring_dedup.digests(data, np.array([3, 6, 9, 10, 12000]))
-    assert h[0] == h[1] == h[2] != h[3] and g[0] == g[1]
+    h = substring_dedup.digests(data, np.array([3, 6, 9, 10, 12000]))
+    assert h[0] == h[1] == h[2] != h[3]
 
 
-def test_repeated_passages_are_found(spark, sf):
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab \t\né\x1c", max_size=60), st.integers(1, 4))
+def test_sequences_are_told_apart_by_their_words(text, length):
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    begin, end, s = substring_dedup.sequences(np.frombuffer(raw, dtype=np.uint8), length) if raw else ([], [], [])
+    want = [tuple(words[i : i + length]) for i in range(len(words) - length + 1)]
+    assert [tuple(re.findall(rb"[^\x20\x09-\x0D]+", raw[b:e])) for b, e in zip(begin, end, strict=True)] == want
+    assert len(set(s)) == len(set(want)) and len(set(zip(s, want, strict=True))) == len(set(want))
+
+
+def brute_passages(rows, length=51):
+    """Which documents hold which sequences of words that others hold as well."""
+    held = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - length + 1):
+            held.setdefault(tuple(w[k : k + length]), set()).add(i)
+    return {i for ids in held.values() if len(ids - {None}) > 1 for i in ids - {None}}
+
+
+def test_repeated_passages_are_found(spark):
     rng = np.random.default_rng(7)
     word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
     text = lambda n: " ".join(word() for _ in range(n))
-    passage = text(60)
+    passage, half, other = text(60), text(40), text(51)
     rows = [(1, f"{text(80)} {passage} {text(40)}"), (2, f"{text(33)} {passage}"), (3, text(150)), (4, None), (5, ""), (None, passage), (6, passage + " " + passage)]
+    # A long one in very many documents, two half ones side by side, one of exactly 51 words, one word over and over.
+    rows += [(i, f"{text(5)} {half} {text(5)}") for i in range(100, 400)] + [(7, f"{text(60)} {half}"), (8, f"{text(30)} {half} {other} {text(9)}"), (9, other)]
+    rows += [(10, f"{text(9)} {'the ' * 70}{text(9)}"), (11, f"{text(9)} {'the ' * 30}{text(9)}"), (12, "x" * 200_000 + f" {other}"), (2, text(150))]
     out = substring_dedup.repeated_passages(frame(spark, rows)).collect()
     by = {}
     for r in out:
         by.setdefault(r["doc_id"], []).append(r)
-    assert set(by) == {1, 2, 6}
-    texts = {i: (t or "").encode() for i, t in rows}
+    assert set(by) == brute_passages(rows) == {1, 2, 6, 8, 9, 12}
+    texts = {i: (t or "").encode() for i, t in rows[:-1]}
     for i in (2, 6):
-        for r in by[i]:
-            assert r["dropped"] and r["first_doc_id"] == 1 and texts[i][r["begin_byte"] : r["end_byte"]] in texts[1] or i == 6
-    assert not any(r["dropped"] for r in by[1])
-    cut = {r["doc_id"]: r["text"] for r in substring_dedup.drop_passages(frame(spark, rows)).collect()}
-    assert cut[1] == rows[0][1] and cut[3] == rows[2][1] and len(cut[2]) < len(rows[1][1]) - 200
+        assert all(r["dropped"] and r["first_doc_id"] == 1 for r in by[i])
+    assert not any(r["dropped"] for r in by[1] + by[8]) and passage.encode() in texts[1][by[1][0]["begin_byte"] : by[1][0]["end_byte"]]
+    cut = {}
+    for r in substring_dedup.drop_passages(frame(spark, rows)).collect():
+        cut.setdefault(r["doc_id"], []).append(r["text"])
+    assert cut[1] == [rows[0][1]] and cut[3] == [rows[2][1]] and cut[4] == [None] and cut[None] == [passage]
+    # Of two rows with one id, only the one with the passage is cut.
+    assert sorted(map(len, cut[2])) == sorted([len(rows[1][1]) - len(passage), len(rows[-1][1])])
     assert substring_dedup.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_every_long_repeat_of_documents_is_found(spark, sf):
-    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
-    held = {}
-    for r in rows:
-        w = (r["text"] or "").split()
-        for i in range(len(w) - 50):
-            held.setdefault(" ".join(w[i : i + 51]), set()).add(r["doc_id"])
-    want = {i for ids in held.values() if len(ids) > 1 for i in ids}
-    got = {r["doc_id"] for r in queries.op1_substring_dedup(spark, sf).collect()}
-    assert want <= got and len(got - want) < len(rows) / 4
+def test_cuts_keep_characters_whole(spark):
+    passage = " ".join(f"ñandú日本{i}" for i in range(80))
+    rows = [(1, passage), (2, f"aé{passage}éa"), (3, f"日{passage}語")]
+    for r in substring_dedup.drop_passages(frame(spark, rows)).collect():
+        assert "\ufffd" not in r["text"] and (r["doc_id"] == 1 or len(r["text"]) < 120)
+
+
+def test_long_repeats_of_documents_and_nothing_else(spark, sf):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    assert {r["doc_id"] for r in queries.op1_substring_dedup(spark, sf).collect()} == brute_passages(rows)
