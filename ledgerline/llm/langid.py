@@ -9,12 +9,15 @@ by grouped aggregation; a page's own share is taken out before it is judged by t
 
 Documents are judged beside pages, with their source in place of a host and no
 markup or address. Text likelihoods are fitted on at most ``SAMPLE`` labelled
-documents drawn by a seeded hash; everything else covers all rows.
+documents, and ``SAMPLE_BYTES`` of text, of each language, drawn by a seeded hash;
+everything else covers all rows.
 
 Edge cases: null or empty texts and pages are judged by the other evidence; a null
 address has no host and no suffix; markup without a declaration gives no evidence;
-without labelled documents every language is null; repeated rows are judged alike;
-empty tables give an empty result; other columns are ignored.
+without labelled documents every language is null; repeated rows and rows that share an
+id are judged each for itself; a very long text or page is read whole; of equally likely
+languages the first by name is taken; empty tables give an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, raw_texts, salted_left_join, text_slices
+from ledgerline.llm.common import materialise, raw_texts, salted_left_join, text_key, text_slices
 
-#: Bound and seed of the labelled sample; hash buckets of trigrams.
-SAMPLE, SEED, BUCKETS = 4000, 5, 1 << 16
+#: Bounds of the labelled sample: documents and bytes of each language, languages (the commonest); its seed; hash buckets of trigrams.
+SAMPLE, SAMPLE_BYTES, LANGUAGES, SEED, BUCKETS = 1000, 8 << 20, 400, 5, 1 << 16
 #: Exponent on text likelihoods, trigrams that count at most, pseudo-counts of trigrams and levels.
 TEMPER, MOST, ALPHA, KAPPA = 0.3, 200.0, 0.5, 4.0
+#: Second labels under which countries register domains.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gob", "gov", "net", "or", "org")
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 _HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->", re.DOTALL | re.IGNORECASE)
 _TAG = re.compile(r"<[^>]*>")
@@ -60,16 +65,12 @@ def trigram_buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 class TrigramModel:
     """Log likelihood of hashed byte trigrams per language."""
 
-    def __init__(self, rows: list[tuple[str, bytes]]):
-        self.languages = sorted({lang for lang, _ in rows})
+    def __init__(self, counts: dict[str, np.ndarray]):
+        self.languages = sorted(counts)
         self.table = np.zeros((BUCKETS + 1, max(1, len(self.languages))), dtype=np.float32)
         for k, lang in enumerate(self.languages):
-            counts = np.zeros(BUCKETS + 1)
-            own = [t for name, t in rows if name == lang]
-            for i in range(0, len(own), 200):
-                counts += np.bincount(trigram_buckets(own[i : i + 200])[0], minlength=BUCKETS + 1)
-            counts = counts[:BUCKETS] + ALPHA
-            self.table[:BUCKETS, k] = np.log(counts / counts.sum())
+            smoothed = counts[lang] + ALPHA
+            self.table[:BUCKETS, k] = np.log(smoothed / smoothed.sum())
 
     def posteriors(self, texts: list[bytes]) -> np.ndarray:
         """Tempered text posterior under a flat prior, shape (texts, languages)."""
@@ -123,11 +124,36 @@ def _packed(name: str, columns: int) -> Column:
     return F.array(*[F.col(f"{name}{k}") for k in range(columns)]).alias(name)
 
 
-def train(documents: DataFrame, sample: int = SAMPLE) -> TrigramModel:
-    rows = documents.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit(SEED), "doc_id").alias("draw"), "doc_id")
-    ids = rows.select("draw", "doc_id").orderBy("draw", "doc_id").limit(sample)
-    chosen = rows.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id")
-    return TrigramModel([(r["lang"], r["text"].encode()) for r in chosen.select("lang", "text").toLocalIterator()])
+def _counted(texts: pa.Table) -> pa.Table:
+    """Trigram counts of one language's sampled texts."""
+    counts = np.zeros(BUCKETS + 1, dtype=np.int64)
+    for batch in texts.to_batches():
+        for part in text_slices(batch, limit=2 << 20):
+            counts += np.bincount(trigram_buckets(raw_texts(part))[0], minlength=BUCKETS + 1)
+    return pa.table({"lang": texts.column("lang").slice(0, 1), "counts": pa.array([counts[:BUCKETS].astype(np.int32).tobytes()], pa.binary())})
+
+
+def training_rows(documents: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, languages: int = LANGUAGES) -> DataFrame:
+    """``lang, text``: a bounded, seeded sample of every language's labelled documents, rare languages too.
+
+    Equal texts count once. Ranks are cut on the map side, so no task sees all of a common language.
+    """
+    rows = documents.filter("lang is not null and text is not null").select("lang", "text", "doc_id", text_key().alias("th"))
+    listed = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
+    drawn = rows.groupBy("lang", "th").agg(
+        F.min(F.xxhash64(F.lit(SEED), "doc_id", "th")).alias("draw"), F.max(F.octet_length("text")).alias("size")
+    )
+    order = Window.partitionBy("lang").orderBy("draw", "th")
+    first = drawn.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= sample)
+    fits = first.withColumn("upto", F.sum("size").over(order)).filter((F.col("upto") <= most_bytes) | (F.col("at") == 1))
+    chosen = fits.join(F.broadcast(listed), "lang").select("lang", "th")
+    return rows.join(F.broadcast(chosen), ["lang", "th"]).groupBy("lang", "th").agg(F.min("text").alias("text")).select("lang", "text")
+
+
+def train(documents: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> TrigramModel:
+    """Count each language's sample in a task of its own; the driver gets counts, no texts."""
+    counted = training_rows(documents, sample, most_bytes).groupBy("lang").applyInArrow(_counted, "lang string, counts binary")
+    return TrigramModel({r["lang"]: np.frombuffer(r["counts"], np.int32).astype(np.float64) for r in counted.collect()})
 
 
 def identify(documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -157,7 +183,10 @@ def posterior(judged: DataFrame, languages: list[str]) -> DataFrame:
     rows = judged.withColumn("host_key", F.coalesce("host", F.lit(""))).withColumn("said", F.coalesce("declared", F.lit("")))
     parts = F.split("host_key", r"\.")
     suffix = F.when(F.col("host_key").contains("."), F.element_at(parts, -1)).otherwise("")
-    domain = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -2, 2), ".")).otherwise(F.col("host_key"))
+    # Below a country's suffix, a general second label is part of the suffix: the domain is one label longer.
+    general = F.size(parts).between(3, 1 << 20) & (F.length(suffix) == 2) & F.element_at(parts, -2).isin(*SECOND_LABELS)
+    labels = F.when(general, 3).otherwise(2)
+    domain = F.when(F.size(parts) > 1, F.array_join(F.slice(parts, -labels, labels), ".")).otherwise(F.col("host_key"))
     cells = rows.groupBy("host_key", "said").agg(*_arrays(n, "p"))
     cells = materialise(cells.select("host_key", "said", suffix.alias("suffix"), domain.alias("domain"), _packed("p", n)), "langid-cells")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.plans.materialise import discard, materialise
-from ledgerline.session import scratch_path
+from ledgerline.session import remove_path, scratch_path
 
 #: Shortest key, in code points, that is deduplicated.
 MIN_KEY = 10
@@ -144,17 +144,30 @@ def dropped_lines(documents: DataFrame, batches: int = BATCHES, fanout: int = FA
     """``owner, th, dropped``: the line numbers each document loses; documents that lose none are absent."""
     spark = documents.sparkSession
     store, path = LineRuns(spark, fanout=fanout), scratch_path(spark, "line-drops")
-    for part in _batches(documents, batches):
-        lines = materialise(keyed_lines(documents.filter(part)), "line-keys")
-        firsts = materialise(lines.groupBy("h", "g").agg(F.min("owner").alias("owner"), F.count(F.lit(1)).alias("n")), "line-firsts")
-        store.add(firsts.drop("n"))
-        every = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        hot = firsts.filter(F.col("n") * HOT > every).select("h", "g")
-        gone = store.foreign(lines, hot).groupBy("owner", "th").agg(F.collect_set("pos").alias("dropped"))
-        gone.write.mode("append").parquet(path)
-        discard(lines)
-        discard(firsts)
-    store.close()
+    scratch: list[DataFrame] = []
+
+    def written(frame: DataFrame, label: str) -> DataFrame:
+        scratch.append(materialise(frame, label))
+        return scratch[-1]
+
+    try:
+        for part in _batches(documents, batches):
+            lines = written(keyed_lines(documents.filter(part)), "line-keys")
+            firsts = written(lines.groupBy("h", "g").agg(F.min("owner").alias("owner"), F.count(F.lit(1)).alias("n")), "line-firsts")
+            store.add(firsts.drop("n"))
+            every = firsts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            hot = firsts.filter(F.col("n") * HOT > every).select("h", "g")
+            gone = store.foreign(lines, hot).groupBy("owner", "th").agg(F.collect_set("pos").alias("dropped"))
+            gone.write.mode("append").parquet(path)
+            while scratch:
+                discard(scratch.pop())
+    except BaseException:
+        remove_path(spark, path)
+        raise
+    finally:  # a batch that failed leaves neither runs nor scratch behind
+        store.close()
+        while scratch:
+            discard(scratch.pop())
     return spark.read.schema("owner long, th long, dropped array<int>").parquet(path)
 
 

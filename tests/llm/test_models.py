@@ -192,6 +192,33 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and kept.filter("doc_id = 5002").count() == 0
 
 
+def test_scores_match_a_plain_forward_pass(spark):
+    """Word by word, filter by filter, without the projection of distinct words."""
+    rng = np.random.default_rng(16)
+    texts = [" ".join(rng.choice(["idiot", "kind", "word", "Über", "a", "b"], int(rng.integers(0, 12)))).encode() for _ in range(80)]
+    model = toxicity.Classifier().fit(texts, np.array([float(b"idiot" in t) for t in texts], dtype=np.float32))
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        found = words(text.decode())
+        vectors = [model.embed[toxicity.word_buckets([w])[0]].sum(axis=0) for w in found] + [np.zeros(toxicity.DIM, np.float32)] * (max(toxicity.WIDTHS) - 1)
+        best = []
+        for kernel in model.kernels:
+            replies = [sum(vectors[i + k] @ kernel[k] for k in range(len(kernel))) for i in range(len(found))]
+            best.append(np.max(replies, axis=0) if replies else np.full(toxicity.FILTERS, -np.inf))
+        pooled = np.maximum(np.concatenate(best) + model.bias, 0)
+        assert score == pytest.approx(1 / (1 + math.exp(-float(pooled @ model.out + model.shift))), abs=1e-4)
+    import pickle
+
+    assert (pickle.loads(pickle.dumps(model)).scores(texts) == model.scores(texts)).all()
+
+
+def test_toxicity_of_odd_rows(spark):
+    """Null, shared and repeated ids: one row each, by its own text."""
+    rows = [(None, "calm"), (7, "calm"), (7, "idiot"), (7, "idiot"), (8, None)]
+    got = toxicity.toxicity(frame(spark, rows), spark.createDataFrame([(7, 0, 1), (8, 0, 0)], "doc_id long, quality int, toxic int")).collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == [0, 7, 7, 7, 8]
+    assert not next(r for r in got if r["doc_id"] is None)["held_out"]
+
+
 def test_toxicity_without_both_classes(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -333,6 +360,58 @@ def test_language_id_of_odd_rows(spark):
     assert langid.visible("<style>x</style>a<!-- b -->&lt;c<b>d</b>").split() == [b"a", b"<c", b"d"]
 
 
+def test_fused_posterior_matches_brute_force(spark):
+    """Every factor worked out by hand for a few rows: text, declaration, suffix, host within domain within corpus."""
+    rng = np.random.default_rng(15)
+    hosts = ["a.site.de", "b.site.de", "x.co.uk", "y.co.uk", "solo", None, "new.fr"]
+    rows = []
+    for i in range(80):
+        p = float(rng.uniform(0.02, 0.98))
+        rows.append((i, hosts[int(rng.integers(len(hosts)))], [None, "de", "fr"][int(rng.integers(3))], [p, 1 - p]))
+    got = {r["id"]: r for r in langid.posterior(spark.createDataFrame(rows, "id long, host string, declared string, p array<double>"), ["de", "fr"]).collect()}
+
+    def domain(h):
+        parts = h.split(".")
+        return h if len(parts) == 1 else ".".join(parts[-3 if len(parts) >= 3 and len(parts[-1]) == 2 and parts[-2] in langid.SECOND_LABELS else -2 :])
+
+    suffix = lambda h: h.rsplit(".", 1)[1] if "." in h else ""
+    total = np.array([1.0 + sum(r[3][k] for r in rows) for k in (0, 1)])
+    corpus = total / total.sum()
+    for i, host, said, p in rows:
+        host = host or ""
+        alike = lambda same: np.sum([r[3] for r in rows if r[0] != i and same(r[1] or "", r[2])] or [[0, 0]], axis=0)
+        smooth = lambda n, below: (n + langid.KAPPA * below) / (n.sum() + langid.KAPPA)
+        prior = smooth(alike(lambda h, s: h == host), smooth(alike(lambda h, s: domain(h) == domain(host)), corpus))
+        odds = np.array(p) * prior
+        if said:
+            odds = odds * smooth(alike(lambda h, s: s == said), corpus) / corpus
+        if suffix(host):
+            odds = odds * smooth(alike(lambda h, s: suffix(h) == suffix(host)), corpus) / corpus
+        odds = odds / odds.sum()
+        assert got[i]["lang"] == ("de", "fr")[int(odds.argmax())] and got[i]["confidence"] == pytest.approx(odds.max(), rel=1e-6)
+
+
+def test_language_sample_has_rare_languages(spark):
+    rows = [(i, f"the cat and the dog number {i}", "en", "a") for i in range(300)] + [(1000 + i, f"der hund und die katze gehen nach hause {i}", "de", "b") for i in range(4)] + [(1100, None, "xx", "a")]
+    rows += [(7, "again and again", "en", "a")] * 50
+    docs = frame(spark, rows)
+    got = Counter(r["lang"] for r in langid.training_rows(docs, 20).collect())
+    assert got == {"en": 20, "de": 4}
+    assert langid.train(docs, 20).languages == ["de", "en"]
+    small = [r for r in langid.training_rows(docs, 200, 500).collect() if r["lang"] == "en"]
+    assert sum(len(r["text"]) for r in small) <= 500
+    out = {r["doc_id"]: r["lang"] for r in langid.identify(docs, spark.createDataFrame([], "page_id long, url string, html string")).collect()}
+    assert out[1000] == "de" and out[5] == "en" and len(out) == len({r[0] for r in rows})
+
+
+def test_language_of_a_very_long_page(spark):
+    docs = frame(spark, [(1, "the cat and the dog", "en", "a"), (2, "der hund und die katze", "de", "b")])
+    page = "<p>der hund</p>" * 40_000 + "<script>" + "the " * 40_000 + "</script>"
+    pages = spark.createDataFrame([(1, None, page), (1, None, page), (None, None, "the cat")], "page_id long, url string, html string").withColumn("p", F.lit(1)).withColumn("said", F.lit("x"))
+    got = langid.identify(docs, pages).filter("kind = 'page'").collect()
+    assert sorted((r["page_id"] or 0, r["lang"]) for r in got) == [(0, "en"), (1, "de"), (1, "de")]
+
+
 def test_language_declared_late_in_a_page(spark):
     docs = frame(spark, [(1, "the cat and the dog", "en", "a"), (2, "der hund und die katze", "de", "b")])
     pages = spark.createDataFrame([(1, None, f"<!-- {'licence ' * 3000} -->\n<html class=x lang=de>")], "page_id long, url string, html string")
@@ -379,6 +458,58 @@ def test_mix_meets_targets(spark, shard):
     assert {r["size"] for r in got if r["doc_id"] == 1002} == {2}
 
 
+def test_taken_matches_brute_force(spark):
+    """Quotas by ranked quotients, then each shard's circular run of blocks, word by word."""
+    rng = np.random.default_rng(17)
+    rows = [(i % 90 if i % 11 else None, " ".join(["w"] * int(rng.integers(0, 40))), "en", ["a", "b", None][i % 3]) for i in range(150)] + [(500, "z " * 9_000, "en", "b"), (501, "", "en", "empty"), (502, None, "en", "empty")]
+    block, shard = 8, 400
+    docs = frame(spark, rows)
+    keys = docs.select(
+        "doc_id", "source", mixing.word_count(F.col("text")).alias("size"),
+        F.xxhash64(F.lit(mixing.SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).alias("draw"),
+        F.xxhash64(F.xxhash64(F.lit(mixing.SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))).alias("deal"),
+    ).collect()
+    sizes = defaultdict(int)
+    for r in keys:
+        sizes[r["source"]] += r["size"]
+    target = brute_targets(sizes)
+
+    def quotas(votes, most, seats, name):
+        ranked = sorted((-v / (2 * k + 1), name[p], k, p) for p, v in votes.items() if v for k in range(most[p]))[:seats]
+        return Counter(p for *_, p in ranked)
+
+    half = lambda x: math.floor(x + 0.5)
+    hashed = spark.createDataFrame([(s,) for s in sizes], "source string").select("source", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()).alias("h")).collect()
+    given_ = quotas(target, {s: max(sizes[s] * 2 // block, half(target[s] / block)) for s in sizes}, half(sum(target.values()) / block), {r["source"]: r["h"] for r in hashed})
+    shards = {s: max(1, -(-sizes[s] // shard)) for s in sizes}
+    lanes = defaultdict(list)
+    for r in keys:
+        lanes[r["source"], r["deal"] % shards[r["source"]]].append(r)
+    names = spark.createDataFrame(list(lanes), "source string, shard long").select(
+        "source", "shard", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), "shard").alias("h"), F.xxhash64(F.lit(mixing.SEED + 1), "source", "shard").alias("start")
+    ).collect()
+    want = Counter()
+    for s in sizes:
+        own = {k: sum(r["size"] for r in lane) for k, lane in lanes.items() if k[0] == s}
+        won = quotas(own, {k: -(-n * 2 // block) for k, n in own.items()}, given_[s], {(r["source"], r["shard"]): r["h"] for r in names})
+        for k, n in own.items():
+            lane = sorted(lanes[k], key=lambda r: (r["draw"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"]))
+            seed = next(r["start"] for r in names if (r["source"], r["shard"]) == k)
+            at, owner = seed % max(n // block, 1) * block, [j for j, r in enumerate(lane) for _ in range(r["size"])]
+            taken = Counter(owner[(at + w) % n] for w in range(min(won[k] * block, n * 2)))
+            for j, r in enumerate(lane):
+                want[r["doc_id"], r["size"], r["source"], taken[j]] += 1
+    got = mixing.mix(docs, block=block, shard=shard).collect()
+    assert Counter((r["doc_id"], r["size"], r["source"], r["taken"]) for r in got) == want
+
+
+def test_mix_spreads_rows_without_an_id(spark):
+    """Rows that share an id, or a source of empty texts, are dealt over shards like all others."""
+    rows = [(None, f"w{i} word", "en", "a") for i in range(300)] + [(1, "", "en", "b")] * 3
+    got = mixing.mix(frame(spark, rows), shard=100, rows=50).collect()
+    assert len(got) == 303 and abs(sum(r["taken"] for r in got) - 900) <= mixing.BLOCK and all(r["taken"] == 0 for r in got if r["doc_id"] == 1)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(frame(spark, [(1, "x")]).limit(0)).count() == 0
     assert [r["taken"] for r in mixing.mix(frame(spark, [(1, None), (2, " ")])).collect()] == [0, 0]
