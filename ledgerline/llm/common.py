@@ -13,6 +13,8 @@ from ledgerline.plans.materialise import materialise
 
 #: Copies of the smaller side of a join whose key may be hot.
 SALTS = 16
+#: Decisions on rows that may be broadcast, some 60 bytes each.
+MARKS = 500_000
 #: Bytes of text that a Python worker turns into arrays at once.
 SLICE_BYTES = 8 << 20
 
@@ -37,8 +39,9 @@ def kept_rows(documents: DataFrame, decided: DataFrame, key: Column) -> DataFram
     """The rows of ``documents`` that ``decided`` keeps, with all their columns.
 
     ``decided`` has a row ``doc_id, key, kept`` per document; ``key`` computes that key
-    from a document. Null ids equal each other. Rows alike in id and key share one
-    decision, and of those to be kept one stays.
+    from a document, both 64-bit numbers. Null ids equal each other. Rows alike in id and
+    key share one decision, and of those to be kept one stays. Up to ``MARKS`` decisions, counted
+    first, go to the rows by broadcast; more of them meet the rows by a shuffle of both.
     """
     per = decided.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(
         F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")
@@ -46,7 +49,9 @@ def kept_rows(documents: DataFrame, decided: DataFrame, key: Column) -> DataFram
     marks = materialise(per.filter("not _kept or _n > 1"), "row-marks")
     rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").alias("_own"), key.alias("_text"))
     same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
-    if marks.filter("_kept").isEmpty():
+    repeated, number = marks.agg(F.count_if("_kept"), F.count(F.lit(1))).first()
+    marks = F.broadcast(marks) if number <= MARKS else marks
+    if not repeated:
         return rows.join(marks, same, "left_anti").select("row.*")
     marked = rows.join(marks, same, "left").filter("_kept is null or _kept")
     alone = marked.filter("_kept is null").select("row.*")

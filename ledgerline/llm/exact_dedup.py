@@ -99,5 +99,5 @@ def exact_duplicates(documents: DataFrame, bits: int = 64) -> DataFrame:
 
 def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
     """One row of each group of equal texts, with all its columns: that with the largest ``doc_id``."""
-    decided = exact_duplicates(documents).select("doc_id", F.col("text_sha256").alias("key"), "kept")
-    return kept_rows(documents, decided, F.sha2(F.coalesce("text", F.lit("")), 256))
+    decided = exact_duplicates(documents).select("doc_id", F.xxhash64("text_sha256").alias("key"), "kept")
+    return kept_rows(documents, decided, F.xxhash64(F.sha2(F.coalesce("text", F.lit("")), 256)))

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ledgerline.llm import chat, decontam, eliasfano, exact_dedup, langid, mixing, ngram_lm, queries, simhash, toxicity
+from ledgerline.llm import chat, common, decontam, eliasfano, exact_dedup, langid, mixing, ngram_lm, queries, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, held_out string, p string, host string"
 
@@ -574,8 +574,10 @@ def bag(frame):
     return Counter((r["doc_id"], r["text"]) for r in frame.select("doc_id", "text").collect())
 
 
-def test_stages_decide_by_row_not_by_id(spark):
+@pytest.mark.parametrize("marks", [common.MARKS, 0])
+def test_stages_decide_by_row_not_by_id(spark, monkeypatch, marks):
     """Null, shared and repeated ids: every stage that drops rows against the rows it should keep."""
+    monkeypatch.setattr(common, "MARKS", marks)  # decisions by broadcast and by shuffle
     rng = np.random.default_rng(12)
     long = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 5000, 300))
     a, b, near = long(1), long(2), long(1) + " tail"
