@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.config import MONTHS_SPELLED
+
+# What counts as a numeric date.
 _NUMERIC = r"^\s*(\d{1,4})[/\-.](\d{1,2})[/\-.](\d{2,4})"
 _PARTS = r"^\s*(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2,4})(?:[ T]+(\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?)?"
 
@@ -62,19 +65,24 @@ def month_start(key: int) -> str:
     return f"{key // 12:04d}-{key % 12 + 1:02d}-01 00:00:00"
 
 
+def month_runs(months: list[str]) -> list[list[int]]:
+    """Months as runs of following ones: first and last of each."""
+    runs: list[list[int]] = []
+    for key in sorted({month_key(m) for m in months}):
+        if runs and runs[-1][1] + 1 == key:
+            runs[-1][1] = key
+        else:
+            runs.append([key, key])
+    return runs
+
+
 def in_months(ts: Column, start: str = "", end: str = "", months: list[str] | None = None) -> Column:
     """Rows within a range of months, or in a set of them; a set wins, an empty set has none.
 
     Ranges, and sets as unions of them, compare the time itself, so they reach the scan.
     """
     if months is not None:
-        keys = sorted({month_key(m) for m in months})
-        runs: list[list[int]] = []
-        for k in keys:
-            if runs and runs[-1][1] + 1 == k:
-                runs[-1][1] = k
-            else:
-                runs.append([k, k])
+        runs = month_runs(months)
     else:
         low, high = (month_key(m) if m else None for m in (start, end))
         if low is not None and high is not None and low > high:
@@ -91,36 +99,43 @@ def in_months(ts: Column, start: str = "", end: str = "", months: list[str] | No
     return found  # never null: each part asks first whether there is a time
 
 
-_SHORT = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+# How months and spans of months are written.
+SHORT_MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+ALL_DATES, NO_MONTHS, SPAN, BETWEEN = "all dates", "no months", "{} to {}", "{} selected months between {} and {}"
+
+
+def _written(key: int) -> str:
+    year, month = divmod(key, 12)
+    return f"{SHORT_MONTHS[month]}-{year % 100:02d}"
+
+
+def _spelled(runs: list[list[int]], most: int) -> str:
+    """Runs of months in words: one run as a span, a few months by name, many by their number and ends."""
+    first, last = _written(runs[0][0]), _written(runs[-1][1])
+    if len(runs) == 1:
+        return first if first == last else SPAN.format(first, last)
+    keys = [k for low, high in runs for k in range(low, high + 1)]
+    if len(keys) > most:
+        return BETWEEN.format(len(keys), first, last)
+    return f"{', '.join(map(_written, keys[:-1]))} and {last}"
 
 
 def month_label(period: str) -> str:
-    key = month_key(period)
-    return f"{_SHORT[key % 12]}-{key // 12 % 100:02d}"
+    return _written(month_key(period))
 
 
 def range_label(start: str, end: str) -> str:
     """``Feb-25 to Jul-26``; one month alone; no filter at all."""
-    if not (start and end):
-        return "all dates"
-    return month_label(start) if start == end else f"{month_label(start)} to {month_label(end)}"
+    return _spelled([[month_key(start), month_key(end)]], 0) if start and end else ALL_DATES
 
 
 def is_contiguous(months: list[str]) -> bool:
-    keys = {month_key(m) for m in months}
-    return bool(keys) and max(keys) - min(keys) + 1 == len(months)
+    return len(month_runs(months)) == 1
 
 
-def months_label(months: list[str], spelled: int = 4) -> str:
+def months_label(months: list[str], spelled: int = MONTHS_SPELLED) -> str:
     """A set of months by name while it is short, by its span beyond that."""
-    chosen = [month_label(m) for m in sorted(months, key=month_key)]
-    if not chosen:
-        return "no months"
-    if is_contiguous(months):
-        return range_label(min(months, key=month_key), max(months, key=month_key))
-    if len(chosen) > spelled:
-        return f"{len(chosen)} selected months between {chosen[0]} and {chosen[-1]}"
-    return " and ".join([", ".join(chosen[:-1]), chosen[-1]])
+    return _spelled(month_runs(months), spelled) if months else NO_MONTHS
 
 
 def resolution_days(created: Column, closed: Column) -> Column:

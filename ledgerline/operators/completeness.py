@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ledgerline.functions import dates
 from ledgerline.functions.text import is_missing, quoted, strip
 from ledgerline.operators.roles import Roles
+from ledgerline.plans.spread import estimated_bytes  # noqa: F401  (part of this surface)
 
 
 def data_columns(df: DataFrame) -> list[T.StructField]:
@@ -91,7 +92,7 @@ def null_chart(profile: DataFrame, rows: int = 15) -> DataFrame:
 
 
 def data_profile(df: DataFrame, created: Column | None = None) -> DataFrame:
-    """``rows, columns, first_created, last_created`` as text."""
+    """``rows, columns``, the first and last of ``created`` as text."""
     first, last = (F.min(created), F.max(created)) if created is not None else (F.lit(None), F.lit(None))
     text = lambda c, form: F.date_format(c.cast("timestamp_ntz"), form)
     return df.agg(

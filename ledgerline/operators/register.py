@@ -12,6 +12,7 @@ from ledgerline.operators import calendar, completeness, descriptions, language,
 from ledgerline.operators.logic import AuditContext
 from ledgerline.operators.roles import CLOSED, CREATED, ID, PRIORITY, STATE
 
+# Areas, names and severities of checks below are fixed values of the report; their details are worded here.
 SCHEMA = "Area string, Check string, Severity string, Rows long, Detail string, Result string"
 
 

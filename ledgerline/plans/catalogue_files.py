@@ -227,6 +227,16 @@ def sheet_table_names(spark, sf):
     return _rows(spark, [(x, sinks.table_name(x, used)) for x in ("A b", "a B", "x/y", "A  b")], "label string, name string")
 
 
+@query("""SELECT row_number() OVER () - 1 AS line, said FROM (SELECT 'Dataset' || chr(9) || 'tpch' AS said, 0 AS k, 0 AS r UNION ALL SELECT 'Sheet' || chr(9) || 'Nations', 1, 0
+UNION ALL SELECT 'Rows' || chr(9) || count(*), 2, 0 FROM nation UNION ALL SELECT 'Filter' || chr(9) || 'none at all', 3, 0 UNION ALL SELECT '', 4, 0
+UNION ALL SELECT 'n_nationkey' || chr(9) || 'n_name', 5, 0 UNION ALL SELECT n_nationkey || chr(9) || n_name || ' and sons', 6, n_nationkey FROM nation ORDER BY k, r)""")
+def tsv_copy(spark, sf):
+    """A table as it goes to the clipboard, without the line that says when."""
+    n = table(spark, sf, "nation").orderBy("n_nationkey").select("n_nationkey", F.concat("n_name", F.lit("\tand\nsons")).alias("n_name"))
+    lines = sinks.copy_as_tsv(n, "tpch", "Nations", {"Filter": "none\tat all"}).splitlines()
+    return _rows(spark, enumerate(x for x in lines if not x.startswith("Generated\t")), "line long, said string")
+
+
 @query("""WITH t AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Hola buenos dias, necesito ayuda con el sistema' WHEN 1 THEN 'the printer does not work today' ELSE 'short' END AS note FROM pages),
 n AS (SELECT count(*) AS total, count(*) FILTER (WHERE length(note) >= 10) AS seen, count(*) FILTER (WHERE page_id % 3 = 0) AS es FROM t)
 SELECT 'found' AS run, 'note: ' || es || ' of ' || seen || ' judged rows are not in English (' || round(es * 100.0 / seen, 1) || '%)' AS line FROM n

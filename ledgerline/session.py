@@ -28,12 +28,14 @@ def build_session(app: str = "ledgerline", master: str | None = None, **conf: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where a session has none (tests, local runs) a folder below the
-    warehouse directory is set, which such a session shares with itself.
+    Only a local session that has none gets a folder below its warehouse directory,
+    which it shares with itself; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_shared")
         spark.conf.set("spark.checkpoint.dir", found)
     if sc._jsc.sc().getCheckpointDir().isEmpty():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 import re
 
@@ -17,7 +18,7 @@ from ledgerline.operators.roles import CREATED, ID, PRIORITY, STATE
 from ledgerline.session import remove_path
 from ledgerline.sources.workbook import TooLarge, frame_sheet, write_workbook
 
-__all__ = ["TooLarge", "table_name", "write_csv", "write_extract", "write_report"]
+__all__ = ["TooLarge", "copy_as_tsv", "table_name", "write_csv", "write_extract", "write_report"]
 
 BOM = "﻿"
 
@@ -47,6 +48,20 @@ def write_csv(frame: DataFrame, path: str) -> None:
     remove_path(spark, folder)
 
 
+def copy_as_tsv(frame: DataFrame, dataset: str, sheet: str, extras: dict[str, str] | None = None, most: int = INLINE_ROWS) -> str:
+    """A table for the clipboard: what it is and when it was made, then header and rows, cells parted by tabs.
+
+    Tabs and line ends inside cells become blanks. Tables of more than ``most`` rows are refused.
+    """
+    rows = sanitise(frame).limit(most + 1).collect()
+    if len(rows) > most:
+        raise TooLarge(f"More than {most:,} rows are no table to copy; write CSV")
+    flat = lambda v: "" if v is None else re.sub(r"[\t\r\n]+", " ", str(v))
+    told = {"Dataset": dataset, "Sheet": sheet, "Rows": f"{len(rows):,}", **(extras or {}), "Generated": f"{datetime.datetime.now():%Y-%m-%d %H:%M}"}
+    lines = [f"{k}\t{flat(v)}" for k, v in told.items()] + ["", "\t".join(frame.columns)]
+    return "\n".join(lines + ["\t".join(map(flat, r)) for r in rows]) + "\n"
+
+
 def sidecar_path(path: str) -> str:
     return f"{os.path.splitext(path)[0]}_ExtractInfo.txt"
 

@@ -183,3 +183,36 @@ def test_entry_without_the_text_subpackage(tmp_path):
     shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "repo", check=True, timeout=120)
+    picked = "roles or labels or delimiters or states or months"
+    tests = [sys.executable, "-B", "-m", "pytest", "tests", "-q", "-p", "no:cacheprovider", "-k", picked]
+    subprocess.run(tests, cwd=tmp_path / "repo", check=True, timeout=600, stdout=subprocess.DEVNULL)
+
+
+def test_a_path_with_a_scheme_is_read_through_spark(spark, tmp_path):
+    path = tmp_path / "t.csv"
+    path.write_bytes("größe;b\n1;2\n".encode("cp1252"))
+    remote = f"file://{path}"
+    assert loader.detect_encoding(remote) == "cp1252" and loader.read_table(spark, remote).columns[:2] == ["größe", "b"]
+    with pytest.raises(OSError, match="cannot be opened"):
+        loader.detect_encoding(f"file://{tmp_path}/absent.csv")
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from ledgerline.session import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)))
+
+
+def test_clipboard_tables_are_bounded(spark):
+    with pytest.raises(sinks.TooLarge):
+        sinks.copy_as_tsv(spark.range(5), "d", "s", most=4)
+
+
+def test_plan_size(spark):
+    from ledgerline.operators.completeness import estimated_bytes
+
+    assert estimated_bytes(spark.range(1000)) > estimated_bytes(spark.range(10)) > 0
