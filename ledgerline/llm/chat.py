@@ -8,7 +8,8 @@ The template writes a turn as ``[INST]role[/INST]text</s>``. Control strings ins
 roles and texts are escaped: backslashes are doubled, then a backslash is put
 after the first character of each control string. The reader undoes this exactly.
 The tokenizer gets the control strings as special tokens, so no token straddles
-the edge of a text.
+the edge of a text. Its vocabulary file need lie on the driver only: Spark ships it to the
+executors.
 
 Rows of a conversation are ordered by turn, ties by role, then text; a null turn
 comes first. Edge cases: a null or empty text is an empty turn and adds nothing
@@ -21,11 +22,13 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,10 +117,10 @@ def _groups(rows: list[tuple], size: int = GROUP) -> Iterator[list[tuple]]:
         yield held
 
 
-def _formatted(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    if path not in _loaded:
-        _loaded[path] = load_tokenizer(path)
-    tokenizer = _loaded[path]
+def _formatted(name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if name not in _loaded:
+        _loaded[name] = load_tokenizer(SparkFiles.get(name))
+    tokenizer = _loaded[name]
     ints = pa.list_(pa.int32())
     for batch in batches:
         rendered = []
@@ -145,7 +148,9 @@ def format_conversations(conversations: DataFrame, tokenizer: str = TOKENIZER) -
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     schema = f"conv_id {kind}, formatted string, input_ids array<int>, starts array<int>, ends array<int>, loss_mask array<boolean>"
-    return whole.mapInArrow(lambda it: _formatted(tokenizer, it), schema)
+    conversations.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+    return whole.mapInArrow(lambda it: _formatted(name, it), schema)
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

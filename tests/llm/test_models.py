@@ -270,6 +270,17 @@ def test_leaks_of_odd_rows(spark):
     assert sorted(r["doc_id"] for r in decontam.drop_contaminated(docs, bench).collect()) == [2, 3, 4, 6]
 
 
+def test_leaks_in_very_long_and_nameless_rows(spark):
+    item = "which river flows through the old stone town of ambleford and who built its first bridge"
+    bench = spark.createDataFrame([(1, item)] * 2 + [(None, "one two three four five six")], "item_id long, text string").withColumn("bm25", F.lit("x"))
+    filler = " ".join(f"filler{i % 977}" for i in range(60_000))
+    rows = [(None, f"{filler} {item} {filler}"), (None, filler), (4, "x" * 300_000), (4, f"{item} {item}"), (5, "zero one two three four five six seven")]
+    got = Counter((r["doc_id"], r["item_id"], r["first_word"]) for r in decontam.leaks(frame(spark, rows), bench).collect())
+    # The first of equally good passages; both of two equal items; an item without an id is an item.
+    assert {k[:2]: n for k, n in got.items()} == {(None, 1): 2, (4, 1): 2, (5, None): 1}
+    assert all(first == 0 if i else 60_000 - 32 < first <= 60_000 for i, _, first in got)
+
+
 def test_leaks_with_a_glued_last_word(spark):
     item = "which river flows through the old stone town of ambleford and who built its first bridge"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
