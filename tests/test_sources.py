@@ -207,6 +207,25 @@ def test_a_cluster_must_name_its_shared_folder():
         shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)))
 
 
+def test_the_package_can_be_shipped(tmp_path):
+    """From a folder where the workers cannot import it, with nothing on their path."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys; sys.path.insert(0, {root!r})
+from ledgerline.session import build_session, ship_package
+spark = build_session("shipped", "local[2]")
+ship_package(spark)
+from ledgerline.sources import loader, workbook
+workbook.write_workbook("t.xlsx", [("A", ["a"], iter([(1,), (2,)]))])
+assert loader.read_table(spark, "t.xlsx").count() == 2
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, timeout=180, env=env, stderr=subprocess.DEVNULL)
+
+
 def test_clipboard_tables_are_bounded(spark):
     with pytest.raises(sinks.TooLarge):
         sinks.copy_as_tsv(spark.range(5), "d", "s", most=4)
