@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.session import shared_dir
+from ledgerline.plans.materialise import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,15 +23,12 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
     """Return ``(node, component)`` for every node of ``edges``; component is the smallest node reached.
 
     Self loops and null ends are ignored (a node seen only in those is absent).
-    An empty edge table gives an empty result. Lineage is cut with reliable
-    checkpoints, never local ones.
+    An empty edge table gives an empty result. Each step's edges are written to the
+    shared folder, which cuts the lineage, and deleted once the next ones are there.
     """
-    shared_dir(edges.sparkSession)
     kind = edges.schema[left].dataType
     a, b = F.greatest(left, right), F.least(left, right)
-    current = (
-        edges.select(a.alias("a"), b.alias("b")).filter("a > b").distinct().checkpoint()
-    )
+    current = materialise(edges.select(a.alias("a"), b.alias("b")).filter("a > b").distinct(), "edges")
     before = _state(current)
     for _ in range(max_rounds):
         if not before[0]:
@@ -47,7 +44,9 @@ def connected_components(edges: DataFrame, left: str, right: str, max_rounds: in
             .union(low.select("a", F.col("m").alias("b")))
             .filter("a > b").distinct()
         )
-        current = small.checkpoint()
+        following = materialise(small, "edges")
+        discard(current)
+        current = following
         after = _state(current)
         if after == before:
             break
