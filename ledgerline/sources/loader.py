@@ -6,6 +6,7 @@ import codecs
 import csv
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,7 +51,10 @@ def _size(path: str) -> int:
     if ":/" not in path:
         return os.path.getsize(path)
     fs, target = _file(path)
-    return fs.getFileStatus(target).getLen()
+    try:
+        return fs.getFileStatus(target).getLen()
+    except Exception as e:
+        raise OSError(f"{path} cannot be opened") from e
 
 
 def is_excel(path: str) -> bool:
@@ -112,7 +116,7 @@ def list_sheets(path: str) -> list[str]:
     if not is_excel(path):
         return []
     try:
-        return list(workbook.sheet_paths(path))
+        return list(workbook.sheet_paths(path)) if ":/" not in path else workbook.sheet_names(SparkSession.getActiveSession(), path)
     except Exception as e:
         raise ValueError(diagnose(path)) from e
 
@@ -128,13 +132,11 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     if ext in (".parquet", ".orc", ".json"):
         return with_row_id(spark.read.format(ext[1:]).load(path))
     if is_excel(path):
-        spark.dataSource.register(workbook.WorkbookSource)
-        reader = spark.read.format("ledger_xlsx").option("path", path)
         try:
-            return (reader.option("sheet", sheet) if sheet else reader).load()
-        except Exception as e:
-            if sheet and sheet not in list_sheets(path):
-                raise ValueError(f"'{os.path.basename(path)}' has no sheet '{sheet}'") from e
+            return workbook.read_sheet(spark, path, sheet)
+        except KeyError as e:
+            raise ValueError(f"'{os.path.basename(path)}' has no sheet '{sheet}'") from e
+        except (workbook.Unreadable, AnalysisException) as e:
             raise ValueError(diagnose(path)) from e
     return read_delimited(spark, path)
 

@@ -1,13 +1,16 @@
-"""Excel workbooks with the standard library: a Spark data source to read, a streaming writer.
+"""Excel workbooks with the standard library: a reader over Spark's binary files, a streaming writer.
 
-``spark.read.format("ledger_xlsx")`` takes ``path`` and ``sheet`` (name; default the
-first). A sheet is one compressed stream and so one partition; rows are parsed and
-handed on as they come, in Arrow-sized batches by Spark.
+Spark brings the file to one executor task from whatever store it lies in; neither the
+driver nor the worker opens a path. A sheet is one compressed stream and so one
+partition; its rows are parsed and handed on in Arrow batches as they come.
 """
 
 from __future__ import annotations
 
 import datetime
+import io
+import itertools
+import json
 import os
 import re
 import zipfile
@@ -15,9 +18,10 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerline.config import SHEET_ROWS
 
@@ -26,15 +30,17 @@ _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 _EPOCH = datetime.datetime(1899, 12, 30)
 #: Built-in number formats that show dates or times.
 _DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+#: Rows of a sheet that are handed on at once.
+BATCH = 4096
 
 
 def _part(z: zipfile.ZipFile, name: str):
     return ElementTree.fromstring(z.read(name)) if name in z.namelist() else None
 
 
-def sheet_paths(path: str) -> dict[str, str]:
-    """Sheet names and their parts, in workbook order."""
-    with zipfile.ZipFile(path) as z:
+def sheet_paths(file) -> dict[str, str]:
+    """Sheet names and their parts, in workbook order; ``file`` is a path or an open binary file."""
+    with zipfile.ZipFile(file) as z:
         rels = {r.get("Id"): r.get("Target") for r in _part(z, "xl/_rels/workbook.xml.rels")}
         out = {}
         for s in _part(z, "xl/workbook.xml").iter(f"{_MAIN}sheet"):
@@ -90,12 +96,10 @@ def _value(cell, shared: list[str], dated: set[int]):
     return int(number) if number.is_integer() and "e" not in text.lower() and "." not in text else number
 
 
-def rows(path: str, sheet: str | None = None) -> Iterator[list]:
-    """The rows of a sheet as they are read; rows missing from the file are empty, trailing empty ones dropped."""
-    found = sheet_paths(path)
-    if sheet is not None and sheet not in found:
-        raise ValueError(f"'{os.path.basename(path)}' has no sheet '{sheet}'")
-    with zipfile.ZipFile(path) as z:
+def rows(file, sheet: str | None = None) -> Iterator[list]:
+    """The rows of a sheet (default the first) as they are read; rows missing from the file are empty, trailing empty ones dropped."""
+    found = sheet_paths(file)
+    with zipfile.ZipFile(file) as z:
         shared, dated = _shared(z), _date_styles(z)
         empty, expected = 0, 1
         with z.open(found[sheet] if sheet is not None else next(iter(found.values()))) as f:
@@ -150,9 +154,9 @@ def _kind(v) -> str:
     return "string"
 
 
-def infer_schema(path: str, sheet: str | None = None) -> T.StructType:
+def infer_schema(file, sheet: str | None = None) -> T.StructType:
     """Types by value: text that looks like numbers is numeric, a column without values is double."""
-    source = rows(path, sheet)
+    source = rows(file, sheet)
     header = next(source, [])
     kinds: list[set[str]] = [set() for _ in header]
     for row in source:
@@ -160,7 +164,7 @@ def infer_schema(path: str, sheet: str | None = None) -> T.StructType:
         for seen, v in zip(kinds, row, strict=False):
             if v is not None:
                 seen.add(_kind(v))
-    names = header_names([*header, *[None] * (len(kinds) - len(header))])
+    names = header_names(_filled(header, len(kinds)))
     fields = []
     for name, seen in zip(names, kinds, strict=True):
         if not seen:
@@ -189,37 +193,70 @@ def _cast(v, kind: T.DataType):
     return float(v) if isinstance(kind, T.DoubleType) else v
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, path: str, sheet: str | None, schema: T.StructType):
-        self.path, self.sheet, self.fields = path, sheet, schema.fields
+class Unreadable(ValueError):
+    """The file is no workbook, or a damaged one."""
 
-    def partitions(self):
-        return [InputPartition(0)]
 
-    def read(self, partition):
-        source = rows(self.path, self.sheet)
-        header = next(source, [])
-        names = header_names([*header, *[None] * (len(self.fields) - len(header))])
-        place = {name: i for i, name in enumerate(names)}
-        for n, row in enumerate(source):
-            yield tuple(
-                n if f.name == "_row_id" else _cast(row[place[f.name]], f.dataType) if place.get(f.name, len(row)) < len(row) else None
-                for f in self.fields
-            )
+def _content(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(re.sub(r"([\\{}\[\]*?])", r"\\\1", path)).select("content")
+
+
+def _files(batches) -> Iterator[io.BytesIO]:
+    for batch in batches:
+        for content in batch.column(0):
+            yield io.BytesIO(content.as_buffer())
+
+
+def sheet_names(spark: SparkSession, path: str) -> list[str]:
+    """Sheet names of a workbook in any store, in workbook order."""
+    return _asked(spark, path, lambda file: "\n".join(sheet_paths(file))).split("\n")
+
+
+def _asked(spark: SparkSession, path: str, question) -> str:
+    """What a task answers about a file; only faults of the file itself make it unreadable."""
+
+    def answer(batches):
+        for file in _files(batches):
+            try:
+                said = [question(file), None]
+            except (zipfile.BadZipFile, ElementTree.ParseError, EOFError, LookupError, TypeError, ValueError) as e:
+                said = [None, f"{type(e).__name__}: {e}"]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.string()) for v in said], ["said", "fault"])
+
+    row = _content(spark, path).mapInArrow(answer, "said string, fault string").first()
+    if row is None or row["fault"]:
+        raise Unreadable(row["fault"] if row else "no such file")
+    return row["said"]
+
 
+def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A sheet (default the first) as a table with ``_row_id``; a sheet that is not there raises KeyError."""
+    if sheet is not None and sheet not in sheet_names(spark, path):
+        raise KeyError(sheet)
+    schema = T.StructType.fromJson(json.loads(_asked(spark, path, lambda file: infer_schema(file, sheet).json())))
+    fields, shape = schema.fields, to_arrow_schema(schema)
 
-class WorkbookSource(DataSource):
-    """``format("ledger_xlsx")``."""
+    def parse(batches):
+        for file in _files(batches):
+            source = rows(file, sheet)
+            names = header_names(_filled(next(source, []), len(fields) - 1))
+            place = {name: i for i, name in enumerate(names)}
+            for start in itertools.count(0, BATCH):
+                taken = list(itertools.islice(source, BATCH))
+                if not taken:
+                    break
+                columns = [
+                    range(start, start + len(taken)) if f.name == "_row_id" else
+                    [_cast(row[place[f.name]], f.dataType) if place[f.name] < len(row) else None for row in taken]
+                    for f in fields
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(columns, shape, strict=True)], schema=shape)
 
-    @classmethod
-    def name(cls):
-        return "ledger_xlsx"
+    return _content(spark, path).mapInArrow(parse, schema)
 
-    def schema(self):
-        return infer_schema(self.options["path"], self.options.get("sheet"))
 
-    def reader(self, schema):
-        return _Reader(self.options["path"], self.options.get("sheet"), schema)
+def _filled(header: list, width: int) -> list:
+    return [*header, *[None] * (width - len(header))]
 
 
 # Writing

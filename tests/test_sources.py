@@ -76,6 +76,19 @@ def test_workbooks(spark, tmp_path):
         loader.read_table(spark, str(path), "Missing")
 
 
+def test_workbooks_in_other_stores(spark, tmp_path):
+    """A path with a scheme, blanks and brackets goes through Spark's file systems; one that is not there is told as such."""
+    path = f"file://{tmp_path}/plan [1] {{a}}.xlsx"
+    write(path.removeprefix("file://"), [("One", ["n"], [(i,) for i in range(workbook.BATCH + 1)]), ("Two", [], [])])
+    assert loader.list_sheets(path) == ["One", "Two"]
+    df = loader.read_table(spark, path)
+    assert df.agg(F.sum("n"), F.max("_row_id"), F.count("n")).first()[:] == (sum(range(workbook.BATCH + 1)), workbook.BATCH, workbook.BATCH + 1)
+    assert loader.read_table(spark, path, "Two").count() == 0
+    for missing in (f"file://{tmp_path}/no.xlsx", f"{tmp_path}/no.xlsx"):
+        with pytest.raises(ValueError, match="cannot be read"):
+            loader.read_table(spark, missing)
+
+
 @pytest.mark.parametrize(("name", "data", "said"), [
     ("a.xlsx", b"", "0 bytes"), ("b.xlsx", b"PK\x03\x04rest", "cut short"), ("c.xlsx", b"\xd0\xcf\x11\xe0\xa1\xb1", "old or protected"),
     ("d.xlsx", b"<html><table>", "web page"), ("e.xlsx", b"\x01\x02\x03random", "not a spreadsheet"), ("f.xlsx", b"PK\x03\x04PK\x05\x06" + b"\0" * 18, "damaged"),
