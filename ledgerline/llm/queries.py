@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import chat, decontam, exact_dedup, langid, line_dedup, mixing, ngram_lm, simhash, substring_dedup, toxicity
+from ledgerline.llm import chat, decontam, exact_dedup, langid, line_dedup, mixing, ngram_lm, simhash, substring_dedup, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line,
@@ -96,6 +100,48 @@ FROM documents
 """
 
 
+_ASSIGNED = """
+  SELECT rid, part, entry, dist FROM (
+    SELECT rid, part, entry, dist, row_number() OVER (PARTITION BY rid, part ORDER BY dist, entry) AS place
+    FROM (SELECT c.rid, c.part, b.entry, sum((c.x - b.x) * (c.x - b.x)) AS dist
+          FROM cells c JOIN {book} b ON c.part = b.part AND c.pos = b.pos
+          GROUP BY c.rid, c.part, b.entry))
+  WHERE place = 1
+"""
+_MOVED = """
+  SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x
+  FROM {book} b LEFT JOIN (
+    SELECT a.part, a.entry, c.pos, CAST(floor(CAST(sum(c.x) AS DOUBLE) / count(*)) AS BIGINT) AS x
+    FROM {assigned} a JOIN cells c ON a.rid = c.rid AND a.part = c.part
+    GROUP BY a.part, a.entry, c.pos) m
+  ON b.part = m.part AND b.entry = m.entry AND b.pos = m.pos
+"""
+OP11_SQL = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS rid, vec_id, label, embedding
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(CAST(x AS DOUBLE)) OR isinf(CAST(x AS DOUBLE)))) = 0
+),
+cells AS MATERIALIZED (
+  SELECT rid, (pos - 1) // (n // 16) AS part, (pos - 1) % (n // 16) AS pos, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x
+  FROM (SELECT rid, len(embedding) AS n, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM kept)
+),
+book0 AS MATERIALIZED (SELECT part, rid AS entry, pos, x FROM cells WHERE rid < 64),
+assigned0 AS MATERIALIZED ({_ASSIGNED.format(book="book0")}),
+book1 AS MATERIALIZED ({_MOVED.format(book="book0", assigned="assigned0")}),
+assigned1 AS MATERIALIZED ({_ASSIGNED.format(book="book1")}),
+book2 AS MATERIALIZED ({_MOVED.format(book="book1", assigned="assigned1")}),
+codes AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error
+  FROM ({_ASSIGNED.format(book="book2")}) GROUP BY rid
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) FROM book2) AS codebooks_sha256
+FROM kept JOIN codes USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -108,8 +154,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_lm_scoring": op9_lm_scoring,
         "op10_language_id": op10_language_id,
+        "op11_vector_codes": op11_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op8_exact_dedup": OP8_SQL, "op11_vector_codes": OP11_SQL}
