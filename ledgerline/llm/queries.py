@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.llm import chat, decontam, exact_dedup, langid, line_dedup, mixing, ngram_lm, simhash, substring_dedup, toxicity, vector_codes
+from ledgerline.llm import chat, decontam, exact_dedup, langid, line_dedup, mixing, ngram_lm, simhash, substring_dedup, token_files, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.compress(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OP5_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line,
@@ -155,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scoring": op9_lm_scoring,
         "op10_language_id": op10_language_id,
         "op11_vector_codes": op11_vector_codes,
+        "op12_token_files": op12_token_files,
     }
 
 
