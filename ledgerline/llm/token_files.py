@@ -7,10 +7,11 @@ returns is a row per shard: the manifest. Where a shard begins in the whole corp
 tokens of all ranges before (one row a range passes a window) and of the shards before it in its range.
 
 Texts are encoded by the vocabulary file's tokenizer. For byte-level BPE a text may be cut
-before a lone space between two visible characters: no pre-token has an inner space and
-the one that begins there takes the space, so the pieces' ids are the whole text's ids (tested).
-Hence each distinct piece of a slice is encoded once. A text without such places is one
-piece, and texts of other kinds of tokenizer are never cut.
+before a lone space between visible characters, around a lone line feed there, and
+between a letter and a mark: pre-tokens begin at these places whatever stands around them,
+so the pieces' ids are the whole text's ids (tested). Hence each distinct piece of a slice is encoded once, and
+words that are new are encoded together. A text without such places is one piece; texts of
+other kinds of tokenizer are never cut.
 
 Reading back takes a task per shard. Beside whole documents, the files answer what an id
 is at a position of the corpus, how often ids occur and where, without decoding a shard.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -49,36 +51,58 @@ from ledgerline.session import scratch_path
 #: Default vocabulary file; a parameter of every function here.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Id that closes a document, tokens that close a shard, bytes of text encoded at once.
-END, SHARD, SLICE = 0, 1 << 22, 4 << 20
+END, SHARD, SLICE = 0, 1 << 22, 8 << 20
 #: Bytes of input (as the plan estimates it) in a range, and most tasks that read shards.
 RANGE, TASKS = 128 << 20, 20_000
-#: Pieces that a worker remembers, and the longest of them in bytes.
-KNOWN, LONGEST = 1 << 18, 64
+#: Pieces that a worker remembers, the longest of them in bytes, and pieces encoded in one call.
+KNOWN, LONGEST, GROUP = 1 << 19, 64, 4096
 
 
 # Encoding
 
+_VISIBLE = np.array([0x20 < b < 0x7F for b in range(256)])
+_LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
+#: Lead bytes of U+00C0 to U+07FF, among which there is no white space.
+_LEAD = np.array([0xC3 <= b <= 0xDF for b in range(256)])
 
-def _cuts_allowed(spec: dict) -> bool:
-    """Whether a lone space between visible characters always begins a pre-token."""
-    before = spec.get("pre_tokenizer") or {}
+
+def _closing_marks(spec: dict) -> bytes | None:
+    """Marks before which a text may be cut after a letter; None where texts may not be cut at all.
+
+    Cuts need byte-level pre-tokens, and must not divide an added token.
+    """
+    before, added = spec.get("pre_tokenizer") or {}, spec.get("added_tokens") or []
     plain = spec.get("normalizer") is None and spec.get("truncation") is None and spec.get("padding") is None
     byte_level = before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-    added = spec.get("added_tokens") or []
-    return bool(plain and byte_level) and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
+    if not (plain and byte_level) or any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added):
+        return None
+    inside = "".join(t["content"] for t in added)
+    return bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'" + inside)
 
 
-def piece_starts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def piece_starts(data: np.ndarray, starts: np.ndarray, marks: bytes) -> np.ndarray:
     """Where pieces begin among the bytes of texts that begin at ``starts``.
 
-    Visible characters next to a cut are ASCII or U+00C0 to U+07FF, none of which is white space.
+    Cuts lie before a lone space, before and after a lone line feed between visible characters, and
+    between an ASCII letter and a mark.
     """
-    at = np.flatnonzero(data == 0x20)
-    at = at[(at > 0) & (at + 1 < len(data))]
+    begins = np.zeros(len(data), dtype=bool)
+    mark = np.zeros(256, dtype=bool)
+    mark[list(marks)] = True
+    begins[1:] = mark[data[1:]] & _LETTER[data[:-1]]
+    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    at = at[(at > 1) & (at + 1 < len(data))]
     before, after = data[at - 1], data[at + 1]
-    two = (before >= 0x80) & (before <= 0xBF) & (data[np.maximum(at - 2, 0)] >= 0xC3) & (data[np.maximum(at - 2, 0)] <= 0xDF) & (at > 1)
-    clear = ((before > 0x20) & (before < 0x7F) | two) & ((after > 0x20) & (after < 0x7F) | (after >= 0xC3) & (after <= 0xDF))
-    return np.union1d(at[clear], starts)
+    clear = _VISIBLE[before] | (before >= 0x80) & (before <= 0xBF) & _LEAD[data[at - 2]]
+    at = at[clear & (_VISIBLE[after] | _LEAD[after])]
+    begins[at] = True
+    begins[at[data[at] == 0x0A] + 1] = True
+    begins[starts] = True
+    return np.flatnonzero(begins)
+
+
+#: A piece that keeps its ids between others of its kind: a space, a visible character, and one at the end.
+_WORD = re.compile(rb" (?:[!-~]|[\xc3-\xdf][\x80-\xbf])(?:.*(?:[!-~]|[\xc3-\xdf][\x80-\xbf]))?", re.DOTALL)
 
 
 class Encoder:
@@ -87,42 +111,72 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.cuts = _cuts_allowed(json.load(f))
-        self.known: dict[bytes, list[int]] = {}
-
-    def _pieces(self, pieces: list[bytes]) -> list[list[int]]:
+            self.marks = _closing_marks(json.load(f))
+        added = {k: len(t.content.encode()) for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each id
+        for token, k in vocabulary.items():
+            self.sizes[k] = added.get(k, len(token))
+        self.known: dict[bytes, bytes] = {}
+
+    def _coded(self, pieces: list[bytes]) -> Iterator[np.ndarray]:
+        texts = [p.decode("utf-8", "replace") for p in pieces]
+        for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(code.ids, dtype=np.uint32)
+
+    def _fresh(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each piece with its ids; words are encoded as one text and told apart by the bytes of their ids."""
+        words, others = [], []
+        for p in pieces:
+            (words if self.marks is not None and _WORD.fullmatch(p) else others).append(p)
+        for low in range(0, len(words), GROUP):
+            own = words[low : low + GROUP]
+            try:
+                b"".join(own).decode()
+            except UnicodeDecodeError:  # what replaces broken characters has other sizes
+                others += own
+                continue
+            (ids,) = self._coded([b"".join(own)])
+            upto = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in own])) + 1
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(own, (4 * upto).tolist(), strict=True):
+                yield p, raw[at:end]
+                at = end
+        for low in range(0, len(others), GROUP):
+            own = others[low : low + GROUP]
+            yield from zip(own, (ids.tobytes() for ids in self._coded(own)), strict=True)
+
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, as bytes."""
         if len(self.known) > KNOWN:
             self.known.clear()
-        missing = [p for p in pieces if p not in self.known]
-        texts = [p.decode("utf-8", "replace") for p in missing]
-        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        fresh = {p: c.ids for p, c in zip(missing, coded, strict=True)}
-        found = [self.known.get(p) or fresh.get(p, []) for p in pieces]
+        fresh = dict(self._fresh([p for p in pieces if p not in self.known]))
+        found = [self.known[p] if p in self.known else fresh[p] for p in pieces]
         self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's ids end."""
-        raw = texts.fill_null("").cast(pa.binary())
-        sizes = np.array([len(b) for b in raw.to_pylist()], dtype=np.int64)
-        data = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
-        ends = np.cumsum(sizes)
-        full = np.flatnonzero(sizes)
-        starts = (ends - sizes)[full]
-        begin = piece_starts(data, starts) if self.cuts else starts
-        offsets = np.append(begin, len(data)).astype(np.int32)
-        pieces = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        raw = texts.fill_null("").cast(pa.large_binary())
+        bounds = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset) if len(raw) else np.zeros(1, np.int64)
+        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+        starts, ends = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+        starts = starts[starts < ends]
+        begin = starts if self.marks is None or not len(data) else piece_starts(data, starts, self.marks)
+        cuts = np.append(begin, len(data))
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
         coded = self._pieces(pieces.dictionary.to_pylist())
-        lengths = np.array([len(c) for c in coded], dtype=np.int64)
-        flat = np.fromiter((i for c in coded for i in c), dtype=np.uint32, count=int(lengths.sum()))
+        flat = np.frombuffer(b"".join(coded), np.uint32)
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
         at = pieces.indices.to_numpy()
-        upto = np.cumsum(lengths[at]) if len(at) else np.empty(0, np.int64)
-        ids = flat[np.repeat(np.cumsum(lengths)[at] - upto, lengths[at]) + np.arange(upto[-1] if len(upto) else 0)]
-        # Tokens up to the end of each text: those of the pieces that begin before it.
-        before = np.concatenate([[0], upto])[np.searchsorted(begin, ends, side="left")]
-        return np.insert(ids, before, END), before + np.arange(1, len(sizes) + 1)
+        upto = np.concatenate([[0], np.cumsum(lengths[at])])
+        own = np.repeat(np.cumsum(lengths)[at] - upto[1:], lengths[at])
+        # Ids up to the end of each text: those of the pieces that begin before it.
+        before = upto[np.searchsorted(begin, ends, side="left")]
+        return np.insert(flat[own + np.arange(upto[-1])], before, END), before + np.arange(1, len(ends) + 1)
 
 
 @lru_cache(maxsize=4)

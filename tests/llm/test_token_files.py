@@ -56,7 +56,7 @@ def test_matrix_over_many_blocks(monkeypatch):
         wavelet.WaveletMatrix(b"x" * 100)
 
 
-ALPHABET = st.sampled_from([*"ab1 .'\n\tsé ж    　\u0085漢😀ß", "<|endoftext|>", " the", " <", "|>", "'ll", "  "])
+ALPHABET = st.sampled_from([*"abc1 .,'!&\n\tsé ж    　\u0085漢😀ß", "<|endoftext|>", " the", " <", "|>", "'ll", "  "])
 
 
 @settings(max_examples=300, deadline=None)
@@ -68,12 +68,19 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert [x.tolist() for x in np.split(ids, ends)[:-1]] == want and (len(ids) == ends[-1] if texts else not len(ids))
 
 
+def test_broken_characters_are_replaced():
+    encoder = token_files.Encoder(token_files.TOKENIZER)
+    words = [b" new\xff\xc3word", " nextéword".encode()]
+    want = [np.array(encoder.tokenizer.encode(w.decode("utf-8", "replace")).ids, dtype=np.uint32).tobytes() for w in words]
+    assert dict(encoder._fresh(words)) == dict(zip(words, want, strict=True))
+
+
 def test_other_tokenizers_are_never_cut(tokenizer):
-    assert token_files._encoder(token_files.TOKENIZER).cuts
+    assert token_files._encoder(token_files.TOKENIZER).marks
     path = token_files.TOKENIZER.replace("byte_bpe_50k", "word_bpe_49k")
     other = token_files._encoder(path)
     text = "Some words , twice some  words"
-    assert not other.cuts
+    assert other.marks is None
     assert other.encode(pa.array([text]))[0].tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
 
 
