@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from ledgerline.llm import queries, vector_codes, vectors
+from ledgerline.llm import dual_tree, hard_negatives, queries, vector_codes, vectors
 
 ROWS = "vec_id long, embedding array<float>, label int, code string, _row string, score long"
 
@@ -124,9 +124,78 @@ def test_components_out_of_reach_are_an_error(spark):
         vector_codes.compress(frame(spark, [(1, [1e9] * 16, 1)])).collect()
 
 
-@pytest.mark.parametrize("name", ["op11_vector_codes"])
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op13_hard_negatives"])
 def test_vector_queries_equal_their_sql(spark, sf, name):
     embeddings = duckdb.read_parquet(f"{sf}/embeddings.parquet")  # noqa: F841
     want = duckdb.sql(queries.oracle_sql()[name])
     got = queries.queries()[name](spark, sf).select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+# Hard negatives
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**32 - 1), st.integers(1, 300), st.integers(1, 80), st.sampled_from([0, 3, 500]))
+def test_descent_loses_no_pair(seed, candidates, anchors, reach):
+    rng = np.random.default_rng(seed)
+    c, a = rng.integers(-reach, reach + 1, (candidates, 6)) + rng.integers(0, 2, (candidates, 1)) * 900, rng.integers(-reach, reach + 1, (anchors, 6)) + 50
+    trees = dual_tree.Tree(a, len(a), 20), dual_tree.Tree(c, len(c), 30)
+    assert sorted(np.concatenate(trees[1].members).tolist()) == list(range(candidates))
+    scores = a @ c.T
+    assert (dual_tree.products(a, c) == scores).all()
+    low, high = np.sort(rng.choice(scores.ravel(), 2))
+    nodes = dual_tree.descend(*trees, lambda x, y, least, most: (most >= low) & (least <= high))
+    met = np.zeros(scores.shape, dtype=bool)
+    for x, y in zip(*nodes, strict=True):
+        met[np.ix_(trees[0].members[trees[0].leaf[x]], trees[1].members[trees[1].leaf[y]])] = True
+    assert met[(scores >= low) & (scores <= high)].all()
+
+
+def test_descent_gives_up_far_nodes():
+    rng = np.random.default_rng(2)
+    c = np.concatenate([rng.integers(-9, 10, (200, 8)) + 1000 * k for k in range(-4, 5)])
+    trees = dual_tree.Tree(c[:40], 40, 20), dual_tree.Tree(c, len(c), 50)
+    _, met = dual_tree.descend(*trees, lambda x, y, least, most: most >= 20_000_000)
+    assert 0 < len(set(met.tolist())) < len(trees[1].members) / 2
+
+
+def brute_negatives(rows):
+    rows = [(i, stepped(v), (int(math.fmod(label + 1, 10)) if i is not None and i % 7 == 0 else label)) for i, v, label in usable(rows) if label is not None]
+    dot = lambda x, y: sum(p * q for p, q in zip(x, y, strict=False))
+    order = lambda r: (-r[0], r[1] is None, r[1] or 0)
+    out = []
+    for k, (anchor, v, label) in enumerate(rows):
+        if anchor is None or anchor % 100:
+            continue
+        scored = [(dot(v, w), i, own) for n, (i, w, own) in enumerate(rows) if n != k]
+        for score, positive, _ in sorted((s for s in scored if s[2] == label), key=order)[:5]:
+            fit = sorted((s for s in scored if s[2] != label and 30 * score <= 100 * s[0] <= 90 * score), key=order)[:10]
+            out += [(anchor, positive, place, i, score, s) for place, (s, i, _) in enumerate(fit, 1)]
+    return sorted(out, key=str)
+
+
+def clustered(n, seed, width=16):
+    rng = np.random.default_rng(seed)
+    centers = rng.normal(0, 0.5, (6, width))
+    return [(10 * i, [float(np.float32(x)) for x in centers[i % 6] + rng.normal(0, 0.1, width)], int(rng.integers(3)) if i % 5 else i % 6) for i in range(n)]
+
+
+SMALL = {"TILE": 20, "GROUP": 16, "BLOCK": 8, "HANDFUL": 4, "GROWTH": 3}
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        clustered(400, 1),
+        [(i * 20, v, label) for i, v, label in random_rows(200, 4)] + ODD + [(100, None, 2), (0, [0.5] * 32, 1), (0, [0.5] * 32, 1)],
+        [(i * 50, [0.25] * 16, i % 2) for i in range(150)],
+        ODD, [],
+    ],
+)
+def test_negatives_equal_brute_force(spark, monkeypatch, rows):
+    for name, value in SMALL.items():
+        monkeypatch.setattr(hard_negatives, name, value)
+    got = hard_negatives.hard_negatives(frame(spark, rows))
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_negatives(rows)
