@@ -53,7 +53,7 @@ def _needed(pattern: str) -> str | None:
     return r"\p{Nd}" if r"\d" in pattern or "[0-9]+" in pattern else None
 
 
-def _bound(value: Column, use) -> Column:
+def bound(value: Column, use) -> Column:
     """``use`` of a value that is computed once, however often it is used."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -77,10 +77,10 @@ def _removed(c: Column) -> Column:
     def chain(x: Column) -> Column:
         out = x["t"]
         for pattern, any_case in CLEAN_PATTERNS:
-            out = _bound(out, step(x, pattern, any_case))
+            out = bound(out, step(x, pattern, any_case))
         return out
 
-    return _bound(facts, chain)
+    return bound(facts, chain)
 
 
 def clean(c: Column) -> Column:

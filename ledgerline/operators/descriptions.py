@@ -12,6 +12,7 @@ from ledgerline.functions import text as X
 from ledgerline.functions.text import quoted
 from ledgerline.operators.completeness import percent
 from ledgerline.plans.components import connected_components
+from ledgerline.plans.distinct import per_distinct
 from ledgerline.plans.groups import first_rows, with_group_count
 from ledgerline.plans.materialise import materialise
 from ledgerline.plans.spread import widened
@@ -78,15 +79,20 @@ def tier_table(summaries: list[tuple[str, DataFrame]]) -> DataFrame:
 # Repetition
 
 
-def normalised_rows(df: DataFrame, column: str, id_column: str | None = None) -> DataFrame:
+def normalised_rows(df: DataFrame, column: str, id_column: str | None = None, distinct: bool = False) -> DataFrame:
     """``_row_id, text, key, id`` of every row; id is ``row N`` without an id column.
 
+    With ``distinct`` each distinct text is cleaned once, which pays where many rows repeat others' texts.
+
     Rows with an empty key are not filtered here: a filter on the key would move below
     the redistribution and clean the texts a second time, in the tasks of the scan.
     """
     text = X.strip(F.coalesce(F.col(quoted(column)).cast("string"), F.lit("")))
     sample = F.col(quoted(id_column)).cast("string") if id_column else F.concat(F.lit("row "), F.col("_row_id").cast("string"))
-    rows = widened(df.select("_row_id", text.alias("text"), sample.alias("id")))
+    rows = df.select("_row_id", text.alias("text"), sample.alias("id"))
+    if distinct:
+        return per_distinct(rows, F.col("text"), lambda t: {"key": X.normalise(t)}).select("_row_id", "text", "key", "id")
+    rows = widened(rows)
     return rows.select("_row_id", "text", X.normalise(F.col("text")).alias("key"), "id")
 
 

@@ -17,7 +17,7 @@ from ledgerline.config import CLEAN_PATTERNS, LANGUAGE_WORDS, SCRIPT_CLASSES, ST
 from ledgerline.functions import dates, state
 from ledgerline.functions import text as X
 from ledgerline.operators import (
-    aggregates, calendar, completeness, descriptions, extract, language, logic, register, roles, vocabulary,
+    aggregates, calendar, completeness, descriptions, extract, language, language_model, logic, register, roles, vocabulary,
 )
 
 AS_OF = datetime.datetime(2000, 1, 1)
@@ -607,6 +607,56 @@ def lang_mix(spark, sf):
     return language.language_mix([_run(spark, sf)])
 
 
+_NAMES = {"de": "German", "en": "English", "es": "Spanish", "fr": "French"}
+_A, _B, _C = language_model.FACTORS
+_MODELLED = f"""{_DETECTED}, named AS (SELECT t.doc_id, CASE {" ".join(f"WHEN lang = '{k}' THEN '{n}'" for k, n in _NAMES.items())} END AS want, {_sql_clean("s")} AS c FROM t JOIN documents USING (doc_id)),
+letters AS (SELECT doc_id, want, c, string_split(' ' || lower(c) || ' ', '') AS ch FROM named WHERE c IS NOT NULL),
+grams AS MATERIALIZED (SELECT doc_id, want, length(c) AS size, (unicode(ch[i]) * {_A} + unicode(ch[i + 1]) * {_B} + unicode(ch[i + 2]) * {_C}) % {language_model.BUCKETS} AS b
+  FROM (SELECT *, unnest(range(1, len(ch) - 1)) AS i FROM letters)),
+seen AS (SELECT want AS language, b, count(*) AS n FROM grams WHERE doc_id % 5 <> 1 AND want IS NOT NULL GROUP BY 1, 2),
+whole AS (SELECT language, sum(n) + {language_model.SMOOTHING * language_model.BUCKETS} AS total FROM seen GROUP BY 1),
+weights AS MATERIALIZED (SELECT language, b, CAST(round(1000 * log10((n + {language_model.SMOOTHING}) / total)) AS BIGINT) AS w FROM seen JOIN whole USING (language)),
+scored AS (SELECT doc_id, size, language, count(*) AS n, sum(coalesce(w, CAST(round(1000 * log10({language_model.SMOOTHING} / total)) AS BIGINT))) AS score
+  FROM grams CROSS JOIN whole LEFT JOIN weights USING (language, b) GROUP BY ALL),
+shares AS (SELECT *, x / sum(x) OVER (PARTITION BY doc_id) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, language) AS place
+  FROM (SELECT *, exp((score - max(score) OVER (PARTITION BY doc_id)) * least(n, {language_model.REACH}) / n * ln(10) / 1000) AS x FROM scored)),
+top AS (SELECT a.doc_id, CASE WHEN a.language <> 'English' THEN CASE WHEN a.p > 0.5 THEN a.language END WHEN b.p > 0.35 AND a.p - b.p < 0.15 THEN b.language END AS language,
+  CASE WHEN a.language <> 'English' THEN a.p ELSE b.p END AS p FROM shares a JOIN shares b ON a.doc_id = b.doc_id AND a.place = 1 AND b.place = 2 WHERE a.size >= 8),
+m AS (SELECT doc_id, language, CASE WHEN language IS NOT NULL THEN round(p, 6) END AS p, CASE WHEN language IS NOT NULL THEN 'model' END AS method FROM top)"""
+
+
+def _modelled(spark, sf, mode):
+    """The documents judged by a model that has learned from four fifths of them."""
+    d = table(spark, sf, "documents")
+    want = F.lit(None).cast("string")
+    for code, name in _NAMES.items():
+        want = F.when(F.col("lang") == code, name).otherwise(want)
+    model = language_model.train(d.filter("doc_id % 5 <> 1"), X.clean(F.col("text")), want)
+    rows = language.check_column(d.drop("lang"), "text", mode=mode, model=model).rows
+    return rows.select("doc_id", "analysed", "lang", F.round("lang_confidence", 6).alias("lang_confidence"), "lang_method")
+
+
+@query(f"""{_MODELLED} SELECT doc_id, analysed, coalesce(lang, CASE WHEN analysed THEN m.language END) AS lang,
+  CAST(CASE WHEN lang IS NOT NULL THEN conf WHEN analysed THEN m.p END AS DOUBLE) AS lang_confidence, CASE WHEN lang IS NOT NULL THEN v.method WHEN analysed THEN m.method END AS lang_method
+FROM v LEFT JOIN m USING (doc_id)""")
+def lang_all_tiers(spark, sf):
+    """Letters, words, and the model for what they leave open."""
+    return _modelled(spark, sf, "all")
+
+
+@query(f"""{_MODELLED} SELECT doc_id, analysed, CASE WHEN analysed THEN m.language END AS lang, CAST(CASE WHEN analysed THEN m.p END AS DOUBLE) AS lang_confidence,
+  CASE WHEN analysed THEN m.method END AS lang_method FROM v LEFT JOIN m USING (doc_id)""")
+def lang_model_only(spark, sf):
+    return _modelled(spark, sf, "model_only")
+
+
+@query(f"{_DETECTED} SELECT doc_id, analysed, lang, CAST(conf AS DOUBLE) AS lang_confidence, method AS lang_method FROM v")
+def lang_distinct(spark, sf):
+    """As ``lang_rows``, each distinct text judged once."""
+    run = language.check_column(table(spark, sf, "documents"), "text", mode="rules_only", distinct=True)
+    return run.rows.select("doc_id", "analysed", "lang", "lang_confidence", "lang_method")
+
+
 # Roles, sinks
 
 
