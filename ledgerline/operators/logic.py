@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import datetime
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from ledgerline.config import FLAG_LABELS, AuditConfig
 from ledgerline.functions import dates, state
 from ledgerline.functions.text import is_blank, quoted
+from ledgerline.operators.completeness import null_cells
 from ledgerline.operators.roles import CLOSED, CREATED, ID, PRIORITY, STATE, Roles, bind_roles
 from ledgerline.plans.groups import with_group_count
+from ledgerline.plans.materialise import is_stored, materialise
 
 
 @dataclass
@@ -24,6 +26,8 @@ class AuditContext:
     roles: Roles
     config: AuditConfig = field(default_factory=AuditConfig)
     as_of: datetime.datetime = field(default_factory=lambda: datetime.datetime.now().replace(microsecond=0))
+    #: What ``snapshot`` has counted over the whole table, where it has run.
+    counts: Row | None = None
 
     @classmethod
     def open(cls, df: DataFrame, config: AuditConfig | None = None, as_of: datetime.datetime | None = None) -> AuditContext:
@@ -31,6 +35,23 @@ class AuditContext:
         roles = bind_roles(df, config.column_overrides)
         return cls(df, roles, config, **({"as_of": as_of} if as_of else {}))
 
+    def snapshot(self) -> AuditContext:
+        """The same context over a table that further checks can read column by column, with nulls and rules counted.
+
+        A table that has to be worked out (joined, aggregated, parsed from text) is worked out once
+        and written to the shared folder, and counted as it is written. One that is
+        columnar files already is only counted.
+        """
+        if self.counts is not None:
+            return self
+        asked = [*count_columns(self), null_cells(self.df)]
+        if is_stored(self.df):
+            return replace(self, counts=flagged_rows(self).agg(*asked).first())
+        seen = Observation()
+        counted = flagged_rows(self).observe(seen, *asked)
+        df = materialise(counted.select(*[F.col(quoted(c)) for c in self.df.columns]), "audited-table")
+        return replace(self, df=df, counts=Row(**seen.get))
+
     def column(self, role: str) -> str | None:
         return self.roles.get(role)
 
@@ -68,10 +89,15 @@ def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def row_flags(ctx: AuditContext) -> tuple[dict[str, Column], list[str]]:
-    """The rules that can run as columns that are never null, and the names of those that cannot."""
+def row_flags(ctx: AuditContext, kind: Column | None = None) -> tuple[dict[str, Column], list[str]]:
+    """The rules that can run as columns that are never null, and the names of those that cannot.
+
+    ``kind`` is a column with the class of the state, for callers that have worked it out.
+    """
     created, closed = ctx.time(CREATED), ctx.time(CLOSED)
     status, priority = ctx.value(STATE), ctx.value(PRIORITY)
+    if status is not None and kind is None:
+        kind = state.classify(status)
     now = F.lit(ctx.as_of.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz")
     found: dict[str, Column] = {}
     if created is not None and closed is not None:
@@ -81,34 +107,45 @@ def row_flags(ctx: AuditContext) -> tuple[dict[str, Column], list[str]]:
     if closed is not None:
         found["future_closed"] = _true(closed > now)
     if status is not None and closed is not None:
-        found["closed_no_date"] = state.is_terminal(status) & closed.isNull()
-        found["open_with_date"] = state.is_active(status) & closed.isNotNull()
+        found["closed_no_date"] = (kind == "terminal") & closed.isNull()
+        found["open_with_date"] = (kind == "active") & closed.isNotNull()
     if status is not None and priority is not None:
-        found["open_missing_priority"] = state.is_active(status) & is_blank(priority)
+        found["open_missing_priority"] = (kind == "active") & is_blank(priority)
     return found, [f for f in FLAG_LABELS if f not in found]
 
 
+def flagged_rows(ctx: AuditContext) -> DataFrame:
+    """The table with what ``count_columns`` counts: ``_kind`` of the state and a column ``_is_<rule>`` per rule.
+
+    The state is classified once a row, and rules are columns, so that counts of several things
+    do not work them out again.
+    """
+    status = ctx.value(STATE)
+    df = ctx.df if status is None else ctx.df.withColumn("_kind", state.classify(status))
+    flags, _ = row_flags(ctx, None if status is None else F.col("_kind"))
+    return df.withColumns({f"_is_{name}": c for name, c in flags.items()}) if flags else df
+
+
 def logic_counts(ctx: AuditContext) -> DataFrame:
     """One row: every rule's count (null: could not run), states by class, rows flagged at all, sum of rules."""
-    return ctx.df.agg(*count_columns(ctx))
+    return flagged_rows(ctx).agg(*count_columns(ctx))
 
 
 def count_columns(ctx: AuditContext) -> list[Column]:
-    """The aggregates of ``logic_counts``, to be computed beside others in one pass."""
-    flags, skipped = row_flags(ctx)
+    """The aggregates of ``logic_counts`` over ``flagged_rows``, to be computed beside others in one pass."""
+    names = list(row_flags(ctx)[0])
     status = ctx.value(STATE)
     out = [F.count(F.lit(1)).alias("rows")]
-    out += [(F.count_if(flags[f]) if f in flags else F.lit(None).cast("long")).alias(f) for f in FLAG_LABELS]
+    out += [(F.count_if(f"_is_{f}") if f in names else F.lit(None).cast("long")).alias(f) for f in FLAG_LABELS]
     if status is None:
         out += [F.lit(None).cast("long").alias(n) for n in ("open_count", "closed_count", "unclassified_count")]
     else:
-        kind = state.classify(status)
         for name, value in (("open_count", "active"), ("closed_count", "terminal"), ("unclassified_count", "unknown")):
-            out.append(F.count_if(kind == value).alias(name))
+            out.append(F.count_if(F.col("_kind") == value).alias(name))
     anything = F.lit(False)
     every = F.lit(0)
-    for c in flags.values():
-        anything, every = anything | c, every + c.cast("long")
+    for name in names:
+        anything, every = anything | F.col(f"_is_{name}"), every + F.col(f"_is_{name}").cast("long")
     out += [F.count_if(anything).alias("rows_flagged"), F.coalesce(F.sum(every), F.lit(0)).cast("long").alias("issues_total")]
     return out
 

@@ -38,15 +38,18 @@ def ordered(register: DataFrame) -> DataFrame:
 
 
 def findings(ctx: AuditContext, runs: list[language.LanguageRun] = ()) -> DataFrame:
-    """Every check as a row. Counts come from the checks' own aggregates; only those small rows reach the driver."""
-    out, cfg, df = Register(), ctx.config, ctx.df
+    """Every check as a row. Counts come from the checks' own aggregates; only those small rows reach the driver.
+
+    The table is worked out once: nulls and rules are counted while ``AuditContext.snapshot`` writes
+    it, the other checks read its columns from there. To share that with ``ticket_detail``, pass both the snapshot.
+    """
+    ctx = ctx.snapshot()
+    out, cfg, df, counts = Register(), ctx.config, ctx.df, ctx.counts
     for role in ctx.roles.missing:
         out.add("Structure", f"Required column: {role}", "Critical", 1, "No column of the file matches this requirement")
     if not ctx.roles.missing:
         out.add("Structure", "Required columns", "Critical", 0, f"All {len(ROLE_KEYWORDS)} required columns matched")
 
-    # Nulls and all rule counts come from one pass over the table.
-    counts = df.agg(*logic.count_columns(ctx), completeness.null_cells(df)).first()
     nulls = sorted((r for r in counts["cells"] if r["null_pct"] > cfg.null_threshold), key=lambda r: (-r["null_pct"], r["position"]))
     for r in nulls:
         out.add("Completeness", f"Nulls in {r['column']}", "High", r["nulls"], f"{r['null_pct']}% null, over the {cfg.null_threshold:g}% threshold")
@@ -80,14 +83,14 @@ def findings(ctx: AuditContext, runs: list[language.LanguageRun] = ()) -> DataFr
         out.add("Language", "Non-English content", "Medium", None, "No language analysis has been run")
     for run in runs:
         check = f"Non-English in {run.column}"
-        counts = language.language_counts(run).first() if run.rows is not None else None
-        if counts is None:
+        told = language.outcome(run).first() if run.rows is not None else None
+        if told is None:
             out.add("Language", check, "Medium", None, run.error or run.warning)
-        elif not counts["total_analyzed"]:
+        elif not told["total_analyzed"]:
             out.add("Language", check, "Medium", None, "No text long enough to analyse")
         else:
-            names = ", ".join(sorted(r["lang"] for r in language.languages(run).collect())) or "none"
-            out.add("Language", check, "Medium", counts["non_english_count"], f"{counts['percentage']}% of analysed rows ({names}), via {run.label}")
+            names = ", ".join(sorted(r["lang"] for r in told["languages"])) or "none"
+            out.add("Language", check, "Medium", told["non_english_count"], f"{told['percentage']}% of analysed rows ({names}), via {run.label}")
     return out.frame(df.sparkSession)
 
 

@@ -311,6 +311,7 @@ SELECT a AS "Area", c AS "Check", CASE WHEN r = 'Pass' THEN '-' ELSE s END AS "S
 def described_register(spark, sf):
     """The whole register, details included, of tickets with text, repeated ids and a language run."""
     ctx = described_context(spark, sf)
+    ctx = ctx.snapshot()
     return register.findings(ctx, [language.check_column(ctx.df, "description", mode="rules_only")])
 
 

@@ -18,3 +18,11 @@ def discard(frame: DataFrame) -> None:
     """Delete what ``materialise`` wrote for a frame that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
         remove_path(frame.sparkSession, folder)
+
+
+def is_stored(frame: DataFrame) -> bool:
+    """Whether a frame only selects from columnar files, so that reading it again costs no work."""
+    plan = frame._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and plan.simpleString(200).rstrip().endswith(("parquet", "orc"))

@@ -107,6 +107,7 @@ def report_tables(ctx: AuditContext, runs: list[language.LanguageRun] = ()) -> d
     """The tables of a report by sheet name; each is a small aggregate."""
     from ledgerline.operators import completeness
 
+    ctx = ctx.snapshot()
     df, out = ctx.df, {"Findings": register.findings(ctx, runs)}
     out["Summary"] = register.summary_table(ctx)
     out["Column check"] = register.column_check_table(ctx)
@@ -144,6 +145,7 @@ def write_report(ctx: AuditContext, path: str, runs: list[language.LanguageRun]
     The detail goes into the workbook up to ``inline`` rows, into a CSV beside it above that.
     """
     told: list[str] = []
+    ctx = ctx.snapshot()
     sheets, used = [], set()
     for name, build in report_tables(ctx, runs).items():
         title = re.sub(r"[\[\]:*?/\\]", " ", name)[:31]
@@ -155,7 +157,7 @@ def write_report(ctx: AuditContext, path: str, runs: list[language.LanguageRun]
         except TooLarge as e:
             told.append(f"{name}: {e}")
     detail = register.ticket_detail(ctx, runs).drop("_row_id")
-    rows = ctx.df.count()
+    rows = ctx.counts["rows"]
     if rows <= inline:
         sheets.append(frame_sheet("Ticket detail", sanitise(detail)))
     else:
