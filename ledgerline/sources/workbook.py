@@ -1,29 +1,34 @@
 """Excel workbooks with the standard library: a reader over Spark's binary files, a streaming writer.
 
 Spark brings the file to one executor task from whatever store it lies in; neither the
-driver nor the worker opens a path. A sheet is one compressed stream and so one
-partition; its rows are parsed and handed on in Arrow batches as they come.
+driver nor the worker opens a path. A sheet is one compressed stream, which that task
+inflates once and cuts after row ends into pieces of some ``PIECE`` bytes, each with
+its row numbers and the shared strings it refers to. Pieces are written to the
+shared folder; types are inferred and rows parsed from them in as many tasks. The inflating task holds
+the compressed file, the shared strings and one piece; a parsing task one piece.
 """
 
 from __future__ import annotations
 
+import codecs
 import datetime
 import io
-import itertools
-import json
 import os
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ledgerline.config import SHEET_ROWS
+from ledgerline.plans.materialise import materialise
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -32,6 +37,8 @@ _EPOCH = datetime.datetime(1899, 12, 30)
 _DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
 #: Rows of a sheet that are handed on at once.
 BATCH = 4096
+#: Bytes of a sheet's text in a piece, and read from it at once.
+PIECE, BLOCK = 4 << 20, 1 << 20
 
 
 def _part(z: zipfile.ZipFile, name: str):
@@ -75,7 +82,7 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _value(cell, shared: list[str], dated: set[int]):
+def _value(cell, shared: dict[int, str], dated: set[int]):
     kind, raw = cell.get("t"), cell.find(f"{_MAIN}v")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t")) or None
@@ -96,32 +103,90 @@ def _value(cell, shared: list[str], dated: set[int]):
     return int(number) if number.is_integer() and "e" not in text.lower() and "." not in text else number
 
 
-def rows(file, sheet: str | None = None) -> Iterator[list]:
-    """The rows of a sheet (default the first) as they are read; rows missing from the file are empty, trailing empty ones dropped."""
+def _balanced(text: bytes) -> bool:
+    """Whether no comment or literal section is open at the end, in which a row end would be mere text."""
+    return text.count(b"<![CDATA[") == text.count(b"]]>") and text.count(b"<!--") == text.count(b"-->")
+
+
+def _referred(body: bytes, prefix: bytes, shared: list[str]) -> dict[int, str]:
+    """The shared strings that cells of a piece refer to; where cells are written in an unusual way, any that may be."""
+    found = re.findall(rb"<%sc\b[^>]*\bt=[\"']s[\"'][^>]*>\s*<%sv[^>]*>\s*(\d+)" % (prefix, prefix), body)
+    if len(found) != len(re.findall(rb"\bt\s*=\s*[\"']s[\"']", body)):
+        found = re.findall(rb">\s*(\d+)\s*<", body)
+    return {k: shared[k] for k in {int(x) for x in found} if k < len(shared)}
+
+
+def _utf8(f, size: int) -> Iterator[bytes]:
+    """The text of a sheet in blocks, as UTF-8 whatever Unicode form it has."""
+    first = f.read(max(size, 2))
+    form = {b"\xff\xfe": "utf-16-le", b"\xfe\xff": "utf-16-be"}.get(first[:2])
+    decoder = codecs.getincrementaldecoder(form)() if form else None
+    block = first[2:] or f.read(size) if form else first
+    while block:
+        if text := decoder.decode(block).encode() if decoder else block:
+            yield text
+        block = f.read(size)
+
+
+def pieces(file, sheet: str | None = None, size: int = PIECE) -> Iterator[dict]:
+    """A sheet (default the first) cut after row ends: the text of some rows, the numbers of the first and last, what it refers to.
+
+    ``start`` is the number after the last row before, so that rows missing between pieces belong to one.
+    """
     found = sheet_paths(file)
     with zipfile.ZipFile(file) as z:
-        shared, dated = _shared(z), _date_styles(z)
-        empty, expected = 0, 1
+        shared, dated = _shared(z), sorted(_date_styles(z))
         with z.open(found[sheet] if sheet is not None else next(iter(found.values()))) as f:
-            for _, node in ElementTree.iterparse(f):
-                if node.tag != f"{_MAIN}row":
+            held, prefix, expected, over = bytearray(), None, 1, False
+            blocks = _utf8(f, min(size, BLOCK))
+            while not over:
+                block = next(blocks, b"")
+                held += block
+                if prefix is None:
+                    top = re.search(rb"<((?:[\w.-]+:)?)sheetData\b[^>]*>", held)
+                    if top is None or top[0].endswith(b"/>"):
+                        over = top is not None or not block
+                        continue
+                    prefix, root = top[1], re.search(rb"<(?:[\w.-]+:)?worksheet\b[^>]*>", held)
+                    if root is None:
+                        raise ValueError("a sheet without a root")
+                    head, tail = bytes(root[0]), b"</%sworksheet>" % prefix
+                    row_end, sheet_end = b"</%srow>" % prefix, b"</%ssheetData" % prefix
+                    opening = re.compile(rb"<%srow\b([^>]*)>" % prefix)
+                    del held[: top.end()]
+                last = held.find(sheet_end)
+                over = last >= 0 and _balanced(held[:last])
+                if not over and not block:
+                    raise EOFError("the sheet ends within its rows")
+                if not over and len(held) < size:
                     continue
-                number = int(node.get("r", expected))
-                empty += number - expected
-                expected = number + 1
-                row: list = []
-                for i, cell in enumerate(node.findall(f"{_MAIN}c")):
-                    at = _column(cell.get("r")) if cell.get("r") else i
-                    row += [None] * (at + 1 - len(row))
-                    row[at] = _value(cell, shared, dated)
-                node.clear()
-                if all(v is None for v in row):
-                    empty += 1
+                cut = last if over else held.rfind(row_end) + len(row_end)
+                if not over and (cut < len(row_end) or not _balanced(held[:cut])):
                     continue
-                for _ in range(empty):
-                    yield []
-                empty = 0
-                yield row
+                body, start = bytes(held[:cut]), expected
+                for tag in opening.finditer(body):
+                    number = re.search(rb"(?<![\w:.-])r\s*=\s*[\"'](\d+)", tag[1])
+                    expected = (int(number[1]) if number else expected) + 1
+                if expected > start:
+                    yield {"start": start, "end": expected - 1, "body": head + body + tail, "strings": _referred(body, prefix, shared), "dated": dated}
+                del held[:cut]
+
+
+def piece_rows(piece: dict) -> Iterator[tuple[int, list]]:
+    """Number and values of the rows of a piece that hold something."""
+    expected, strings, dated = piece["start"], dict(piece["strings"]), set(piece["dated"])
+    for node in ElementTree.fromstring(piece["body"]):
+        if node.tag != f"{_MAIN}row":
+            continue
+        number = int(node.get("r", expected))
+        expected = number + 1
+        row: list = []
+        for i, cell in enumerate(node.findall(f"{_MAIN}c")):
+            at = _column(cell.get("r")) if cell.get("r") else i
+            row += [None] * (at + 1 - len(row))
+            row[at] = _value(cell, strings, dated)
+        if any(v is not None for v in row):
+            yield number, row
 
 
 def header_names(row: list) -> list[str]:
@@ -154,33 +219,11 @@ def _kind(v) -> str:
     return "string"
 
 
-def infer_schema(file, sheet: str | None = None) -> T.StructType:
-    """Types by value: text that looks like numbers is numeric, a column without values is double."""
-    source = rows(file, sheet)
-    header = next(source, [])
-    kinds: list[set[str]] = [set() for _ in header]
-    for row in source:
-        kinds += [set() for _ in row[len(kinds) :]]  # cells beyond the header have a column, too
-        for seen, v in zip(kinds, row, strict=False):
-            if v is not None:
-                seen.add(_kind(v))
-    names = header_names(_filled(header, len(kinds)))
-    fields = []
-    for name, seen in zip(names, kinds, strict=True):
-        if not seen:
-            kind = T.DoubleType()
-        elif seen == {"bool"}:
-            kind = T.BooleanType()
-        elif seen == {"time"}:
-            kind = T.TimestampNTZType()
-        elif seen == {"long"}:
-            kind = T.LongType()
-        elif seen <= {"long", "double"}:
-            kind = T.DoubleType()
-        else:
-            kind = T.StringType()
-        fields.append(T.StructField(name, kind))
-    return T.StructType([*fields, T.StructField("_row_id", T.LongType())])
+def _typed(seen: set[str]) -> T.DataType:
+    """Type of a column from the kinds of its values: text that looks like numbers is numeric, no values are double."""
+    if not seen or seen <= {"long", "double"} and seen != {"long"}:
+        return T.DoubleType()
+    return {"bool": T.BooleanType(), "time": T.TimestampNTZType(), "long": T.LongType()}.get(next(iter(seen)), T.StringType()) if len(seen) == 1 else T.StringType()
 
 
 def _cast(v, kind: T.DataType):
@@ -229,30 +272,82 @@ def _asked(spark: SparkSession, path: str, question) -> str:
     return row["said"]
 
 
+_PIECES = "piece long, start long, end long, body binary, strings map<long,string>, dated array<long>, fault string"
+_FAULTS = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, EOFError, LookupError, TypeError, ValueError)
+
+
+def _inflated(sheet: str | None, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of a sheet, and a row of its own, numbered -1, with what is wrong with the file, if anything."""
+    shape = pa.schema([("piece", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("body", pa.binary()),
+                       ("strings", pa.map_(pa.int64(), pa.string())), ("dated", pa.list_(pa.int64())), ("fault", pa.string())])
+    for file in _files(batches):
+        fault = None
+        try:
+            for k, piece in enumerate(pieces(file, sheet, size)):
+                yield pa.RecordBatch.from_pylist([piece | {"piece": k, "strings": list(piece["strings"].items())}], shape)
+        except _FAULTS as e:
+            fault = f"{type(e).__name__}: {e}"
+        yield pa.RecordBatch.from_pylist([{"piece": -1, "fault": fault}], shape)
+
+
+def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per piece: the header if it is there, kinds of values by column, the number of the last row that holds something."""
+    shape = pa.schema([("header", pa.list_(pa.string())), ("kinds", pa.list_(pa.list_(pa.string()))), ("last", pa.int64()), ("fault", pa.string())])
+    for batch in batches:
+        for piece in batch.to_pylist():
+            header, kinds, last, fault = None, [], 0, None
+            try:
+                for number, row in piece_rows(piece):
+                    last = max(last, number)
+                    if number == 1:
+                        header = [None if v is None else str(v) for v in row]
+                        continue
+                    kinds += [set() for _ in row[len(kinds) :]]
+                    for seen, v in zip(kinds, row, strict=False):
+                        if v is not None:
+                            seen.add(_kind(v))
+            except _FAULTS as e:
+                fault = f"{type(e).__name__}: {e}"
+            yield pa.RecordBatch.from_pylist([{"header": header, "kinds": [sorted(k) for k in kinds], "last": last, "fault": fault}], shape)
+
+
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A sheet (default the first) as a table with ``_row_id``; a sheet that is not there raises KeyError."""
+    """A sheet (default the first) as a table with ``_row_id``; a sheet that is not there raises KeyError.
+
+    Rows missing from the file are empty rows, trailing empty ones are dropped.
+    """
     if sheet is not None and sheet not in sheet_names(spark, path):
         raise KeyError(sheet)
-    schema = T.StructType.fromJson(json.loads(_asked(spark, path, lambda file: infer_schema(file, sheet).json())))
-    fields, shape = schema.fields, to_arrow_schema(schema)
+    size = PIECE
+    cut = materialise(_content(spark, path).mapInArrow(lambda it: _inflated(sheet, size, it), _PIECES), "sheet-pieces")
+    n, fault = cut.agg(F.count(F.lit(1)), F.max("fault")).first()
+    if not n or fault:
+        raise Unreadable(fault or "no such file")
+    dealt = cut.filter("piece >= 0").repartition(max(1, n - 1), "piece")
+    told = dealt.mapInArrow(_surveyed, "header array<string>, kinds array<array<string>>, last long, fault string").collect()
+    if any(r["fault"] for r in told):
+        raise Unreadable(next(r["fault"] for r in told if r["fault"]))
+    header = next((r["header"] for r in told if r["header"] is not None), [])
+    wide = max([len(header), *(len(r["kinds"]) for r in told)])
+    last = max([0, *(r["last"] for r in told)])
+    kinds = [set().union(*(r["kinds"][i] for r in told if i < len(r["kinds"]))) for i in range(wide)]
+    named = zip(header_names(_filled(header, wide)), kinds, strict=True)
+    schema = T.StructType([*(T.StructField(name, _typed(seen)) for name, seen in named), T.StructField("_row_id", T.LongType())])
+    fields, shape = schema.fields[:-1], to_arrow_schema(schema)
 
     def parse(batches):
-        for file in _files(batches):
-            source = rows(file, sheet)
-            names = header_names(_filled(next(source, []), len(fields) - 1))
-            place = {name: i for i, name in enumerate(names)}
-            for start in itertools.count(0, BATCH):
-                taken = list(itertools.islice(source, BATCH))
-                if not taken:
-                    break
-                columns = [
-                    range(start, start + len(taken)) if f.name == "_row_id" else
-                    [_cast(row[place[f.name]], f.dataType) if place[f.name] < len(row) else None for row in taken]
-                    for f in fields
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(columns, shape, strict=True)], schema=shape)
-
-    return _content(spark, path).mapInArrow(parse, schema)
+        for batch in batches:
+            for piece in batch.to_pylist():
+                found = dict(piece_rows(piece))
+                numbers = range(max(2, piece["start"]), min(piece["end"], last) + 1)
+                for low in range(0, len(numbers), BATCH):
+                    own = numbers[low : low + BATCH]
+                    taken = [found.get(k, ()) for k in own]
+                    columns = [[_cast(row[i], f.dataType) if i < len(row) else None for row in taken] for i, f in enumerate(fields)]
+                    columns.append([k - 2 for k in own])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(columns, shape, strict=True)], schema=shape)
+
+    return dealt.mapInArrow(parse, schema)
 
 
 def _filled(header: list, width: int) -> list:

@@ -2,6 +2,7 @@
 
 import datetime
 import os
+import zipfile
 
 import duckdb
 import pytest
@@ -76,6 +77,54 @@ def test_workbooks(spark, tmp_path):
         loader.read_table(spark, str(path), "Missing")
 
 
+def packed(path, sheet, strings=("zero", "one", "", "thr&amp;ee"), form="utf-8"):
+    """A workbook as another program writes it: prefixed names, shared strings, rows left out."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="S" sheetId="1" r:id="a"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="a" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(f"<si><t>{t}</t></si>" for t in strings)}</sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<x:worksheet xmlns:x="{main}"><x:dimension ref="A1"/>{sheet}</x:worksheet>'.encode(form))
+
+
+SHEET = (
+    '<x:sheetData><x:row r="1"><x:c r="A1" t="s"><x:v>1</x:v></x:c><x:c r="C1" t="inlineStr"><x:is><x:t>n</x:t></x:is></x:c></x:row>'
+    "<x:row r='2'><x:c r=\"A2\" t='s'> <x:v>3</x:v></x:c><x:c r='C2'><x:v>2</x:v></x:c></x:row><!-- </x:row> -->"
+    '<x:row r="5"/><x:row r="6"><x:c r="A6" t="inlineStr"><x:is><x:t><![CDATA[a</x:row>b]]></x:t></x:is></x:c></x:row>'
+    '<x:row><x:c t="s" s="0"><x:f>x</x:f><x:v>0</x:v></x:c><x:c/><x:c><x:v>7</x:v></x:c></x:row><x:row r="9"><x:c r="A9" t="s"><x:v>2</x:v></x:c></x:row></x:sheetData>'
+)
+
+
+@pytest.mark.parametrize("size", [1, 200, 1 << 20])
+@pytest.mark.parametrize("form", ["utf-8", "utf-16"])
+def test_sheets_are_cut_anywhere(spark, tmp_path, monkeypatch, size, form):
+    """Comments, literal sections, prefixes, rows left out and empty rows, however small the pieces."""
+    packed(tmp_path / "t.xlsx", SHEET, form=form)
+    cut = list(workbook.pieces(open(tmp_path / "t.xlsx", "rb"), size=size))
+    assert (len(cut) > 3) == (size == 1) and [p["start"] for p in cut][1:] == [p["end"] + 1 for p in cut][:-1]
+    monkeypatch.setattr(workbook, "PIECE", size)
+    df = loader.read_table(spark, str(tmp_path / "t.xlsx"))
+    assert dict(df.dtypes) == {"one": "string", "Unnamed: 1": "double", "n": "bigint", "_row_id": "bigint"}
+    told = [(r["one"], r["n"]) for r in df.orderBy("_row_id").collect()]
+    assert told == [("thr&ee", 2), (None, None), (None, None), (None, None), ("a</x:row>b", None), ("zero", 7)]
+
+
+def test_sheets_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}", i / 7 if i % 3 else None) for i in range(3000)]
+    write(tmp_path / "t.xlsx", [("One", ["n", "t", "x"], rows)])
+    monkeypatch.setattr(workbook, "PIECE", 20_000)
+    df = loader.read_table(spark, str(tmp_path / "t.xlsx"))
+    assert df.rdd.getNumPartitions() > 10
+    assert [tuple(r)[:3] for r in df.orderBy("_row_id").collect()] == rows
+    for sheet in ("<x:sheetData/>", "<x:sheetData></x:sheetData>"):
+        packed(tmp_path / "e.xlsx", sheet)
+        assert loader.read_table(spark, str(tmp_path / "e.xlsx")).count() == 0
+    packed(tmp_path / "f.xlsx", SHEET[:-200])
+    with pytest.raises(ValueError):
+        loader.read_table(spark, str(tmp_path / "f.xlsx"))
+
+
 def test_workbooks_in_other_stores(spark, tmp_path):
     """A path with a scheme, blanks and brackets goes through Spark's file systems; one that is not there is told as such."""
     path = f"file://{tmp_path}/plan [1] {{a}}.xlsx"
