@@ -68,6 +68,18 @@ def delimited_tables(spark, sf):
     return out
 
 
+@query("SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'café' ELSE 'plain' END AS note FROM orders")
+def late_byte_table(spark, sf):
+    """A delimited file in which only the last row shows that it is not UTF-8."""
+    orders = table(spark, sf, "orders")
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    note = F.when(F.col("o_orderkey") == last, "café").otherwise("plain")
+    path = scratch_path(spark, "late-byte")
+    rows = orders.select("o_orderkey", "o_orderstatus", note.alias("note")).orderBy("o_orderkey").coalesce(1)
+    rows.write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return loader.read_table(spark, spark.read.text(path).inputFiles()[0]).drop("_row_id")
+
+
 _KINDS = [
     ("a.csv", b"x;y\n1;2\n", False, "utf-8-sig", ";", "is not a spreadsheet"), ("b.dat", "größe\tb\n1\t2\n".encode("cp1252"), False, "cp1252", "\t", "is not a spreadsheet"),
     ("c.txt", b"a|b\n\x81|1\n", False, "latin-1", "|", "is not a spreadsheet"), ("d.xlsx", b"", True, "utf-8-sig", ",", "is empty (0 bytes)"),

@@ -213,6 +213,12 @@ def near_duplicates(spark, sf):
     return vocabulary.check_state_values(_misspelt(spark, sf), "event_type")
 
 
+@query(_SQL["near_duplicates"])
+def vocabulary_without_limit(spark, sf):
+    """The same by way of shared letters, which takes vocabularies of any size."""
+    return vocabulary.check_state_values(_misspelt(spark, sf), "event_type", limit=None)
+
+
 # Repeated and reworded issues
 
 _LINKED = f"""{_TOKENS.replace('WITH r AS', 'WITH RECURSIVE r AS', 1)}, e AS (SELECT a, b FROM p WHERE similarity >= 0.6 UNION SELECT b, a FROM p WHERE similarity >= 0.6),

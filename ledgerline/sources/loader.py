@@ -144,7 +144,7 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     if not _size(path):
         raise ValueError(f"'{os.path.basename(path)}' is empty")
-    encoding = detect_encoding(path)
+    encoding, broken = survey_lines(spark, path)
     sample = _head(path, WINDOW).decode(encoding, errors="replace")
     if not sample.strip():
         raise ValueError(f"'{os.path.basename(path)}' is empty")
@@ -154,21 +154,31 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     java = "UTF-8" if encoding == "utf-8-sig" else "ISO-8859-1"
     df = (
         spark.read.option("header", True).option("inferSchema", True).option("sep", sep).option("encoding", java)
-        .option("multiLine", _has_broken_rows(spark, path)).option("quote", '"').option("escape", '"').option("enforceSchema", True)
+        .option("multiLine", broken).option("quote", '"').option("escape", '"').option("enforceSchema", True)
         .option("timestampType", "TIMESTAMP_NTZ").csv(path)
     )
     df = df.toDF(*names) if len(names) == len(df.columns) else df
     return with_row_id(align(_as_windows(df) if encoding == "cp1252" else df))
 
 
-def _has_broken_rows(spark: SparkSession, path: str) -> bool:
-    """Whether some row goes on beyond its line: then a line holds an odd number of quotes, or a bare carriage return.
+def survey_lines(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """The first encoding that every byte of the file fits, and whether some row goes on beyond its line.
 
-    All lines are looked at, in parallel; a file without such rows can be split.
+    All lines are asked, in parallel and in one pass. A row goes on where a line holds an odd number of
+    quotes, or a bare carriage return; a file without such rows can be split.
     """
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    lines = spark.read.option("lineSep", "\n").text(path)
-    return not lines.filter((quotes % 2 == 1) | F.col("value").rlike(r"\r(?!$)")).isEmpty()
+    line = F.col("value")
+    quotes = F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+    raw = line.cast("binary")
+    undefined = F.lit(False)
+    for code in range(0x80, 0xA0):
+        if not bytes([code]).decode("cp1252", "ignore"):
+            undefined = undefined | F.contains(raw, F.lit(bytes([code])))
+    valid, odd, broken = spark.read.option("lineSep", "\n").text(path).agg(
+        F.coalesce(F.bool_and(F.is_valid_utf8(line)), F.lit(True)), F.coalesce(F.bool_or(undefined), F.lit(False)),
+        F.coalesce(F.bool_or((quotes % 2 == 1) | line.rlike(r"\r(?!$)")), F.lit(False)),
+    ).first()
+    return ("utf-8-sig" if valid else "latin-1" if odd else "cp1252"), broken
 
 
 def _as_windows(df: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Audit operators on small frames with answers counted by hand."""
 
 import datetime
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -234,6 +235,26 @@ def test_near_duplicates_match_brute_force(spark, sf):
         assert got[value] == want
 
 
+def test_vocabularies_of_any_size_match_brute_force(spark):
+    rng, letters = random.Random(4), "aabcdeeé -1"
+    words = list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randint(1, 14))).strip() or "x" for _ in range(500)))
+    words += [w + "x" for w in words[::5]] + [w.upper() + " " for w in words[::9] if w.upper() != w] + [w[1:] + w[:1] for w in words[::7] if len(w) > 3]
+    counts = {w: rng.randint(1, 40) for w in dict.fromkeys(words) if w.strip()}
+    values_ = spark.createDataFrame(list(counts.items()), "value string, count long")
+    got = {r["value"]: r["looks_like"] for r in vocabulary.near_duplicates(values_, limit=None).collect()}
+    ranked, want = sorted(counts, key=lambda v: (-counts[v], v)), {}
+    for value, n in counts.items():
+        for v in ranked:
+            if counts[v] <= n:
+                break
+            m = SequenceMatcher(None, value.strip().lower(), v.strip().lower())
+            if m.real_quick_ratio() >= 0.85 and m.quick_ratio() >= 0.85 and m.ratio() >= 0.85:
+                want[value] = v
+                break
+    assert got == want and len(want) > 50
+    assert vocabulary.near_duplicates(values_.limit(0), limit=None).count() == 0
+
+
 def test_large_vocabularies_are_left_alone(spark):
     values_ = spark.range(300).select(F.concat(F.lit("value number "), F.col("id")).alias("value"), F.col("id").alias("count"))
     assert vocabulary.near_duplicates(values_).count() == 0

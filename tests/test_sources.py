@@ -41,6 +41,14 @@ def test_undecodable_bytes_still_load(spark, tmp_path):
     assert loader.detect_encoding(str(path)) == "latin-1" and loader.read_table(spark, str(path)).count() == 1
 
 
+@pytest.mark.parametrize(("late", "said", "encoding"), [("é".encode(), "é", "utf-8-sig"), (b"\xe9\x80", "é€", "cp1252"), (b"\xe9\x81", "é\x81", "latin-1")])
+def test_a_byte_far_behind_the_start_decides(spark, tmp_path, late, said, encoding):
+    path = tmp_path / "t.csv"
+    path.write_bytes(b"a,b\n" + b"plain,1\n" * 150_000 + late + b",2\n")
+    assert loader.survey_lines(spark, str(path)) == (encoding, False) and loader.detect_encoding(str(path)) == "utf-8-sig"
+    assert [r["a"] for r in loader.read_table(spark, str(path)).filter("b = 2").collect()] == [said]
+
+
 def test_a_character_cut_at_the_window_is_no_misfit(tmp_path):
     path = tmp_path / "t.csv"
     path.write_bytes(b"x" * (loader.WINDOW - 1) + "é".encode() + b"tail")
