@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -392,7 +393,7 @@ def test_fused_posterior_matches_brute_force(spark):
         host = host or ""
         alike = lambda same: np.sum([r[3] for r in rows if r[0] != i and same(r[1] or "", r[2])] or [[0, 0]], axis=0)
         smooth = lambda n, below: (n + langid.KAPPA * below) / (n.sum() + langid.KAPPA)
-        prior = smooth(alike(lambda h, s: h == host), smooth(alike(lambda h, s: domain(h) == domain(host)), corpus))
+        prior = smooth(alike(lambda h, s: h == host), smooth(alike(lambda h, s: domain(h) == domain(host)), corpus)) if host else corpus
         odds = np.array(p) * prior
         if said:
             odds = odds * smooth(alike(lambda h, s: s == said), corpus) / corpus
@@ -415,6 +416,34 @@ def test_language_sample_has_rare_languages(spark):
     assert out[1000] == "de" and out[5] == "en" and len(out) == len({r[0] for r in rows})
 
 
+def test_rows_without_a_host_share_nothing(spark):
+    """English documents without a source say nothing of a page without an address; a source is no address."""
+    docs = frame(spark, [(i, "the cat and the dog", "en", None) for i in range(12)] + [(i, "der hund und die katze", "de", "de.site") for i in range(12, 18)])
+    pages = spark.createDataFrame(
+        [(1, None, ""), (2, "http://x.site/", ""), (3, None, "<!-- <html lang=en> --><script>'<html lang=fr>'</script><html lang=de>")], "page_id long, url string, html string"
+    )
+    got = {r["page_id"]: r for r in langid.identify(docs, pages).filter("kind = 'page'").collect()}
+    # Two thirds of the corpus are English: an empty page without address has that share and no more.
+    assert got[1]["lang"] == "en" and 0.55 < got[1]["confidence"] < 0.7
+    assert abs(got[2]["confidence"] - got[1]["confidence"]) < 0.05 and got[3]["declared"] == "de"
+
+
+def test_languages_are_a_bound_that_can_be_lifted(spark):
+    rows = [(i, f"{name} " * 30, name, "s") for i, name in enumerate(["aa", "aa", "bb", "bb", "cc", "dd"])]
+    assert langid.train(frame(spark, rows), languages=2).languages == ["aa", "bb"]
+    assert langid.train(frame(spark, rows), languages=None).languages == ["aa", "bb", "cc", "dd"]
+
+
+def test_many_languages_are_fused_in_time(spark):
+    rng = np.random.default_rng(3)
+    names = [f"l{k:03d}" for k in range(100)]
+    p = rng.dirichlet(np.ones(100) * 0.05, 200)
+    rows = [(i, f"h{i % 7}.org", None, [float(x) for x in p[i]]) for i in range(200)]
+    began = time.time()
+    out = langid.posterior(spark.createDataFrame(rows, "id long, host string, declared string, p array<double>"), names).collect()
+    assert len(out) == 200 and time.time() - began < 30
+
+
 def test_language_of_a_very_long_page(spark):
     docs = frame(spark, [(1, "the cat and the dog", "en", "a"), (2, "der hund und die katze", "de", "b")])
     page = "<p>der hund</p>" * 40_000 + "<script>" + "the " * 40_000 + "</script>"
