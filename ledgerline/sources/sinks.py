@@ -20,32 +20,50 @@ from ledgerline.sources.workbook import TooLarge, frame_sheet, write_workbook
 
 __all__ = ["TooLarge", "copy_as_tsv", "table_name", "write_csv", "write_extract", "write_report"]
 
+#: Bytes that are copied at once when parts are joined.
+JOINED_AT_ONCE = 1 << 20
 BOM = "﻿"
 
 
 def write_csv(frame: DataFrame, path: str) -> None:
-    """One CSV file with header and byte order mark, made by one writer task and moved into place.
+    """One CSV file with header and byte order mark, in the order of the frame.
 
-    The mark is the first character of the first header cell. For tables that one
-    file should not hold, ``frame.write.csv`` remains the distributed way.
+    Tasks write their partitions side by side; the parts are then joined byte by byte behind the
+    mark and the header by Spark's file systems, and the file is moved into place when it is whole.
     """
     spark = frame.sparkSession
     clean = sanitise(frame, cell_limit=None)
-    first = clean.columns[0]
-    marked = clean.select(F.col(quoted(first)).alias(BOM + first), *[F.col(quoted(c)) for c in clean.columns[1:]])
+    header = spark.createDataFrame([tuple(clean.columns)], [f"c{i}" for i in range(len(clean.columns))])
     folder = f"{path}.partial"
-    # The work before the sink stays parallel: rows are numbered where they are made and meet in one task to be written.
-    numbered = marked.withColumn("_place", F.monotonically_increasing_id())
-    numbered.repartition(1).sortWithinPartitions("_place").drop("_place").write.mode("overwrite").option("header", True).option("escape", '"').option("quoteAll", False).option(
-        "lineSep", "\n"
-    ).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(folder)
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(conf)
-    part = next(s.getPath() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(folder)) if s.getPath().getName().startswith("part-"))
-    fs.delete(target, False)
-    fs.rename(part, target)
     remove_path(spark, folder)
+    for part, rows in (("head", header), ("rows", clean)):
+        rows.write.option("escape", '"').option("quoteAll", False).option("lineSep", "\n").option(
+            "timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"
+        ).csv(f"{folder}/{part}")
+    _joined(spark, [f"{folder}/head", f"{folder}/rows"], path, f"{folder}/whole")
+    remove_path(spark, folder)
+
+
+def _joined(spark, folders: list[str], path: str, partial: str) -> None:
+    """The part files of folders, in order, as one file behind a byte order mark; its bytes are streamed, never held."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop
+    fs = hadoop.fs.Path(path).getFileSystem(conf)
+    out = fs.create(hadoop.fs.Path(partial), True)
+    try:
+        out.write(bytearray(BOM.encode()))
+        for folder in folders:
+            parts = sorted(s.getPath().toString() for s in fs.listStatus(hadoop.fs.Path(folder)) if s.getPath().getName().startswith("part-"))
+            for part in parts:
+                source = fs.open(hadoop.fs.Path(part))
+                try:
+                    hadoop.io.IOUtils.copyBytes(source, out, JOINED_AT_ONCE, False)
+                finally:
+                    source.close()
+    finally:
+        out.close()
+    fs.delete(hadoop.fs.Path(path), False)
+    fs.rename(hadoop.fs.Path(partial), hadoop.fs.Path(path))
 
 
 def copy_as_tsv(frame: DataFrame, dataset: str, sheet: str, extras: dict[str, str] | None = None, most: int = INLINE_ROWS) -> str:

@@ -1,5 +1,6 @@
 """Readers, sinks, the driver contract and the streaming extension."""
 
+import csv
 import datetime
 import os
 import zipfile
@@ -182,6 +183,23 @@ def test_extract_round_trips(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == ["out.csv", "out.xlsx", "out_ExtractInfo.txt"] or not any("partial" in n for n in os.listdir(tmp_path))
 
 
+def test_csv_is_written_by_many_tasks(spark, tmp_path):
+    """Parts joined in order are the file one task would have written."""
+    odd = ['say "no", then', "", None, "a\nb", "=1", "é€", " x "]
+    rows = [(i, odd[i % len(odd)], DAY(2024, 1, 1 + i % 28, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, '`the "id"` long, `a,b` string, t timestamp_ntz').repartitionByRange(6, "`the \"id\"`").sortWithinPartitions("`the \"id\"`")
+    assert df.rdd.getNumPartitions() == 6
+    sinks.write_csv(df, str(tmp_path / "many.csv"))
+    sinks.write_csv(df.coalesce(1).sortWithinPartitions("`the \"id\"`"), str(tmp_path / "one.csv"))
+    whole = (tmp_path / "many.csv").read_bytes()
+    assert whole == (tmp_path / "one.csv").read_bytes() and sorted(os.listdir(tmp_path)) == [".many.csv.crc", ".one.csv.crc", "many.csv", "one.csv"] or not any("partial" in n for n in os.listdir(tmp_path))
+    with open(tmp_path / "many.csv", encoding="utf-8-sig", newline="") as f:
+        told = list(csv.reader(f))
+    assert told[0] == ['the "id"', "a,b", "t"] and [int(r[0]) for r in told[1:]] == list(range(500)) and told[1][1] == odd[0]
+    sinks.write_csv(df.limit(0), str(tmp_path / "none.csv"))
+    assert (tmp_path / "none.csv").read_text(encoding="utf-8-sig").count("\n") == 1
+
+
 def test_extracts_are_refused_not_cut(spark, tmp_path):
     df, pick = sample(spark), extract.Selection(F.col("opened"), months=())
     with pytest.raises(ValueError):
