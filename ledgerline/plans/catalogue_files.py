@@ -5,9 +5,9 @@ Files lie below the session's shared folder. Workbooks need a path that the driv
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import tempfile
 from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
@@ -21,10 +21,10 @@ from ledgerline.sources import loader, sinks, workbook
 
 
 def _local(spark, label: str) -> str:
-    """A folder that the driver can write to: the shared one if it is a local path, else one of its own."""
+    """A folder that the driver can write to and executors can read: the shared one, where that is a mounted path."""
     path = urlparse(scratch_path(spark, label))
     if path.scheme not in ("", "file"):
-        return tempfile.mkdtemp(prefix=label)
+        raise RuntimeError("these files are written by the driver: the shared folder has to be a mounted path")
     os.makedirs(path.path)
     return path.path
 
@@ -80,27 +80,40 @@ def late_byte_table(spark, sf):
     return loader.read_table(spark, spark.read.text(path).inputFiles()[0]).drop("_row_id")
 
 
+#: File name, how its bytes come from the regions, and what is to be said of it.
 _KINDS = [
-    ("a.csv", b"x;y\n1;2\n", False, "utf-8-sig", ";", "is not a spreadsheet"), ("b.dat", "größe\tb\n1\t2\n".encode("cp1252"), False, "cp1252", "\t", "is not a spreadsheet"),
-    ("c.txt", b"a|b\n\x81|1\n", False, "latin-1", "|", "is not a spreadsheet"), ("d.xlsx", b"", True, "utf-8-sig", ",", "is empty (0 bytes)"),
-    ("e.bin", b"PK\x03\x04rest", True, "utf-8-sig", ",", "is cut short"), ("f.xls", b"\xd0\xcf\x11\xe0\xa1\xb1", True, "cp1252", ",", "is an old or protected workbook"),
-    ("g.xlsx", b"<html><table>", True, "utf-8-sig", ",", "is a web page or XML"),
+    ("a.csv", False, "utf-8-sig", ";", "is not a spreadsheet"), ("b.dat", False, "cp1252", "tab", "is not a spreadsheet"), ("c.txt", False, "latin-1", "|", "is not a spreadsheet"),
+    ("d.xlsx", True, None, None, "is empty (0 bytes)"), ("e.bin", True, None, None, "is cut short"), ("f.xls", True, None, None, "is an old or protected workbook"),
+    ("g.xlsx", True, None, None, "is a web page or XML"),
 ]
 
 
-@query(_values([(n, e, c, {"\t": "tab"}.get(d, d), said) for n, _, e, c, d, said in _KINDS], "name, excel, encoding, delimiter, diagnosis"))
+def _kind_bytes(regions: list, whole: bytes) -> dict[str, bytes]:
+    """The regions as delimited text in three encodings, and as workbooks that are empty, cut, old and no workbook at all."""
+    lines = lambda sep, head: "\n".join([f"{head}{sep}r_name", *(f"{k}{sep}{name}" for k, name in regions), ""])
+    listed = "".join(f"<tr><td>{k}<td>{name}" for k, name in regions)
+    return {
+        "a.csv": lines(";", "key").encode(), "b.dat": lines("\t", "größe").encode("cp1252"), "c.txt": lines("|", "key\x81").encode("latin-1"), "d.xlsx": b"",
+        "e.bin": whole[:-100], "f.xls": b"\xd0\xcf\x11\xe0\xa1\xb1" + whole, "g.xlsx": f"<html><table>{listed}</table>".encode(),
+    }
+
+
+@query("SELECT k.*, CASE WHEN NOT excel THEN (SELECT count(*) FROM region) END AS rows FROM (" + _values(_KINDS, "name, excel, encoding, delimiter, diagnosis") + ") k")
 def file_kinds(spark, sf):
-    """Format by extension or first bytes, encoding, delimiter, and why a workbook cannot be read."""
-    folder, rows = _local(spark, "kinds"), []
-    for name, data, _, _, _, said in _KINDS:
+    """Format by extension or first bytes, encoding, delimiter, rows read, and why a workbook cannot be read."""
+    folder, rows, r = _local(spark, "kinds"), [], table(spark, sf, "region").select("r_regionkey", "r_name")
+    workbook.write_workbook(os.path.join(folder, "whole.xlsx"), [workbook.frame_sheet("Regions", r)])
+    with open(os.path.join(folder, "whole.xlsx"), "rb") as f:
+        made = _kind_bytes([tuple(x) for x in r.orderBy("r_regionkey").collect()], f.read())
+    for name, excel, _, _, said in _KINDS:
         path = os.path.join(folder, name)
         with open(path, "wb") as f:
-            f.write(data)
-        encoding = loader.detect_encoding(path)
-        sep = loader.detect_delimiter(data.decode(encoding, "replace")) if name[-3:] in ("csv", "dat", "txt") else ","
-        told = loader.diagnose(path)
-        rows.append((name, loader.is_excel(path), encoding, {"\t": "tab"}.get(sep, sep), said if said in told else told))
-    return _rows(spark, rows, "name string, excel boolean, encoding string, delimiter string, diagnosis string")
+            f.write(made[name])
+        encoding = None if excel else loader.detect_encoding(path)
+        sep = None if excel else loader.detect_delimiter(made[name].decode(encoding, "replace"))
+        told, read = loader.diagnose(path), None if excel else loader.read_table(spark, path).count()
+        rows.append((name, loader.is_excel(path), encoding, {"\t": "tab"}.get(sep, sep), said if said in told else told, read))
+    return _rows(spark, rows, "name string, excel boolean, encoding string, delimiter string, diagnosis string, rows long")
 
 
 @query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, strptime('1998-02-01 06:30:00', '%Y-%m-%d %H:%M:%S') AS seen FROM customer")
@@ -221,22 +234,28 @@ def summary_report(spark, sf):
     return _rows(spark, [(t, n if n == listed else -1) for t, (n, listed) in rows.items()], "title string, n long")
 
 
-@query(_values([("null_threshold", "35"), ("desc_min_length", "20"), ("extract_format", "csv"), ("kept_for_others", "yes")], '"key", "value"'))
+@query("""SELECT 'null_threshold' AS "key", CAST((SELECT count(*) FROM nation) AS VARCHAR) AS "value" UNION ALL SELECT 'desc_min_length', '20' UNION ALL SELECT 'extract_format', 'csv'
+UNION ALL SELECT r_name, CAST(r_regionkey AS VARCHAR) FROM region""")
 def settings_store(spark, sf):
-    """Settings over defaults, through their file; a key that is not ours is kept."""
+    """Settings over defaults, through their file; keys that are not ours, here the regions, are kept."""
+    regions = {r["r_name"]: r["r_regionkey"] for r in table(spark, sf, "region").collect()}
+    nations = table(spark, sf, "nation").count()
     path = os.path.join(_local(spark, "settings"), "settings.json")
     with open(path, "w", encoding="utf-8") as f:
-        f.write('{"null_threshold": 30, "kept_for_others": "yes"}')
-    ConfigStore(path).update({"null_threshold": 35, "extract_format": "csv"})
+        json.dump({"null_threshold": 30} | regions, f)
+    ConfigStore(path).update({"null_threshold": nations, "extract_format": "csv"})
     again = ConfigStore(path)
-    assert again.config() == AuditConfig(null_threshold=35, extract_format="csv")
-    return _rows(spark, [(k, str(again.get(k))) for k in ("null_threshold", "desc_min_length", "extract_format", "kept_for_others")], "key string, value string")
+    assert again.config() == AuditConfig(null_threshold=nations, extract_format="csv")
+    return _rows(spark, [(k, str(again.get(k))) for k in ("null_threshold", "desc_min_length", "extract_format", *regions)], "key string, value string")
 
 
-@query(_values([("A b", "tbl_A_b"), ("a B", "tbl_a_B_2"), ("x/y", "tbl_x_y"), ("A  b", "tbl_A_b_3")], "label, name"))
+@query("""WITH l AS (SELECT n_nationkey, 0 AS again, n_name AS label FROM nation UNION ALL SELECT n_nationkey, 1, lower(n_name) FROM nation UNION ALL SELECT n_nationkey, 2, n_name || ' / x' FROM nation)
+SELECT label, 'tbl_' || regexp_replace(label, '[^A-Za-z0-9_]+', '_', 'g') || CASE WHEN again = 1 THEN '_2' ELSE '' END AS name FROM l""")
 def sheet_table_names(spark, sf):
-    used: set = set()
-    return _rows(spark, [(x, sinks.table_name(x, used)) for x in ("A b", "a B", "x/y", "A  b")], "label string, name string")
+    """Table names of sheets called like the nations, like them in small letters, and with marks in them."""
+    nations, used = [r["n_name"] for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()], set()
+    labels = [*nations, *(n.lower() for n in nations), *(f"{n} / x" for n in nations)]
+    return _rows(spark, [(x, sinks.table_name(x, used)) for x in labels], "label string, name string")
 
 
 @query("""SELECT row_number() OVER () - 1 AS line, said FROM (SELECT 'Dataset' || chr(9) || 'tpch' AS said, 0 AS k, 0 AS r UNION ALL SELECT 'Sheet' || chr(9) || 'Nations', 1, 0
