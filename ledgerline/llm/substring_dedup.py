@@ -1,26 +1,30 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-A gear hash runs over the UTF-8 bytes; with 32 bits and one shift a byte it
-depends on the last ``WINDOW`` bytes only (higher ones are cut off), so equal
-passages hash equally wherever they stand. A chunk ends where the hash is the
-least within ``REACH`` bytes on either side: boundaries follow content, insertions
+A gear hash runs over the words of a text, each entering by a hash of its bytes; with 64
+bits and ``SHIFT`` a word it depends on the last ``WINDOW`` words only (higher bits are cut off),
+so equal passages hash equally wherever they stand. A chunk ends where the hash is the
+least within ``REACH`` words on either side: boundaries follow content, insertions
 disturb the chunks they touch and no others. In a stretch that repeats itself within
-``REACH`` bytes (one word over and over, a row of dots) the least hash comes back once a
+``REACH`` words (one word over and over) the least hash comes back once a
 period and ends a chunk each time: such chunks are one period long and the same wherever
-the stretch begins. All other chunks are longer than ``REACH``, apart from the last.
+the stretch begins. All other chunks are longer than ``REACH`` words, apart from the last.
+
+Reach and window are counted in words because passages are: of ``WORDS`` words, whatever
+their length, ``WORDS - WINDOW + 1 - 2 * REACH`` boundaries depend on the passage alone. A whole
+chunk, which is all it takes to find a passage, lies between two of them that end a chunk; of 200,000
+passages of distinct words 15 had none (simulated).
 
 Chunks are deduplicated by digest: one that several documents hold belongs to the
-smallest ``doc_id``. Runs of such chunks, of ``RUN`` bytes or more, are where documents
-may share a passage. A run is one if ``WORDS`` words of it lie in different chunks in a
-row that one other document holds. A shorter run shows the inside of a
-passage only, since chunks at its ends reach out of it: so the words around it, and
-around the same chunks in other documents, are compared as sequences of ``WORDS``
-words, and what several documents hold is a passage. Shorter repeats are left alone.
+smallest ``doc_id``. Chunks in a row that stand in a row in one other document too, at their first places
+there, are a passage if they have ``WORDS`` words together. All other shared chunks may be the inside of a
+passage, since chunks at its ends reach out of it: so the words around them and around the ends of long
+runs, in all documents that hold those chunks, are compared as sequences of ``WORDS`` words, and what several documents hold is a passage.
+Shorter repeats are left alone.
 
-Digests with positions are shuffled, not texts; only documents with a short run, or its
-chunks, are read again. Digest joins are on uniform keys, dealt over ``SALTS``.
+Digests with positions are shuffled, not texts; only documents with a chunk that is not
+yet settled are read again. Digest joins are on uniform keys, dealt over ``SALTS``.
 
-Edge cases: null and empty texts have no chunks; texts shorter than a run have no
+Edge cases: null and empty texts have no chunks; texts of fewer than ``WORDS`` words have no
 passages; a passage repeated only inside one document is not reported; rows with
 one ``doc_id`` are the same document, but spans are those of each row's own text; rows with
 a null one are left out and never cut; repeated rows give one set of spans; of
@@ -39,10 +43,11 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import materialise, raw_texts, text_key, text_slices
+from ledgerline.llm.common import raw_texts, text_key, text_slices
+from ledgerline.plans.materialise import discard, materialise
 
-#: Bytes the gear hash sees, bytes to either side of a boundary, least bytes of a run.
-WINDOW, REACH, RUN = 16, 24, 96
+#: Bits a word moves the gear hash, words it sees, words to either side of a boundary.
+SHIFT, WINDOW, REACH = 22, 3, 4
 #: Words of a passage at least.
 WORDS = 51
 SEED = 97
@@ -51,51 +56,32 @@ SALTS = 4
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(SEED)
-    gear = rng.integers(0, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
     letters = rng.integers(0, 1 << 64, 256, dtype=np.uint64)
-    places = rng.integers(0, 1 << 64, 4096, dtype=np.uint64) | np.uint64(1)
-    return gear, letters, places
+    return letters, rng.integers(0, 1 << 64, 4096, dtype=np.uint64) | np.uint64(1)
 
 
-def gear_hash(data: np.ndarray) -> np.ndarray:
-    """sum of gear[byte i-k] << 2k over the last 16 bytes, by doubling."""
-    h = _tables()[0][data]
-    for step in (1, 2, 4, 8):
-        shifted = h[:-step] << np.uint32(2 * step)
-        h = h.copy()
-        h[step:] += shifted
-    return h
+def gear_hash(words: np.ndarray) -> np.ndarray:
+    """sum of word i-k << SHIFT * k over the last ``WINDOW`` words, mixed."""
+    h = words.copy()
+    for k in range(1, WINDOW):
+        h[k:] += words[:-k] << np.uint64(SHIFT * k)
+    return _mixed(h)
 
 
-def boundaries(data: np.ndarray) -> np.ndarray:
-    """Positions after which a chunk ends: the hash is least within ``REACH`` on both sides.
+def boundaries(words: np.ndarray) -> np.ndarray:
+    """Numbers of words after which a chunk ends: the hash is least within ``REACH`` on both sides.
 
     Equal hashes all end chunks. The end is a boundary always.
     """
-    n = len(data)
-    if not n:
-        return np.empty(0, dtype=np.int64)
-    h = (gear_hash(data).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.uint32)
-    low = h
-    span = 1
-    while span * 2 <= REACH:  # least of the span values from here on
-        low = np.minimum(low, np.concatenate([low[span:], np.full(min(span, n), 0xFFFFFFFF, np.uint32)])[:n])
-        span *= 2
-    rest = REACH - span
-    ahead = np.concatenate([low[rest:], np.full(min(rest, n), 0xFFFFFFFF, np.uint32)])[:n] if rest else low
-    least = np.minimum(low, ahead)  # of REACH values from here on
-    top = np.uint32(0xFFFFFFFF)
-    after = np.full(n, top)
-    after[: n - 1] = least[1:]
-    before = np.full(n, top)
-    if n > REACH:
-        before[REACH:] = least[: n - REACH]
-    at = np.flatnonzero((h <= before) & (h <= after))
-    # Near the start fewer than REACH bytes lie before; those positions never end a chunk.
-    at = at[(at >= REACH) & (at < n - REACH)]
-    return np.append(at + 1, n)
+    n = len(words)
+    if n <= 2 * REACH:
+        return np.array([n] if n else [], dtype=np.int64)
+    h = gear_hash(words)
+    around = np.lib.stride_tricks.sliding_window_view(h, 2 * REACH + 1).min(axis=1)
+    # Near the start fewer than REACH words lie before; those never end a chunk, nor do the last ones.
+    return np.append(np.flatnonzero(h[REACH : n - REACH] == around) + REACH + 1, n)
 
 
 def _mixed(total: np.ndarray) -> np.ndarray:
@@ -104,35 +90,43 @@ def _mixed(total: np.ndarray) -> np.ndarray:
     return total ^ total >> np.uint64(29)
 
 
-def _sums(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, skipped: np.ndarray | None = None) -> np.ndarray:
-    """Multilinear hash of the stretches that begin at ``starts`` and reach to the next one; skipped bytes add nothing."""
-    _, letters, places = _tables()
-    within = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.append(starts, len(data))))
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Multilinear hash of the stretches that begin at ``starts`` and reach to the next one."""
+    places = _tables()[1]
+    within = np.arange(starts[0], len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
     fold = (within // len(places)).astype(np.uint64)  # very long stretches go around with another odd factor
-    terms = letters[data[starts[0] :]] * places[within % len(places)] * (np.uint64(2) * fold + np.uint64(1))
-    if skipped is not None:
-        terms[skipped[starts[0] :]] = 0
-    return np.add.reduceat(terms, starts - starts[0]) + sizes.astype(np.uint64) * places[-1]
+    terms = values[starts[0] :] * places[within % len(places)] * (np.uint64(2) * fold + np.uint64(1))
+    return np.add.reduceat(terms, starts - starts[0])
 
 
-def digests(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each chunk, with its length."""
+def digests(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each chunk, with its number of words."""
     starts = np.concatenate([[0], ends[:-1]])
-    return _mixed(_sums(data, starts, ends - starts)).view(np.int64)
+    return _mixed(_sums(words, starts) + (ends - starts).astype(np.uint64) * _tables()[1][-1]).view(np.int64)
 
 
 def _blank(data: np.ndarray) -> np.ndarray:
     return (data == 0x20) | (data >= 0x09) & (data <= 0x0D)
 
 
-def sequences(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First byte, end, and 64-bit hash of every ``length`` words in a row."""
+def spelled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end, and 64-bit hash of every word."""
+    letters, places = _tables()
     gap = _blank(data)
     starts = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
     ends = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
-    if len(starts) < length:
+    if not len(starts):
+        return starts, ends, np.empty(0, dtype=np.uint64)
+    values = letters[data]
+    values[gap] = 0
+    return starts, ends, _mixed(_sums(values, starts) + (ends - starts).astype(np.uint64) * places[-1])
+
+
+def sequences(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end, and 64-bit hash of every ``length`` words in a row."""
+    starts, ends, words = spelled(data)
+    if len(words) < length:
         return starts[:0], ends[:0], np.empty(0, dtype=np.int64)
-    words = _mixed(_sums(data, starts, ends - starts, gap))
     factor = 0x9E3779B97F4A7C15  # odd, so its powers have inverses
     back = np.cumprod(np.full(len(words), pow(factor, -1, 1 << 64), dtype=np.uint64))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * back)])
@@ -141,29 +135,31 @@ def sequences(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np
     return starts[: len(found)], ends[length - 1 :], found.view(np.int64)
 
 
-def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "th", "begin", "size", "words", "h"]
+def _chunked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "th", "begin", "size", "place", "words", "again", "final", "h"]
     for batch in batches:
         for part in text_slices(batch, limit=4 << 20):
             columns: list[list] = [[] for _ in names[2:]]
             rows = []
             for row, raw in enumerate(raw_texts(part)):
-                if len(raw) < RUN:
+                if len(raw) < 2 * least - 1:
                     continue
-                data = np.frombuffer(raw, dtype=np.uint8)
-                ends = boundaries(data)
+                begin, end, words = spelled(np.frombuffer(raw, dtype=np.uint8))
+                if len(words) < least:
+                    continue
+                ends = boundaries(words)
                 starts = np.concatenate([[0], ends[:-1]])
-                gap = _blank(data)
-                words = np.add.reduceat((~gap & np.concatenate([[True], gap[:-1]])).astype(np.int32), starts)
+                at, h = begin[starts], digests(words, ends)
+                again = np.ones(len(h), dtype=bool)
+                again[np.unique(h, return_index=True)[1]] = False
                 rows.append(np.full(len(ends), row))
-                for c, x in zip(columns, (starts, ends - starts, words, digests(data, ends)), strict=True):
+                for c, x in zip(columns, (at, np.diff(at, append=end[-1]), starts, ends - starts, again, ends == len(words), h), strict=True):
                     c.append(x)
             if rows:
                 at = pa.array(np.concatenate(rows))
-                ints = [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[:3]]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(at), part.column("th").take(at), *ints, pa.array(np.concatenate(columns[3]))], names
-                )
+                ints = [pa.array(np.concatenate(c).astype(np.int32)) for c in columns[:4]]
+                rest = [pa.array(np.concatenate(c)) for c in columns[4:]]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("th").take(at), *ints, *rest], names)
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
@@ -171,9 +167,13 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return rows.filter("doc_id is not null")
 
 
-def chunks(documents: DataFrame) -> DataFrame:
-    """``doc_id, th, begin, size, words, h``: byte span, words that begin in it and digest of every chunk."""
-    return _keyed(documents).mapInArrow(_chunked, "doc_id long, th long, begin int, size int, words int, h long")
+def chunks(documents: DataFrame, least: int = WORDS) -> DataFrame:
+    """Every chunk of the texts of ``least`` words or more: ``doc_id, th, begin, size, place, words, again, final, h``.
+
+    Byte span, number of the first word, words, whether the text had the chunk before and ends with it, digest.
+    """
+    schema = "doc_id long, th long, begin int, size int, place int, words int, again boolean, final boolean, h long"
+    return _keyed(documents).mapInArrow(lambda it: _chunked(it, least), schema)
 
 
 def _held_by_several(rows: DataFrame, key: str) -> DataFrame:
@@ -184,7 +184,7 @@ def _held_by_several(rows: DataFrame, key: str) -> DataFrame:
 
 def _met(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     many = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(many, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(SALTS)).cast("int")).join(many, [key, "salt"]).drop("salt")
 
 
 def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
@@ -192,31 +192,43 @@ def _by_document(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct(*columns))).alias("spans"))
 
 
-def repeated_passages(documents: DataFrame, run: int = RUN, words: int = WORDS) -> DataFrame:
+def _shared_chunks(every: DataFrame) -> DataFrame:
+    """The chunks that several documents hold, with the smallest and largest of them and the chunk's first place there."""
+    shared = every.filter("not again").groupBy("h").agg(
+        F.min("doc_id").alias("first"), F.max("doc_id").alias("last"),
+        F.min_by("place", "doc_id").alias("first_place"), F.max_by("place", "doc_id").alias("last_place"),
+    )
+    return _met(every.drop("again"), shared.filter("first < last"), "h")
+
+
+def repeated_passages(documents: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per repeated passage of a document.
 
     ``doc_id, begin_byte, end_byte, first_doc_id, dropped, text_key``: the passage's bytes, the
     smallest document that holds a part of it, whether dedup takes it out, which it does
     in all but the first, and the key of the row's text.
     """
-    every = materialise(chunks(documents), "gear-chunks")
-    hits = materialise(_held_by_several(every, "h"), "gear-hits")
-    runs = _by_document(hits, "begin", "size", "words", "first", "last", "h").mapInArrow(lambda it: _runs(it, run, words), _RUNS)
-    runs = materialise(runs, "gear-runs")
-    unsure = runs.select(F.explode("short").alias("h")).distinct()
+    every = materialise(chunks(documents, words), "gear-chunks")
+    hits = materialise(_shared_chunks(every), "gear-hits")
+    discard(every)
+    columns = ("begin", "size", "place", "words", "first", "last", "first_place", "last_place", "final", "h")
+    runs = materialise(_by_document(hits, *columns).mapInArrow(lambda it: _runs(it, words), _RUNS), "gear-runs")
+    unsure = runs.select(F.explode("unsure").alias("h")).distinct()
     around = _by_document(_met(hits, unsure, "h").withColumn("end", F.col("begin") + F.col("size")), "begin", "end")
     around = materialise(around, "gear-around")
+    discard(hits)
     near = _keyed(documents).join(around, ["doc_id", "th"]).mapInArrow(
         lambda it: _sequences(it, words), "doc_id long, th long, begin int, end int, s long"
     )
     near = materialise(near, "gear-sequences")
+    discard(around)
     spans = _held_by_several(near, "s").select("doc_id", "th", "begin", "end", "first").union(
-        runs.filter("size(short) = 0").select("doc_id", "th", "begin", "end", "first")
+        runs.select("doc_id", "th", F.inline("sure")).select("doc_id", "th", "begin", "end", "first")
     )
     return _by_document(spans, "begin", "end", "first").mapInArrow(_passages, PASSAGES)
 
 
-_RUNS = "doc_id long, th long, begin int, end int, first long, short array<bigint>"
+_RUNS = "doc_id long, th long, sure array<struct<begin: int, end: int, first: bigint>>, unsure array<bigint>"
 PASSAGES = "doc_id long, begin_byte int, end_byte int, first_doc_id long, dropped boolean, text_key long"
 
 
@@ -228,33 +240,36 @@ def _flat(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, ...]:
     return np.repeat(np.arange(batch.num_rows), counts), *(flat.field(k).to_numpy(zero_copy_only=False) for k in names)
 
 
-def _runs(batches: Iterator[pa.RecordBatch], run: int, least: int) -> Iterator[pa.RecordBatch]:
-    """Runs of adjoining chunks that are long enough; ``short`` has the digests of a run of too few words to be sure of."""
+def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Per document the runs that are passages for sure, and the digests of their ends within the text and of all other shared chunks."""
     for batch in batches:
-        row, begin, size, words, first, last, h = _flat(batch, "begin", "size", "words", "first", "last", "h")
+        row, begin, size, place, words, first, last, first_place, last_place, final, h = _flat(
+            batch, "begin", "size", "place", "words", "first", "last", "first_place", "last_place", "final", "h"
+        )
         if not len(row):
             continue
         own = first == batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
+        partner, there = np.where(own, last, first), np.where(own, last_place, first_place)
         new = np.ones(len(row), dtype=bool)
-        new[1:] = (row[1:] != row[:-1]) | (own[1:] != own[:-1]) | (begin[1:] != begin[:-1] + size[:-1])
-        at = np.flatnonzero(new)
-        length, stops = np.add.reduceat(size, at), np.append(at[1:], len(row))
-        # Words of a stretch held by one other document, each chunk counted once (periods of a stretch are alike).
-        partner = np.where(own, last, first)
-        part = np.cumsum(new | np.concatenate([[True], partner[1:] != partner[:-1]])) - 1
-        order = np.lexsort((h, part))
-        fresh = np.ones(len(row), dtype=bool)
-        fresh[order[1:]] = (part[order[1:]] != part[order[:-1]]) | (h[order[1:]] != h[order[:-1]])
-        together = np.bincount(part, weights=words * fresh)[part]
-        held = np.maximum.reduceat(together, at)
-        keep = np.flatnonzero(length >= run)
-        # The last word that begins in a run may end beyond it.
-        short = [h[at[k] : stops[k]] if held[k] - 1 < least else h[:0] for k in keep]
-        of = pa.array(row[at][keep])
+        new[1:] = (row[1:] != row[:-1]) | (own[1:] != own[:-1]) | (partner[1:] != partner[:-1])
+        new[1:] |= (place[1:] != place[:-1] + words[:-1]) | (there[1:] != there[:-1] + words[:-1])
+        at, part = np.flatnonzero(new), np.cumsum(new) - 1
+        sure = np.add.reduceat(words, at) >= least
+        unsettled = ~sure[part]
+        stops = np.append(at[1:], len(row))[sure] - 1
+        at = at[sure]
+        unsettled[at[place[at] > 0]] = True
+        unsettled[stops[~final[stops].astype(bool)]] = True
+        spans = pa.StructArray.from_arrays(
+            [pa.array(begin[at]), pa.array((begin + size)[stops]), pa.array(first[at])], ["begin", "end", "first"]
+        )
+        rest = np.flatnonzero(unsettled)
+        edges = np.arange(batch.num_rows + 1)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(of), batch.column("th").take(of), pa.array(begin[at][keep]), pa.array((begin[at] + length)[keep].astype(np.int32)),
-             pa.array(np.minimum.reduceat(first, at)[keep]), pa.array(short, pa.list_(pa.int64()))],
-            ["doc_id", "th", "begin", "end", "first", "short"],
+            [batch.column("doc_id"), batch.column("th"),
+             pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], edges).astype(np.int32)), spans),
+             pa.ListArray.from_arrays(pa.array(np.searchsorted(row[rest], edges).astype(np.int32)), pa.array(h[rest]))],
+            ["doc_id", "th", "sure", "unsure"],
         )
 
 

@@ -193,42 +193,61 @@ def test_near_duplicates_on_documents(spark, sf):
 # Substrings
 
 
+def spelled(text):
+    return substring_dedup.spelled(np.frombuffer(text, dtype=np.uint8))[2]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.binary(min_size=0, max_size=60), st.binary(min_size=0, max_size=60))
 def test_boundaries_resist_insertions(head, other):
-    body = np.random.default_rng(5).integers(97, 123, 600, dtype=np.uint8).tobytes()
+    body = b" " + b" ".join(np.random.default_rng(5).integers(97, 123, 600, dtype=np.uint8).reshape(200, 3).view("S3").ravel())
     cuts = []
     for lead in (head, other):
-        data = np.frombuffer(lead + body, dtype=np.uint8)
-        ends = substring_dedup.boundaries(data)
-        assert ends[-1] == len(data) and (np.diff(ends) > 0).all()
-        cuts.append({int(e) - len(lead) for e in ends if e - len(lead) > substring_dedup.WINDOW + 2 * substring_dedup.REACH})
-    assert cuts[0] == cuts[1]
+        words, before = spelled(lead + body), len(spelled(lead)) if lead else 0
+        ends = substring_dedup.boundaries(words)
+        assert ends[-1] == len(words) == before + 200 and (np.diff(ends) > 0).all()
+        cuts.append({int(e) - before for e in ends if e - before > substring_dedup.WINDOW + 2 * substring_dedup.REACH})
+    assert cuts[0] == cuts[1] and len(cuts[0]) > 10
 
 
-@pytest.mark.parametrize("passage", [b"the " * 51, b"lorem " * 51, b"." * 204, b"0123456789" * 21, b"once upon a " * 17])
-@pytest.mark.parametrize("skip", [0, 3])
+@pytest.mark.parametrize("passage", [b"the " * 51, b". " * 51, b"0 1 2 3 4 " * 11, b"once upon a " * 17, b"a bb ccc dddd eeeee ffffff " * 9])
+@pytest.mark.parametrize("skip", [0, 4])
 def test_repeats_of_one_word_are_found_in_any_context(passage, skip):
     rng = np.random.default_rng(11)
     runs = []
     for k in range(2):
-        lead, tail = (rng.integers(97, 123, int(rng.integers(200, 300)), dtype=np.uint8).tobytes() for _ in range(2))
-        data = np.frombuffer(lead + passage[skip * k :] + tail, dtype=np.uint8)
-        ends = substring_dedup.boundaries(data)
-        runs.append((np.diff(ends, prepend=0).tolist(), substring_dedup.digests(data, ends).tolist()))
-    known, best, run = set(runs[0][1]), 0, 0
-    for size, digest in zip(*runs[1], strict=True):
-        run = run + size if digest in known else 0
-        best = max(best, run)
-    assert best >= substring_dedup.RUN
+        lead, tail = (b" ".join(rng.integers(97, 123, 240, dtype=np.uint8).reshape(-1, 4).view("S4").ravel()) + b" " for _ in range(2))
+        words = spelled(lead + passage[skip * k :] + tail)
+        ends = substring_dedup.boundaries(words)
+        runs.append((np.diff(ends, prepend=0).tolist(), substring_dedup.digests(words, ends).tolist()))
+    assert set(runs[0][1]) & set(runs[1][1])
 
 
 def test_digest_depends_on_content_only():
-    data = np.frombuffer(b"abcabc" * 2000, dtype=np.uint8)
-    h = substring_dedup.digests(data, np.array([3, 6, 9, 10, 12000]))
+    words = spelled(b"a b c a b c " * 2000)
+    h = substring_dedup.digests(words, np.array([3, 6, 9, 10, 12000]))
     assert h[0] == h[1] == h[2] != h[3]
 
 
+@pytest.mark.parametrize("letters", [(1, 1), (1, 2), (1, 3), (2, 3), (2, 4), (3, 5), (1, 12), (12, 12)])
+def test_a_passage_of_51_words_of_any_length_holds_a_shared_chunk(letters):
+    """At most one of 400 planted passages may be without; single letters repeat, which only adds boundaries."""
+    rng = np.random.default_rng(3)
+    word = lambda: bytes(rng.integers(97, 123, rng.integers(letters[0], letters[1] + 1), dtype=np.uint8))
+    text = lambda n: b" ".join(word() for _ in range(n))
+    missed = 0
+    for _ in range(400):
+        passage, found = text(51), []
+        for _ in range(2):
+            lead = text(30)
+            words = spelled(b" ".join([lead, passage, text(30)]))
+            ends = substring_dedup.boundaries(words)
+            inside = (np.concatenate([[0], ends[:-1]]) >= 30) & (ends <= 81)
+            found.append(set(substring_dedup.digests(words, ends)[inside].tolist()))
+        missed += not found[0] & found[1]
+    assert missed <= 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab \t\né\x1c", max_size=60), st.integers(1, 4))
 def test_sequences_are_told_apart_by_their_words(text, length):
@@ -277,6 +296,36 @@ def test_repeated_passages_are_found(spark):
     assert substring_dedup.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_passages_of_short_long_and_mixed_words(spark):
+    """Words of 1 to 12 letters, digits and several scripts; clean documents with the same vocabularies beside them."""
+    rng = np.random.default_rng(13)
+    kinds = [("abcdefghijklmnopqrstuvwxyz", 1, 2), ("abcdefghijklmnopqrstuvwxyz", 1, 3), ("abcdefghij", 2, 3), ("abcdefghijklmnop", 2, 4), ("abcdefg", 1, 12)]
+    kinds += [("0123456789", 1, 4), ("абвгдежзик", 1, 5), ("日本語中文字", 1, 3), ("añé1жd日", 1, 6), ("ab", 1, 1), ("x", 1, 1)]
+    rows = []
+    for letters, least, most in kinds:
+        word = lambda: "".join(rng.choice(list(letters), rng.integers(least, most + 1)))  # noqa: B023, E731
+        text = lambda n: " ".join(word() for _ in range(n))  # noqa: B023, E731
+        for length in (50, 51, 51, 52, 70, 140):
+            passage = text(length)
+            rows += [(len(rows) + k, f"{text(int(rng.integers(0, 90)))} {passage}\n{text(int(rng.integers(0, 90)))}") for k in range(2)]
+        rows += [(len(rows) + k, text(120)) for k in range(6)]
+    found = substring_dedup.repeated_passages(frame(spark, rows)).collect()
+    assert {r["doc_id"] for r in found} == brute_passages(rows)
+    texts = dict(rows)
+    for r in found:  # every passage reported is one: all of its words lie in sequences that another document holds
+        words = len(re.findall(rb"[^\x20\x09-\x0D]+", texts[r["doc_id"]].encode()[r["begin_byte"] : r["end_byte"]]))
+        assert words >= 51
+
+
+def test_chunks_of_one_document_in_another_order_are_no_passage(spark):
+    rng = np.random.default_rng(17)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    parts = [" ".join(word() for _ in range(40)) for _ in range(12)]
+    rows = [(1, " ".join(parts)), (2, " ".join(parts[::-1])), (3, " ".join(parts[::2] + parts[1::2]))]
+    assert brute_passages(rows) == set()
+    assert substring_dedup.repeated_passages(frame(spark, rows)).count() == 0
+
+
 def test_cuts_keep_characters_whole(spark):
     passage = " ".join(f"ñandú日本{i}" for i in range(80))
     rows = [(1, passage), (2, f"aé{passage}éa"), (3, f"日{passage}語")]
