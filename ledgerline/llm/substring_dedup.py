@@ -18,7 +18,8 @@ Chunks are deduplicated by digest: one that several documents hold belongs to th
 smallest ``doc_id``. Chunks in a row that stand in a row in one other document too, at their first places
 there, are a passage if they have ``WORDS`` words together. All other shared chunks may be the inside of a
 passage, since chunks at its ends reach out of it: so the words around them and around the ends of long
-runs, in all documents that hold those chunks, are compared as sequences of ``WORDS`` words, and what several documents hold is a passage.
+runs, in all documents that hold those chunks, are compared as sequences of ``WORDS`` words, and what several
+documents hold is a passage. Sequences with a whole chunk inside that no other document holds are passed over.
 Shorter repeats are left alone.
 
 Digests with positions are shuffled, not texts; only documents with a chunk that is not
@@ -125,14 +126,18 @@ def spelled(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def sequences(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First byte, end, and 64-bit hash of every ``length`` words in a row."""
     starts, ends, words = spelled(data)
+    found = _in_a_row(words, length)
+    return starts[: len(found)], ends[length - 1 :], found
+
+
+def _in_a_row(words: np.ndarray, length: int) -> np.ndarray:
     if len(words) < length:
-        return starts[:0], ends[:0], np.empty(0, dtype=np.int64)
+        return np.empty(0, dtype=np.int64)
     factor = 0x9E3779B97F4A7C15  # odd, so its powers have inverses
     back = np.cumprod(np.full(len(words), pow(factor, -1, 1 << 64), dtype=np.uint64))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * back)])
     ahead = np.cumprod(np.full(len(words) - length + 1, factor, dtype=np.uint64))
-    found = _mixed((total[length:] - total[:-length]) * ahead)
-    return starts[: len(found)], ends[length - 1 :], found.view(np.int64)
+    return _mixed((total[length:] - total[:-length]) * ahead).view(np.int64)
 
 
 def _chunked(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -214,8 +219,8 @@ def repeated_passages(documents: DataFrame, words: int = WORDS) -> DataFrame:
     columns = ("begin", "size", "place", "words", "first", "last", "first_place", "last_place", "final", "h")
     runs = materialise(_by_document(hits, *columns).mapInArrow(lambda it: _runs(it, words), _RUNS), "gear-runs")
     unsure = runs.select(F.explode("unsure").alias("h")).distinct()
-    around = _by_document(_met(hits, unsure, "h").withColumn("end", F.col("begin") + F.col("size")), "begin", "end")
-    around = materialise(around, "gear-around")
+    around = _by_document(_met(hits, unsure, "h"), "place")
+    around = materialise(around.join(runs.select("doc_id", "th", "hits"), ["doc_id", "th"]), "gear-around")
     discard(hits)
     near = _keyed(documents).join(around, ["doc_id", "th"]).mapInArrow(
         lambda it: _sequences(it, words), "doc_id long, th long, begin int, end int, s long"
@@ -228,7 +233,7 @@ def repeated_passages(documents: DataFrame, words: int = WORDS) -> DataFrame:
     return _by_document(spans, "begin", "end", "first").mapInArrow(_passages, PASSAGES)
 
 
-_RUNS = "doc_id long, th long, sure array<struct<begin: int, end: int, first: bigint>>, unsure array<bigint>"
+_RUNS = "doc_id long, th long, sure array<struct<begin: int, end: int, first: bigint>>, unsure array<bigint>, hits array<int>"
 PASSAGES = "doc_id long, begin_byte int, end_byte int, first_doc_id long, dropped boolean, text_key long"
 
 
@@ -241,7 +246,7 @@ def _flat(batch: pa.RecordBatch, *names: str) -> tuple[np.ndarray, ...]:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Per document the runs that are passages for sure, and the digests of their ends within the text and of all other shared chunks."""
+    """Per document the runs that are passages for sure, and the digests of their ends within the text and of all other shared chunks; all places."""
     for batch in batches:
         row, begin, size, place, words, first, last, first_place, last_place, final, h = _flat(
             batch, "begin", "size", "place", "words", "first", "last", "first_place", "last_place", "final", "h"
@@ -268,27 +273,50 @@ def _runs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("th"),
              pa.ListArray.from_arrays(pa.array(np.searchsorted(row[at], edges).astype(np.int32)), spans),
-             pa.ListArray.from_arrays(pa.array(np.searchsorted(row[rest], edges).astype(np.int32)), pa.array(h[rest]))],
-            ["doc_id", "th", "sure", "unsure"],
+             pa.ListArray.from_arrays(pa.array(np.searchsorted(row[rest], edges).astype(np.int32)), pa.array(h[rest])),
+             pa.ListArray.from_arrays(pa.array(np.searchsorted(row, edges).astype(np.int32)), pa.array(place))],
+            ["doc_id", "th", "sure", "unsure", "hits"],
         )
 
 
+def _ranges(low: np.ndarray, high: np.ndarray, n: int) -> np.ndarray:
+    """Which of 0 to n-1 lie in one of the ranges, both ends included."""
+    low, high = np.maximum(low, 0), np.minimum(high, n - 1)
+    some = low <= high
+    steps = np.bincount(low[some], minlength=n + 1) - np.bincount(high[some] + 1, minlength=n + 1)
+    return np.cumsum(steps)[:n] > 0
+
+
+def possible(words: np.ndarray, length: int, hits: np.ndarray, unsettled: np.ndarray) -> np.ndarray:
+    """Numbers of the first words of those sequences around unsettled chunks that another document can hold.
+
+    Chunks are given by the number of their first word. A sequence holds an unsettled chunk whole. A chunk
+    whose both boundaries depend on the sequence alone is in every document that holds the sequence: where
+    it is no hit, there is no such document.
+    """
+    n = len(words) - length + 1
+    if n < 1:
+        return np.empty(0, dtype=np.int64)
+    ends = boundaries(words)
+    starts = np.concatenate([[0], ends[:-1]])
+    held = _ranges((ends - length)[np.isin(starts, unsettled)], starts[np.isin(starts, unsettled)], n)
+    alone = ~np.isin(starts, hits)
+    return np.flatnonzero(held & ~_ranges((ends + REACH - length)[alone], (starts - REACH - WINDOW)[alone], n))
+
+
 def _sequences(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """The sequences of words that touch one of a document's spans."""
+    """The sequences of words around a document's unsettled chunks."""
     names = ["doc_id", "th", "begin", "end", "s"]
     for batch in batches:
         for part in text_slices(batch, limit=4 << 20):
             rows, columns = [], [[], [], []]
-            for row, (raw, spans) in enumerate(zip(raw_texts(part), part.column("spans"), strict=True)):
-                begin, end, s = sequences(np.frombuffer(raw, dtype=np.uint8), length) if raw else (np.empty(0, np.int64),) * 3
-                if not len(s):
-                    continue
-                low, high = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in ("begin", "end"))
-                # Spans ascend and do not overlap: a sequence touches one if a span begins before its end and ends after its begin.
-                near = np.searchsorted(low, end, side="left") > np.searchsorted(high, begin, side="right")
-                rows.append(np.full(near.sum(), row))
-                for c, x in zip(columns, (begin, end, s), strict=True):
-                    c.append(x[near])
+            lists = zip(raw_texts(part), part.column("hits"), part.column("spans"), strict=True)
+            for row, (raw, hits, spans) in enumerate(lists):
+                begin, end, words = spelled(np.frombuffer(raw, dtype=np.uint8))
+                at = possible(words, length, hits.values.to_numpy(), spans.values.field("place").to_numpy(zero_copy_only=False))
+                rows.append(np.full(len(at), row))
+                for c, x in zip(columns, (begin[at], end[at + length - 1], _in_a_row(words, length)[at]), strict=True):
+                    c.append(x)
             if rows:
                 at = pa.array(np.concatenate(rows))
                 begin, end, s = (np.concatenate(c) for c in columns)

@@ -296,6 +296,27 @@ def test_repeated_passages_are_found(spark):
     assert substring_dedup.repeated_passages(frame(spark, rows).limit(0)).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 1 << 30), st.integers(0, 60), st.integers(0, 60), st.integers(51, 90), st.sampled_from([2, 5, 30, 5000]))
+def test_sequences_that_others_hold_are_never_passed_over(seed, lead, tail, size, vocabulary):
+    rng = np.random.default_rng(seed)
+    text = lambda n: b"".join(b"%d " % k for k in rng.integers(0, vocabulary, n))
+    passage, places, digests = text(size), [], []
+    for before in (lead, tail):
+        words = spelled(text(before) + passage + text(lead + tail))
+        ends = substring_dedup.boundaries(words)
+        places.append((before, words, np.concatenate([[0], ends[:-1]])))
+        digests.append(substring_dedup.digests(words, ends))
+    shared = np.intersect1d(*digests)
+    for (before, words, starts), h in zip(places, digests, strict=True):
+        hits = starts[np.isin(h, shared)]
+        got = set(substring_dedup.possible(words, 51, hits, hits).tolist())
+        ends = np.append(starts[1:], len(words))
+        for p in range(before, before + size - 50):  # every sequence of the passage that holds a hit whole
+            if any(b >= p and e <= p + 51 for b, e in zip(starts, ends, strict=True) if b in hits):
+                assert p in got
+
+
 def test_passages_of_short_long_and_mixed_words(spark):
     """Words of 1 to 12 letters, digits and several scripts; clean documents with the same vocabularies beside them."""
     rng = np.random.default_rng(13)
