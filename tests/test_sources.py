@@ -323,3 +323,37 @@ def test_plan_size(spark):
     from ledgerline.operators.completeness import estimated_bytes
 
     assert estimated_bytes(spark.range(1000)) > estimated_bytes(spark.range(10)) > 0
+
+
+def test_a_database_table_is_read_in_ranges_of_its_key(spark, sf, tmp_path):
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = "jdbc:derby:memory:tickets;create=true"
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(
+        F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderdate").cast("timestamp").alias("opened"), F.col("o_orderstatus").cast("string").alias("Order State")
+    )
+    # Some rows have no key, and one key lies far off.
+    rows = orders.unionByName(orders.limit(7).withColumn("id", F.lit(None).cast("long"))).unionByName(orders.limit(1).withColumn("id", F.lit(10**12)))
+    rows = rows.coalesce(1)
+    rows.write.option("createTableColumnTypes", "`Order State` varchar(20)").jdbc(url, "tickets")
+    number = rows.count()
+    got = loader.read_jdbc(spark, url, "tickets", "id", rows_per_part=200)
+    assert got.rdd.getNumPartitions() == -(-number // 200) > 1
+    want = rows.withColumn("opened", F.col("opened").cast("timestamp_ntz"))
+    back = got.drop("_row_id")
+    assert got.count() == number and back.schema.simpleString() == want.schema.simpleString()
+    assert not back.exceptAll(want).count() and not want.exceptAll(back).count()
+    assert got.select("_row_id").distinct().count() == number
+    by_time = loader.read_jdbc(spark, url, "tickets", "opened", rows_per_part=500)
+    assert by_time.rdd.getNumPartitions() > 1 and not want.exceptAll(by_time.drop("_row_id")).count()
+    plan = got.filter("id = 5").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(id,5)" in plan.replace("`", "") and "opened" not in plan
+    rows.limit(0).select("id", "opened").write.jdbc(url, "no_rows")
+    assert loader.read_jdbc(spark, url, "no_rows", "id").count() == 0
+
+
+def test_a_catalog_table_is_read_by_name(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders.select(F.col("o_orderkey").cast("int").alias("a.b"), F.col("o_orderdate").cast("date").alias("day"), F.lit(None).alias("empty")).createOrReplaceTempView("orders_by_name")
+    got = loader.read_catalog(spark, "orders_by_name")
+    assert dict(got.dtypes) == {"a.b": "bigint", "day": "timestamp_ntz", "empty": "double", "_row_id": "bigint"}
+    assert got.count() == orders.count()
