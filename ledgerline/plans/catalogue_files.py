@@ -145,8 +145,9 @@ def extract_files(spark, sf):
     df, folder, names = tickets(spark, sf), _local(spark, "extracts"), ["number", "state", "resolved_at"]
     plan = extract.plan_extract(df, pick, names)
     for kind in ("csv", "xlsx"):
-        path = sinks.write_extract(extract.build_extract(df, pick, names), os.path.join(folder, f"extract.{kind}"), plan, pick, "resolved_at")
-        part = loader.read_table(spark, path).select(F.lit(kind).alias("kind"), *names)
+        path = sinks.write_extract(extract.build_extract(df, pick, names), os.path.join(folder, f"extract.{kind}"), plan, pick, "resolved_at", split=True)
+        read = loader.read_table(spark, path) if kind == "csv" else loader.read_split(spark, path, "Extract")
+        part = read.select(F.lit(kind).alias("kind"), *names)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -16,7 +16,7 @@ from ledgerline.operators.extract import Plan, Selection, provenance
 from ledgerline.operators.logic import AuditContext
 from ledgerline.operators.roles import CREATED, ID, PRIORITY, STATE
 from ledgerline.session import remove_path
-from ledgerline.sources.workbook import TooLarge, frame_sheet, write_workbook
+from ledgerline.sources.workbook import TooLarge, frame_sheet, frame_sheets, write_workbook
 
 __all__ = ["TooLarge", "copy_as_tsv", "table_name", "write_csv", "write_extract", "write_report"]
 
@@ -86,11 +86,12 @@ def sidecar_path(path: str) -> str:
 
 def write_extract(
     frame: DataFrame, path: str, plan: Plan, pick: Selection, date_column: str, source: str | None = None,
-    partial: list[str] = (), progress=None, cancelled=None,
+    partial: list[str] = (), progress=None, cancelled=None, split: bool = False,
 ) -> str:
     """Write an extract as CSV with a note beside it, or as a workbook with a second sheet.
 
-    An empty extract and one that a sheet cannot hold are refused, never cut; a
+    An empty extract and one that a sheet cannot hold are refused, never cut; with ``split`` the rows beyond a
+    sheet go on in further ones, called ``Extract (2)`` and so on, to be read by ``loader.read_split``. A
     failed or cancelled workbook leaves no file; a note that cannot be written is no failure.
     """
     if not plan.rows:
@@ -104,9 +105,11 @@ def write_extract(
         except OSError:
             pass
         return path
-    if plan.exceeds_sheet:
+    if plan.exceeds_sheet and not split:
         raise TooLarge(f"{plan.rows:,} rows are more than the {SHEET_ROWS - 1:,} a sheet holds")
-    write_workbook(path, [frame_sheet("Extract", sanitise(frame)), ("Extract Info", ["Item", "Value"], iter(info))], progress, cancelled)
+    clean = sanitise(frame)
+    sheets = frame_sheets("Extract", clean) if split else [frame_sheet("Extract", clean)]
+    write_workbook(path, [*sheets, ("Extract Info", ["Item", "Value"], iter(info))], progress, cancelled)
     return path
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 import codecs
 import datetime
 import io
+import itertools
 import os
 import re
 import zipfile
@@ -272,27 +273,29 @@ def _asked(spark: SparkSession, path: str, question) -> str:
     return row["said"]
 
 
-_PIECES = "piece long, start long, end long, body binary, strings map<long,string>, dated array<long>, fault string"
+_PIECES = "sheet int, piece long, start long, end long, body binary, strings map<long,string>, dated array<long>, fault string"
 _FAULTS = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, EOFError, LookupError, TypeError, ValueError)
 
 
-def _inflated(sheet: str | None, size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pieces of a sheet, and a row of its own, numbered -1, with what is wrong with the file, if anything."""
-    shape = pa.schema([("piece", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("body", pa.binary()),
+def _inflated(sheets: list[str | None], size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pieces of sheets, and a row of its own, numbered -1, with what is wrong with the file, if anything."""
+    shape = pa.schema([("sheet", pa.int32()), ("piece", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("body", pa.binary()),
                        ("strings", pa.map_(pa.int64(), pa.string())), ("dated", pa.list_(pa.int64())), ("fault", pa.string())])
     for file in _files(batches):
         fault = None
         try:
-            for k, piece in enumerate(pieces(file, sheet, size)):
-                yield pa.RecordBatch.from_pylist([piece | {"piece": k, "strings": list(piece["strings"].items())}], shape)
+            k = itertools.count()
+            for i, sheet in enumerate(sheets):
+                for piece in pieces(file, sheet, size):
+                    yield pa.RecordBatch.from_pylist([piece | {"sheet": i, "piece": next(k), "strings": list(piece["strings"].items())}], shape)
         except _FAULTS as e:
             fault = f"{type(e).__name__}: {e}"
         yield pa.RecordBatch.from_pylist([{"piece": -1, "fault": fault}], shape)
 
 
 def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per piece: the header if it is there, kinds of values by column, the number of the last row that holds something."""
-    shape = pa.schema([("header", pa.list_(pa.string())), ("kinds", pa.list_(pa.list_(pa.string()))), ("last", pa.int64()), ("fault", pa.string())])
+    """Per piece: its sheet, the header if it is there, kinds of values by column, the numbers of the last row that holds something and of the last."""
+    shape = pa.schema([("sheet", pa.int32()), ("end", pa.int64()), ("header", pa.list_(pa.string())), ("kinds", pa.list_(pa.list_(pa.string()))), ("last", pa.int64()), ("fault", pa.string())])
     for batch in batches:
         for piece in batch.to_pylist():
             header, kinds, last, fault = None, [], 0, None
@@ -308,28 +311,32 @@ def _surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             seen.add(_kind(v))
             except _FAULTS as e:
                 fault = f"{type(e).__name__}: {e}"
-            yield pa.RecordBatch.from_pylist([{"header": header, "kinds": [sorted(k) for k in kinds], "last": last, "fault": fault}], shape)
+            yield pa.RecordBatch.from_pylist([{"sheet": piece["sheet"], "end": piece["end"], "header": header, "kinds": [sorted(k) for k in kinds], "last": last, "fault": fault}], shape)
 
 
-def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+def read_sheet(spark: SparkSession, path: str, sheet: str | list[str] | None = None) -> DataFrame:
     """A sheet (default the first) as a table with ``_row_id``; a sheet that is not there raises KeyError.
 
-    Rows missing from the file are empty rows, trailing empty ones are dropped.
+    Rows missing from the file are empty rows, trailing empty ones are dropped. Several sheets are one table that
+    goes on from each to the next: types hold for all of them, only the last one's trailing empty rows are dropped.
     """
-    if sheet is not None and sheet not in sheet_names(spark, path):
-        raise KeyError(sheet)
+    asked = sheet if isinstance(sheet, list) else [sheet]
+    if asked != [None] and (missing := set(asked) - set(sheet_names(spark, path))):
+        raise KeyError(min(missing))
     size = PIECE
-    cut = materialise(_content(spark, path).mapInArrow(lambda it: _inflated(sheet, size, it), _PIECES), "sheet-pieces")
+    cut = materialise(_content(spark, path).mapInArrow(lambda it: _inflated(asked, size, it), _PIECES), "sheet-pieces")
     n, fault = cut.agg(F.count(F.lit(1)), F.max("fault")).first()
     if not n or fault:
         raise Unreadable(fault or "no such file")
     dealt = cut.filter("piece >= 0").repartition(max(1, n - 1), "piece")
-    told = dealt.mapInArrow(_surveyed, "header array<string>, kinds array<array<string>>, last long, fault string").collect()
+    told = dealt.mapInArrow(_surveyed, "sheet int, end long, header array<string>, kinds array<array<string>>, last long, fault string").collect()
     if any(r["fault"] for r in told):
         raise Unreadable(next(r["fault"] for r in told if r["fault"]))
-    header = next((r["header"] for r in told if r["header"] is not None), [])
+    header = next((r["header"] for r in sorted(told, key=lambda r: r["sheet"]) if r["header"] is not None), [])
     wide = max([len(header), *(len(r["kinds"]) for r in told)])
-    last = max([0, *(r["last"] for r in told)])
+    final = len(asked) - 1
+    last = [max([0, *(r["last" if i == final else "end"] for r in told if r["sheet"] == i)]) for i in range(len(asked))]
+    before = list(itertools.accumulate((max(0, k - 1) for k in last[:-1]), initial=0))
     kinds = [set().union(*(r["kinds"][i] for r in told if i < len(r["kinds"]))) for i in range(wide)]
     named = zip(header_names(_filled(header, wide)), kinds, strict=True)
     schema = T.StructType([*(T.StructField(name, _typed(seen)) for name, seen in named), T.StructField("_row_id", T.LongType())])
@@ -339,12 +346,12 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> Data
         for batch in batches:
             for piece in batch.to_pylist():
                 found = dict(piece_rows(piece))
-                numbers = range(max(2, piece["start"]), min(piece["end"], last) + 1)
+                numbers = range(max(2, piece["start"]), min(piece["end"], last[piece["sheet"]]) + 1)
                 for low in range(0, len(numbers), BATCH):
                     own = numbers[low : low + BATCH]
                     taken = [found.get(k, ()) for k in own]
                     columns = [[_cast(row[i], f.dataType) if i < len(row) else None for row in taken] for i, f in enumerate(fields)]
-                    columns.append([k - 2 for k in own])
+                    columns.append([k - 2 + before[piece["sheet"]] for k in own])
                     yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(columns, shape, strict=True)], schema=shape)
 
     return dealt.mapInArrow(parse, schema)
@@ -390,7 +397,8 @@ _STYLES = (
 )
 
 
-def _sheet(z: zipfile.ZipFile, part: str, header: list[str], body, every: int = 10_000, progress=None, cancelled=None) -> int:
+def _sheet(z: zipfile.ZipFile, part: str, header: list[str], body, every: int = 10_000, progress=None, cancelled=None, before: int = 0) -> int:
+    """Write a sheet; ``before`` rows of earlier sheets count for the progress. Returns the number of rows."""
     n = 0
     with z.open(part, "w", force_zip64=True) as f:
         view = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" activePane="bottomLeft" state="frozen"/></sheetView></sheetViews>'
@@ -398,11 +406,11 @@ def _sheet(z: zipfile.ZipFile, part: str, header: list[str], body, every: int =
         for n, row in enumerate(_chained(header, body)):
             cells = "".join(_cell(f"{_letters(i)}{n + 1}", v) for i, v in enumerate(row))
             f.write(f'<row r="{n + 1}">{cells}</row>'.encode())
-            if n and n % every == 0:
+            if n and (before + n) % every == 0:
                 if cancelled and cancelled():
                     raise InterruptedError("cancelled")
                 if progress:
-                    progress(n)
+                    progress(before + n)
         f.write(b"</sheetData></worksheet>")
     return n
 
@@ -439,8 +447,9 @@ def write_workbook(path: str, sheets: list[tuple[str, list[str], Iterator]], pro
                 f'{_HEAD}<Relationships xmlns="{package}">{links}<Relationship Id="rId{len(sheets) + 1}" Type="{office}/styles" Target="styles.xml"/></Relationships>'
             ))
             z.writestr("xl/styles.xml", _STYLES)
+            done = 0
             for i, (_, header, body) in enumerate(sheets, 1):
-                _sheet(z, f"xl/worksheets/sheet{i}.xml", header, body, progress=progress, cancelled=cancelled)
+                done += _sheet(z, f"xl/worksheets/sheet{i}.xml", header, body, progress=progress, cancelled=cancelled, before=done)
         os.replace(partial, path)
     finally:
         if os.path.exists(partial):
@@ -453,3 +462,19 @@ def frame_sheet(name: str, frame: DataFrame) -> tuple[str, list[str], Iterator]:
     if n > SHEET_ROWS - 1:
         raise TooLarge(f"The extract has more than {SHEET_ROWS - 1:,} rows, the most a sheet holds; write CSV or narrow it")
     return name, frame.columns, (tuple(r) for r in frame.toLocalIterator(prefetchPartitions=True))
+
+
+def sheet_series(name: str, count: int) -> list[str]:
+    """Names of the sheets that a table goes over: ``name``, ``name (2)`` and so on."""
+    return [name[:31], *(f"{name[: 31 - len(mark)]}{mark}" for mark in (f" ({k})" for k in range(2, count + 1)))]
+
+
+def frame_sheets(name: str, frame: DataFrame, most: int = SHEET_ROWS - 1) -> list[tuple[str, list[str], Iterator]]:
+    """A frame of any length as sheets of up to ``most`` rows, each with the header; they have to be written in this order.
+
+    Rows stream through the driver a partition at a time, once for all sheets.
+    """
+    count = max(1, -(-frame.count() // most))
+    rows = (tuple(r) for r in frame.toLocalIterator(prefetchPartitions=True))
+    names = sheet_series(name, count)
+    return [(n, frame.columns, itertools.islice(rows, most) if n != names[-1] else rows) for n in names]

@@ -357,3 +357,29 @@ def test_a_catalog_table_is_read_by_name(spark, sf):
     got = loader.read_catalog(spark, "orders_by_name")
     assert dict(got.dtypes) == {"a.b": "bigint", "day": "timestamp_ntz", "empty": "double", "_row_id": "bigint"}
     assert got.count() == orders.count()
+
+
+def test_a_table_beyond_a_sheet_goes_on_in_the_next(spark, tmp_path, monkeypatch):
+    """Whole, typed over all sheets, empty rows at a sheet's end kept, progress told over all sheets."""
+    path, told = str(tmp_path / "split.xlsx"), []
+    df = spark.range(25, numPartitions=3).select(
+        "id", F.when(F.col("id") > 20, F.concat(F.lit("t"), "id")).alias("late"), (F.col("id") * 0.5).alias("half"))
+    df = df.select(*[F.when(~F.col("id").isin(9, 19), F.col(c)).alias(c) for c in df.columns])
+    sheets = workbook.frame_sheets("Extract", df, most=10)
+    workbook.write_workbook(path, [*sheets, ("Extract Info", ["Item"], iter([("x",)]))])
+    assert loader.list_sheets(path) == ["Extract", "Extract (2)", "Extract (3)", "Extract Info"]
+    read = loader.read_split(spark, path, "Extract")
+    assert [tuple(r)[:3] for r in read.orderBy("_row_id").collect()] == [tuple(r) for r in df.collect()]
+    assert [r[0] for r in read.select("_row_id").orderBy("_row_id").collect()] == list(range(25)) and dict(read.dtypes)["late"] == "string"
+    many = [("A", ["n"], iter([(1,)] * 15_000)), ("A (2)", ["n"], iter([(1,)] * 15_000))]
+    workbook.write_workbook(str(tmp_path / "p.xlsx"), many, progress=told.append)
+    assert told == [10_000, 20_000, 30_000]
+    with pytest.raises(ValueError):
+        loader.read_split(spark, path, "Nowhere")
+    assert workbook.sheet_series("x" * 40, 2) == ["x" * 31, "x" * 27 + " (2)"]
+    # The registered queries write what a sheet cannot hold over several of them.
+    monkeypatch.setattr(sinks, "frame_sheets", lambda name, frame: workbook.frame_sheets(name, frame, most=10))
+    pick = extract.Selection(F.col("opened"))
+    big, rows = extract.Plan(2_000_000, ["number"], 0, False, [], 0), sample(spark)
+    sinks.write_extract(rows.select("number"), str(tmp_path / "big.xlsx"), big, pick, "opened", split=True)
+    assert sorted(r["number"] for r in loader.read_split(spark, str(tmp_path / "big.xlsx"), "Extract").collect()) == sorted(r["number"] for r in rows.collect())
