@@ -169,9 +169,8 @@ def extract_note(spark, sf):
 def workbook_progress(spark, sf):
     """Progress is told every ten thousand rows; a cancelled workbook leaves no file."""
     df, folder, told = tickets(spark, sf).select("number"), _local(spark, "progress"), []
-    sheet = workbook.frame_sheet("Extract", df)
-    workbook.write_workbook(os.path.join(folder, "a.xlsx"), [sheet], progress=told.append)
-    rows = loader.read_table(spark, os.path.join(folder, "a.xlsx")).count()
+    workbook.write_workbook(os.path.join(folder, "a.xlsx"), workbook.frame_sheets("Extract", df), progress=told.append)
+    rows = loader.read_split(spark, os.path.join(folder, "a.xlsx"), "Extract").count()
     stopped, many = False, ("Many", ["n"], iter((i,) for i in range(20_001)))
     try:
         workbook.write_workbook(os.path.join(folder, "b.xlsx"), [many], cancelled=lambda: True)
