@@ -524,3 +524,31 @@ def test_config_store(tmp_path):
     assert again.config().null_threshold == 30 and again.config().date_dayfirst is True and again.get("own") == 1
     path.write_text("{broken")
     assert ConfigStore(path).get("null_threshold") == 20
+
+
+def test_similar_sets_keep_every_pair_and_no_meetings(spark, monkeypatch):
+    """All pairs of brute force over several blocks a class, and nothing on disk that grows with the pairs that only meet."""
+    import random
+
+    from ledgerline.plans import set_join
+
+    monkeypatch.setattr(set_join, "BLOCK_WORDS", 400)
+    rng, sets = random.Random(3), []
+    for k in range(150):
+        own = rng.sample([f"word{i}" for i in range(400)], rng.randint(3, 40))
+        sets += [(2 * k, own), (2 * k + 1, rng.sample(own, max(3, len(own) - rng.randint(0, 6))) + [f"word{rng.randint(0, 80)}x" for _ in range(rng.randint(0, 3))])]
+    sets = [(k, list(dict.fromkeys(w))) for k, w in sets]
+    df = spark.createDataFrame([(k, k % 3 + 1, " ".join(w)) for k, w in sets], "first_row long, count long, key string")
+    weight = {}
+    for k, w in sets:
+        for x in w:
+            weight[x] = weight.get(x, 0) + k % 3 + 1
+    cap, held = max(50, int(sum(k % 3 + 1 for k, _ in sets) * 0.05)), [(k, set(w)) for k, w in sets]
+    want = {
+        (a, b): len(x & y) / len(x | y) for i, (a, x) in enumerate(held) for b, y in held[i + 1 :]
+        if len(x & y) / len(x | y) >= 0.6 and any(weight[w] <= cap for w in x & y)
+    }
+    found = descriptions.token_pairs(df)
+    assert {(r["a"], r["b"]): r["similarity"] for r in found.collect()} == want and len(want) > 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "HashAggregate" not in plan  # pairs are not shuffled to be counted
