@@ -666,3 +666,23 @@ def test_item_statistics_cover_all_blocks(spark, sf):
 def test_repeated_runs_agree(spark, sf):
     first = {(r["doc_id"], r["taken"]) for r in queries.op4_mixing(spark, sf).collect()}
     assert first == {(r["doc_id"], r["taken"]) for r in queries.op4_mixing(spark, sf).collect()}
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
+    """Words of rows beyond the first draw count, thresholds come from all kept rows, reruns agree."""
+    rng = np.random.default_rng(8)
+    calm = [f"calm{i}" for i in range(80)]
+    rows, marks = [], []
+    for i in range(1200):
+        bad = i % 3 == 0
+        rows.append((i, " ".join([*rng.choice(calm, 8), *([f"rude{i % 5}x"] if bad else [])]), "en", "s"))
+        marks.append((i, 0, int(bad)))
+    docs, labels = frame(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SHARD_BYTES", 20_000)
+    models = [toxicity.train(docs, labels, 6, 12) for _ in range(2)]
+    few = toxicity.fitted([(r["text"].encode(), r["toxic"], "en") for r in toxicity.training_rows(docs, labels, 6, 12, 1 << 20).collect()])
+    live = [int(m.used.sum()) for m in (few, *models)]
+    assert live[1] > live[0] and "en" in models[0].thresholds and "en" not in few.thresholds
+    texts = [r[1].encode() for r in rows]
+    scores = [m.scores(texts) for m in models]
+    assert (scores[0] == scores[1]).all() and np.mean((scores[0] >= models[0].thresholds["en"]) == (np.arange(1200) % 3 == 0)) > 0.99
