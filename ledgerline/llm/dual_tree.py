@@ -122,12 +122,16 @@ def descend(anchors: Tree, candidates: Tree, asked) -> tuple[np.ndarray, np.ndar
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def products(a: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer vectors as int64, in the narrowest arithmetic that holds every partial sum."""
-    reach = np.sqrt((a.astype(np.float64) ** 2).sum(axis=1).max(initial=0) * (c.astype(np.float64) ** 2).sum(axis=1).max(initial=0)) * 1.01
-    for kind, most in ((np.float32, 2**24), (np.float64, 2**53)):
+def exact_kind(a: float, c: float) -> type:
+    """The narrowest arithmetic that holds every partial sum of inner products of integer vectors of these norms."""
+    reach = a * c * 1.01
+    for kind, most in ((np.float32, 2**24), (np.float64, 2**53), (np.int64, 2**63)):
         if reach < most:
-            return (a.astype(kind) @ c.astype(kind).T).astype(np.int64)
-    if reach >= 2**63:
-        raise ValueError("inner products of these embeddings do not fit 64-bit integers")
-    return a @ c.T
+            return kind
+    raise ValueError("inner products of these embeddings do not fit 64-bit integers")
+
+
+def products(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer vectors as int64."""
+    kind = exact_kind(*(float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1).max(initial=0))) for x in (a, c)))
+    return (a.astype(kind) @ c.astype(kind).T).astype(np.int64)

@@ -5,6 +5,7 @@ import math
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -199,3 +200,28 @@ def test_negatives_equal_brute_force(spark, monkeypatch, rows):
     got = hard_negatives.hard_negatives(frame(spark, rows))
     assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute_negatives(rows)
+
+
+@pytest.mark.parametrize(("reach", "kind"), [(200, np.float32), (1 << 20, np.float64), (1 << 26, np.int64)])
+@pytest.mark.parametrize("same", [True, False])
+def test_a_block_of_tiles_leaves_the_leading_rows_only(reach, kind, same):
+    """One task holds a group against all its tiles: k rows per anchor and window leave it, whatever the tiles."""
+    rng = np.random.default_rng(3)
+    assert dual_tree.exact_kind(reach * 4.0, reach * 4.0) is kind
+    rows = [{"row": i, "vec_id": None if i == 7 else i // 2, "label": int(rng.integers(3)), "vector": rng.integers(-reach, reach + 1, 16).tolist()} for i in range(400)]
+    rows[11]["vector"] = rows[12]["vector"] = rows[300]["vector"] = rows[5]["vector"]
+    fields = [("row", pa.int64()), ("vec_id", pa.int64()), ("label", pa.int64()), ("vector", pa.list_(pa.int32()))]
+    window = pa.list_(pa.struct([("slot", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]))
+    dot = [[sum(p * q for p, q in zip(a["vector"], c["vector"], strict=True)) for c in rows] for a in rows[:20]]
+    ends = [(0, -(1 << 62), 1 << 62)] if same else [(s, *sorted(int(x) for x in rng.choice(np.array(dot).ravel(), 2))) for s in range(3)]
+    anchors = [r | {"windows": [dict(zip(("slot", "low", "high"), e, strict=True)) for e in ends[: 1 + k % 3]]} for k, r in enumerate(rows[:20])]
+    tiles = pa.table({"number": pa.array(range(8), pa.int32()), "tile_rows": pa.array([rows[k::8] for k in range(8)], pa.list_(pa.struct(fields)))})
+    groups = pa.table({"tiles": pa.array([list(range(8))], pa.list_(pa.int32())), "rows": pa.array([anchors], pa.list_(pa.struct([*fields, ("windows", window)])))})
+    got = hard_negatives._scored(same, 5, pa.int64(), groups, tiles).to_pylist()
+    want = []
+    for a, scores in zip(anchors, dot, strict=True):
+        for w in a["windows"]:
+            fit = [(-s, c["vec_id"] is None, c["vec_id"] or 0, c["row"]) for s, c in zip(scores, rows, strict=True)
+                   if w["low"] <= s <= w["high"] and (c["label"] == a["label"]) == same and (not same or c["row"] != a["row"])]
+            want += [(a["row"], w["slot"], -s, None if unknown else i) for s, unknown, i, _ in sorted(fit)[:5]]
+    assert sorted(((r["anchor"], r["slot"], r["score"], r["vec_id"]) for r in got), key=str) == sorted(want, key=str)
