@@ -44,6 +44,8 @@ POSITIVES, NEGATIVES, SEED = 1500, 2500, 11
 SAMPLE_BYTES = 32 << 20
 #: Rounds over all rows, bytes of text in a shard, about, and steps of an averaged weight in one unit.
 PASSES, SHARD_BYTES, STEPS = 2, 8 << 20, 1 << 24
+#: Bits of the filter by which texts without a label are left out before texts are shuffled.
+FILTER_BITS = 1 << 25
 #: Hash buckets, embedding length, filter widths, filters of each width.
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 18, 16, (1, 2, 3), 8
 EPOCHS, RATE, BATCH = 12, 0.08, 32
@@ -279,6 +281,18 @@ def labelled_keys(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, D
     return rows, found.join(marks, "doc_id").withColumn("draw", F.xxhash64(F.lit(SEED), "doc_id", "th"))
 
 
+def narrowed(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows whose id may be among those of ``marked``: all that are, and of the others those whose hash is taken.
+
+    The filter goes to the rows by broadcast, as up to ``FILTER_BITS`` bits in words of 64, whatever the number of ids.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    word, bit = F.shiftright(spot, 6), (spot % 64).cast("int")
+    taken = marked.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    near = rows.withColumns({"_at": word, "_bit": bit}).join(F.broadcast(taken), F.col("_at") == F.col("_word"))
+    return near.filter(F.getbit("_bits", F.col("_bit")) == 1).select(*rows.columns)
+
+
 def _drawn(rows: DataFrame, marked: DataFrame, positives: int, negatives: int, most_bytes: int) -> DataFrame:
     upto = Window.partitionBy("toxic").orderBy("draw", "doc_id", "th")
     drawn = [marked.filter(F.col("toxic") == label).orderBy("draw", "doc_id", "th").limit(most) for label, most in ((1, positives), (0, negatives))]
@@ -300,6 +314,7 @@ def train(
 ) -> Classifier | Constant:
     """Fit on all training rows; the driver gets the weights, and a row per language and thousandth of a score."""
     rows, marked = labelled_keys(documents, labels)
+    marked = materialise(marked, "labelled-keys")
     number, bad, size, bad_size = marked.agg(
         F.count(F.lit(1)), F.count_if(F.col("toxic") == 1), F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("toxic") == 1, F.col("size"))), F.lit(0))
     ).first()
@@ -314,7 +329,7 @@ def train(
             model.share = (bad + 0.5) / (number + 5)
     else:
         shards = max(1, -(-size // SHARD_BYTES))
-        every = rows.join(marked.select("doc_id", "th", "toxic", "draw"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
+        every = narrowed(rows, marked).join(marked.select("doc_id", "th", "toxic", "draw"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"])
         every = materialise(every.select(
             F.pmod(F.xxhash64("draw", F.lit(SEED)), F.lit(shards)).cast("int").alias("shard"), kept.alias("kept"), "draw", F.col("toxic").cast("int").alias("toxic"), "lang", "text"
         ), "labelled-texts")
@@ -322,6 +337,7 @@ def train(
             _improve(model, every.filter("not kept"), SEED + 1 + k)
         _calibrate(model, every.filter("kept"))
         discard(every)
+    discard(marked)
     model.__dict__.pop("state", None)
     return model
 

@@ -686,3 +686,16 @@ def test_toxicity_learns_from_all_labelled_rows(spark, monkeypatch):
     texts = [r[1].encode() for r in rows]
     scores = [m.scores(texts) for m in models]
     assert (scores[0] == scores[1]).all() and np.mean((scores[0] >= models[0].thresholds["en"]) == (np.arange(1200) % 3 == 0)) > 0.99
+
+
+def test_toxicity_shuffles_texts_that_may_be_labelled_only(spark, monkeypatch):
+    """Most texts without a label stay where they are read; no labelled one does, however full the filter is."""
+    docs = frame(spark, [(i, f"text {i}", "en", "s") for i in range(2000)] + [(None, "none", "en", "s"), (10, "other", None, "s")])
+    rows, marked = toxicity.labelled_keys(docs, spark.createDataFrame([(i, 0, i % 2) for i in range(0, 2000, 10)], "doc_id long, quality int, toxic int"))
+    want = {(r["doc_id"], r["th"]) for r in marked.collect()}
+    for bits, most in ((1 << 25, len(want)), (1 << 10, rows.count() // 2), (64, rows.count())):
+        monkeypatch.setattr(toxicity, "FILTER_BITS", bits)
+        near = toxicity.narrowed(rows, marked)
+        assert near.columns == rows.columns
+        got = [(r["doc_id"], r["th"]) for r in near.collect()]
+        assert want <= set(got) and len(set(got)) == len(got) <= most
