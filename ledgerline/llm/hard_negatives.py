@@ -121,7 +121,7 @@ def _place(rows: DataFrame, total: int, size: int, each: int, label: str) -> tup
     counts = placed.sparkSession.createDataFrame([(k, int(n), int(at)) for k, (n, at) in enumerate(zip(tiles, start, strict=True))], "leaf int, tiles int, start int")
     dealt = placed.join(F.broadcast(counts), "leaf").withColumn("number", (F.col("start") + F.pmod(F.xxhash64("row"), F.col("tiles"))).cast("int"))
     packed = dealt.groupBy("number").agg(F.collect_list(F.struct("row", "vec_id", "label", "vector")).alias("rows"))
-    packed = materialise(packed.select(F.expr(f"number div {TOGETHER}").cast("int").alias("block"), "number", "rows"), f"{label}-tiles")
+    packed = materialise(packed.select(F.expr(f"number div {TOGETHER}").cast("int").alias("block"), "number", "rows"), f"{label}-tiles", TOGETHER)
     discard(placed)
     return Placement(tree, tiles, start, mask, low, high), packed
 

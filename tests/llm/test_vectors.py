@@ -225,3 +225,11 @@ def test_a_block_of_tiles_leaves_the_leading_rows_only(reach, kind, same):
                    if w["low"] <= s <= w["high"] and (c["label"] == a["label"]) == same and (not same or c["row"] != a["row"])]
             want += [(a["row"], w["slot"], -s, None if unknown else i) for s, unknown, i, _ in sorted(fit)[:5]]
     assert sorted(((r["anchor"], r["slot"], r["score"], r["vec_id"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_files_of_tiles_hold_a_block_at_most(spark):
+    """Readers take all tiles of a file into memory at once."""
+    rows = spark.range(4000, numPartitions=1).selectExpr("id row", "id vec_id", "id % 3 label", "array(cast(id % 7 as int), cast(id % 11 as int)) vector")
+    _, tiles = hard_negatives._place(rows, 4000, 2, 20, "rows")
+    per = [r["count"] for r in tiles.groupBy("_metadata.file_path").count().collect()]
+    assert sum(per) > 5 * hard_negatives.TOGETHER and max(per) <= hard_negatives.TOGETHER
