@@ -9,8 +9,9 @@ tokens of all ranges before (one row a range passes a window) and of the shards
 Texts are encoded by the vocabulary file's tokenizer. For byte-level BPE a text may be cut
 before a lone space between visible characters, around a lone line feed there, and
 between a letter and a mark: pre-tokens begin at these places whatever stands around them,
-so the pieces' ids are the whole text's ids (tested). Hence each distinct piece of a slice is encoded once, and
-words that are new are encoded together. A text without such places is one piece; texts of
+so the pieces' ids are the whole text's ids (tested). Hence each distinct piece of a slice is encoded once,
+words that are new are encoded together, and a worker keeps the pieces that it met last with their ids. Pieces and
+their ids stay in Arrow arrays. A text without such places is one piece; texts of
 other kinds of tokenizer are never cut.
 
 Reading back takes a task per shard. Beside whole documents, the files answer what an id
@@ -54,16 +55,17 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 END, SHARD, SLICE = 0, 1 << 22, 8 << 20
 #: Bytes of input (as the plan estimates it) in a range, and most tasks that read shards.
 RANGE, TASKS = 128 << 20, 20_000
-#: Pieces that a worker remembers, the longest of them in bytes, and pieces encoded in one call.
-KNOWN, LONGEST, GROUP = 1 << 19, 64, 4096
+#: Pieces that a worker remembers, the longest of them in bytes, pieces encoded in one call, and words in one text of it.
+KNOWN, LONGEST, GROUP, TOGETHER = 1 << 19, 64, 4096, 64
 
 
 # Encoding
 
 _VISIBLE = np.array([0x20 < b < 0x7F for b in range(256)])
 _LETTER = np.array([chr(b).isalpha() and b < 0x80 for b in range(256)])
-#: Lead bytes of U+00C0 to U+07FF, among which there is no white space.
+#: Lead bytes of U+00C0 to U+07FF, among which there is no white space, and what follows them.
 _LEAD = np.array([0xC3 <= b <= 0xDF for b in range(256)])
+_LATER = np.array([0x80 <= b <= 0xBF for b in range(256)])
 
 
 def _closing_marks(spec: dict) -> bytes | None:
@@ -87,13 +89,14 @@ def piece_starts(data: np.ndarray, starts: np.ndarray, marks: bytes) -> np.ndarr
     between an ASCII letter and a mark.
     """
     begins = np.zeros(len(data), dtype=bool)
-    mark = np.zeros(256, dtype=bool)
-    mark[list(marks)] = True
-    begins[1:] = mark[data[1:]] & _LETTER[data[:-1]]
-    at = np.flatnonzero((data == 0x20) | (data == 0x0A))
+    table = np.zeros(256, dtype=np.uint8)
+    table[list(marks)], table[_LETTER], table[[0x20, 0x0A]] = 1, 2, 4
+    kinds = np.frombuffer(data.tobytes().translate(table.tobytes()), np.uint8)
+    begins[1:] = kinds[1:] & kinds[:-1] >> 1 & 1
+    at = np.flatnonzero(kinds & 4)
     at = at[(at > 1) & (at + 1 < len(data))]
     before, after = data[at - 1], data[at + 1]
-    clear = _VISIBLE[before] | (before >= 0x80) & (before <= 0xBF) & _LEAD[data[at - 2]]
+    clear = _VISIBLE[before] | _LATER[before] & _LEAD[data[at - 2]]
     at = at[clear & (_VISIBLE[after] | _LEAD[after])]
     begins[at] = True
     begins[at[data[at] == 0x0A] + 1] = True
@@ -101,8 +104,26 @@ def piece_starts(data: np.ndarray, starts: np.ndarray, marks: bytes) -> np.ndarr
     return np.flatnonzero(begins)
 
 
-#: A piece that keeps its ids between others of its kind: a space, a visible character, and one at the end.
-_WORD = re.compile(rb" (?:[!-~]|[\xc3-\xdf][\x80-\xbf])(?:.*(?:[!-~]|[\xc3-\xdf][\x80-\xbf]))?", re.DOTALL)
+def _laid_out(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of binary values (without nulls), and where each begins among them and the last ends."""
+    offsets = np.frombuffer(pieces.buffers()[1], np.int64, len(pieces) + 1, 8 * pieces.offset) if len(pieces) else np.zeros(1, np.int64)
+    return np.frombuffer(pieces.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _are_words(pieces: pa.Array) -> np.ndarray:
+    """Which pieces keep their ids between others of their kind: a space, a visible character, and one at the end."""
+    data, offsets = _laid_out(pieces)
+    word, size = np.zeros(len(pieces), dtype=bool), np.diff(offsets)
+    own = np.flatnonzero(size > 1)
+    low, high = offsets[own], offsets[own + 1] - 1
+    first, second = data[low], data[low + 1]
+    clear = _VISIBLE[second] | _LEAD[second] & (size[own] > 2) & _LATER[data[np.minimum(low + 2, high)]]
+    word[own] = (first == 0x20) & clear & (_VISIBLE[data[high]] | _LATER[data[high]] & _LEAD[data[high - 1]])
+    return word
 
 
 class Encoder:
@@ -120,63 +141,73 @@ class Encoder:
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)  # bytes of each id
         for token, k in vocabulary.items():
             self.sizes[k] = added.get(k, len(token))
-        self.known: dict[bytes, bytes] = {}
+        # Pieces met before, the bytes of their ids, and the slice that held each last; the first, an empty piece, closes each text.
+        self.known, self.ids = pa.array([b""], pa.large_binary()), _binary(np.array([END], dtype=np.uint32), np.array([0, 4]))
+        self.last, self.slices = np.array([np.iinfo(np.int64).max]), 0
 
-    def _coded(self, pieces: list[bytes]) -> Iterator[np.ndarray]:
-        texts = [p.decode("utf-8", "replace") for p in pieces]
-        for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(code.ids, dtype=np.uint32)
+    def _coded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(code.ids, dtype=np.uint32) for code in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _fresh(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
-        """Each piece with its ids; words are encoded as one text and told apart by the bytes of their ids."""
-        words, others = [], []
-        for p in pieces:
-            (words if self.marks is not None and _WORD.fullmatch(p) else others).append(p)
+    def _words(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of words, several of them encoded as one text and told apart by the bytes of their ids, and which words were encoded."""
+        data, offsets = _laid_out(words)
+        done, coded = np.ones(len(words), dtype=bool), []
         for low in range(0, len(words), GROUP):
-            own = words[low : low + GROUP]
-            try:
-                b"".join(own).decode()
-            except UnicodeDecodeError:  # what replaces broken characters has other sizes
-                others += own
-                continue
-            (ids,) = self._coded([b"".join(own)])
-            upto = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in own])) + 1
-            raw, at = ids.tobytes(), 0
-            for p, end in zip(own, (4 * upto).tolist(), strict=True):
-                yield p, raw[at:end]
-                at = end
+            texts = []
+            for a in range(low, min(low + GROUP, len(words)), TOGETHER):
+                b = min(a + TOGETHER, len(words))
+                try:
+                    texts.append(str(data[offsets[a] : offsets[b]], "utf-8"))
+                except UnicodeDecodeError:  # what replaces broken characters has other sizes
+                    done[a:b] = False
+            coded += self._coded(texts)
+        ids = np.concatenate([np.zeros(0, np.uint32), *coded])
+        upto = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(np.diff(offsets)[done])) + 1
+        return _binary(ids, 4 * np.concatenate([[0], upto])), done
+
+    def _pieces(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces, as bytes."""
+        word = np.flatnonzero(_are_words(pieces) & (self.marks is not None))
+        words, done = self._words(pieces.take(pa.array(word)))
+        others = np.setdiff1d(np.arange(len(pieces)), word[done])
+        found = [words]
         for low in range(0, len(others), GROUP):
-            own = others[low : low + GROUP]
-            yield from zip(own, (ids.tobytes() for ids in self._coded(own)), strict=True)
+            own = pieces.take(pa.array(others[low : low + GROUP])).to_pylist()
+            found.append(pa.array([ids.tobytes() for ids in self._coded([p.decode("utf-8", "replace") for p in own])], pa.large_binary()))
+        return pa.concat_arrays(found).take(pa.array(np.argsort(np.concatenate([word[done], others]))))
 
-    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
-        """The ids of distinct pieces, as bytes."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
-        fresh = dict(self._fresh([p for p in pieces if p not in self.known]))
-        found = [self.known[p] if p in self.known else fresh[p] for p in pieces]
-        self.known.update((p, ids) for p, ids in fresh.items() if len(p) <= LONGEST)
-        return found
+    def _fresh(self, pieces: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Each piece with its ids."""
+        return zip(pieces, self._pieces(pa.array(pieces, pa.large_binary())).to_pylist(), strict=True)
+
+    def _remember(self, pieces: pa.Array, ids: pa.Array, last: np.ndarray) -> None:
+        """Keep the short pieces, at most ``KNOWN``, of which those that a slice held last."""
+        keep = np.flatnonzero(np.diff(_laid_out(pieces)[1]) <= LONGEST)
+        if len(keep) > KNOWN:
+            keep = np.sort(keep[np.argpartition(-last[keep], KNOWN)[:KNOWN]])
+        at = pa.array(keep)
+        self.known, self.ids, self.last = pieces.take(at), ids.take(at), last[keep]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and where each text's ids end."""
-        raw = texts.fill_null("").cast(pa.large_binary())
-        bounds = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1, 8 * raw.offset) if len(raw) else np.zeros(1, np.int64)
-        data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-        starts, ends = bounds[:-1] - bounds[0], bounds[1:] - bounds[0]
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        data, bounds = _laid_out(texts.fill_null("").cast(pa.large_binary()))
+        starts, ends = bounds[:-1], bounds[1:]
         starts = starts[starts < ends]
         begin = starts if self.marks is None or not len(data) else piece_starts(data, starts, self.marks)
-        cuts = np.append(begin, len(data))
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(data)]).dictionary_encode()
-        coded = self._pieces(pieces.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(coded), np.uint32)
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-        at = pieces.indices.to_numpy()
-        upto = np.concatenate([[0], np.cumsum(lengths[at])])
-        own = np.repeat(np.cumsum(lengths)[at] - upto[1:], lengths[at])
-        # Ids up to the end of each text: those of the pieces that begin before it.
-        before = upto[np.searchsorted(begin, ends, side="left")]
-        return np.insert(flat[own + np.arange(upto[-1])], before, END), before + np.arange(1, len(ends) + 1)
+        closed = np.searchsorted(begin, ends, side="left")  # pieces before each text's end
+        cut = _binary(data, np.append(np.insert(begin, closed, ends), len(data)))
+        numbered = pa.chunked_array([self.known, cut]).dictionary_encode()  # known pieces keep their places
+        pieces, at = numbered.chunk(0).dictionary, numbered.chunk(1).indices
+        ids = pa.concat_arrays([self.ids, self._pieces(pieces.slice(len(self.known)))])
+        self.slices += 1
+        last = np.full(len(pieces), self.slices)
+        last[: len(self.known)] = self.last
+        last[at.to_numpy()[at.to_numpy() > 0]] = self.slices
+        self._remember(pieces, ids, last)
+        flat, upto = _laid_out(ids.take(at))
+        return flat.view(np.uint32), upto[closed + np.arange(1, len(ends) + 1)] // 4
 
 
 @lru_cache(maxsize=4)
@@ -189,6 +220,20 @@ def _encoder(path: str) -> Encoder:
 _MANIFEST = "part long, number long, path string, before long, n_docs long, n_tokens long"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in slices of some ``SLICE`` bytes, small batches together: each slice goes through the known pieces."""
+    held, size = [], 0
+    for batch in batches:
+        for piece in text_slices(batch, limit=SLICE):
+            if held and size + piece.nbytes > SLICE:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+            held.append(piece)
+            size += piece.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _written(path: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Encode a range's sorted rows, write its shards and return a row for each."""
     encoder, part = _encoder(SparkFiles.get(name)), TaskContext.get().partitionId()
@@ -204,19 +249,18 @@ def _written(path: str, name: str, batches: Iterator[pa.RecordBatch]) -> Iterato
             {"part": [part], "number": [number], "path": [file], "before": [before], "n_docs": [len(ends)], "n_tokens": [len(ids)]}
         )
 
-    for batch in batches:
-        for piece in text_slices(batch, limit=SLICE):
-            ids, ends = encoder.encode(piece.column("text"))
-            first = 0
-            while first < len(ends):  # documents up to the one that fills the shard
-                begin = int(ends[first - 1]) if first else 0
-                last = min(int(np.searchsorted(ends, begin + SHARD - size)) + 1, len(ends))
-                held.append((ids[begin : ends[last - 1]], ends[first:last] - begin, piece.column("doc_id").slice(first, last - first)))
-                size += int(ends[last - 1]) - begin
-                first = last
-                if size >= SHARD:
-                    yield close()
-                    held, size, number, before = [], 0, number + 1, before + size
+    for piece in _gathered(batches):
+        ids, ends = encoder.encode(piece.column("text"))
+        first = 0
+        while first < len(ends):  # documents up to the one that fills the shard
+            begin = int(ends[first - 1]) if first else 0
+            last = min(int(np.searchsorted(ends, begin + SHARD - size)) + 1, len(ends))
+            held.append((ids[begin : ends[last - 1]], ends[first:last] - begin, piece.column("doc_id").slice(first, last - first)))
+            size += int(ends[last - 1]) - begin
+            first = last
+            if size >= SHARD:
+                yield close()
+                held, size, number, before = [], 0, number + 1, before + size
     if held:
         yield close()
 

@@ -1,5 +1,6 @@
 """Token files: the wavelet matrix, cutting before encoding, and the round trip."""
 
+import re
 import zlib
 
 import numpy as np
@@ -56,6 +57,18 @@ def test_matrix_over_many_blocks(monkeypatch):
         wavelet.WaveletMatrix(b"x" * 100)
 
 
+@pytest.mark.parametrize("top", [0, 65_535, 65_536, 2**32 - 1])
+def test_matrix_dealt_by_windows(monkeypatch, top):
+    monkeypatch.setattr(wavelet, "WINDOW", 7)
+    flat = np.array([top, 0, 1, top // 2, top] * 5, dtype=np.uint32)
+    data = wavelet.pack(flat, np.array([len(flat)]), pa.array(["a"]))
+    monkeypatch.setattr(wavelet, "WINDOW", 1 << 16)
+    assert wavelet.pack(flat, np.array([len(flat)]), pa.array(["a"])) == data
+    monkeypatch.setattr(wavelet, "WINDOW", 4)
+    shard = wavelet.WaveletMatrix(data)
+    assert shard.ids().dtype == np.uint32 and (shard.ids() == flat).all() and (shard.access(np.arange(len(flat))) == flat).all()
+
+
 ALPHABET = st.sampled_from([*"abc1 .,'!&\n\tsé ж    　\u0085漢😀ß", "<|endoftext|>", " the", " <", "|>", "'ll", "  "])
 
 
@@ -84,6 +97,56 @@ def test_other_tokenizers_are_never_cut(tokenizer):
     assert other.encode(pa.array([text]))[0].tolist() == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
 
 
+def test_other_tokenizers_encode_texts_apart():
+    path = token_files.TOKENIZER.replace("byte_bpe_50k", "word_bpe_49k")
+    plain, texts = Tokenizer.from_file(path), [" two words", " two", None, " two words", " éa b"]
+    ids, ends = token_files._encoder(path).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [[*plain.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
+class Counting:
+    """A tokenizer that notes the texts it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.given = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.given += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_pieces_that_every_slice_holds_are_encoded_once(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN", 5)  # four pieces of a slice and what closes a text
+    encoder = token_files.Encoder(token_files.TOKENIZER)
+    encoder.tokenizer = Counting(tokenizer)
+    for k in range(9):
+        text = f"often common {'abcdefghi'[k] * 7} words"
+        ids, ends = encoder.encode(pa.array([text, None]))
+        assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 0, 0] and ends.tolist() == [len(ids) - 1, len(ids)]
+    given = "".join(encoder.tokenizer.given)
+    assert [given.count(w) for w in ("often", " common", " words", " bbbbbbb")] == [1, 1, 1, 1]
+    assert len(encoder.known) <= 5
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([b" ", b"a", b"\n", b",", b"\xc3", b"\xa9", b"\xc2", b"\xe4", b"\xdf"]), max_size=5).map(b"".join), max_size=9))
+def test_words_are_told_apart_at_once(pieces):
+    letter = rb"(?:[!-~]|[\xc3-\xdf][\x80-\xbf])"
+    word = re.compile(rb" %b(?:.*%b)?" % (letter, letter), re.DOTALL)
+    padded = pa.array([b" before", *pieces, b"after"], pa.large_binary()).slice(1, len(pieces))
+    assert token_files._are_words(padded).tolist() == [bool(word.fullmatch(p)) for p in pieces]
+
+
+def test_small_batches_are_encoded_together(monkeypatch):
+    monkeypatch.setattr(token_files, "SLICE", 4000)
+    rows = [(k, None if k % 3 == 0 else "x" * (k % 7)) for k in range(300)] + [(300, "y" * 9000), (301, "z")]
+    table = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    slices = list(token_files._gathered(iter(table.to_batches(max_chunksize=2))))
+    assert [(r["doc_id"], r["text"]) for s in slices for r in s.to_pylist()] == rows
+    assert len(slices) < 10 and all(s.nbytes <= 4000 or s.num_rows == 1 for s in slices)
+    assert list(token_files._gathered(iter([]))) == []
+
+
 def brute(rows, tokenizer):
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
